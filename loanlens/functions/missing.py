@@ -32,6 +32,7 @@ def or_zero(value: Column) -> Column:
 
 def ratio(numerator: Column, denominator: Column) -> Column:
     """IEEE division without NaN: x/0 is an infinity with the sign of x, 0/0 is NULL."""
+    numerator = known(numerator)
     infinite = F.when(numerator > 0, F.lit(float("inf"))).when(
         numerator < 0, F.lit(float("-inf"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.functions.relations import dimension
 from loanlens.sources import schemas
 
 # Sectors measured by emission intensity instead of output.
@@ -40,6 +41,21 @@ def default_activity_units(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(UNITS, schemas.ACTIVITY_UNITS)
 
 
+def units_of_technologies(spark: SparkSession, activity_units: DataFrame | None) -> DataFrame:
+    """The caller's units, or the built-in ones, to be joined by sector and technology."""
+    if activity_units is None:
+        return F.broadcast(default_activity_units(spark))
+    return dimension(activity_units.select("sector", "technology", "activity_unit"))
+
+
+def units_of_sectors(spark: SparkSession, activity_units: DataFrame | None) -> DataFrame:
+    """The same to be joined by sector; a sector with two units has two rows."""
+    if activity_units is None:
+        units = sorted({(sector, unit) for sector, _, unit in UNITS})
+        return F.broadcast(spark.createDataFrame(units, "sector string, activity_unit string"))
+    return dimension(activity_units.select("sector", "activity_unit").distinct())
+
+
 def build_activity_units(abcd: DataFrame) -> DataFrame:
     """Unit of every sector and technology in asset data.
 

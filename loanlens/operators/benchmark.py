@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from loanlens.functions.missing import known_total, text_or_na
 from loanlens.functions.relations import dimension, match, with_position
 from loanlens.operators.checks import (
-    flags,
-    found,
     not_found,
+    occurs,
     one_integer,
     one_text,
     validate_data_has_expected_cols,
@@ -108,23 +107,18 @@ def check_benchmark_input(
     benchmark_region: str,
 ) -> None:
     in_source = F.col("source") == scenario_source
-    regions = flags(
-        region_isos,
-        source=found(in_source),
-        region=found(in_source & (F.col("region") == benchmark_region)),
-    )
-    if not regions["source"]:
+    if not occurs(region_isos, in_source):
         raise not_found(
             "scenario_source", "region_isos$source", scenario_source, region_isos.select("source")
         )
-    if not regions["region"]:
+    if not occurs(region_isos, in_source & (F.col("region") == benchmark_region)):
         raise not_found(
             "benchmark_region",
             "region_isos$region` for the given `scenario_source",
             benchmark_region,
             region_isos.where(in_source).select("region"),
         )
-    if not flags(data, year=found(F.col("year") == start_year))["year"]:
+    if not occurs(data, F.col("year") == start_year):
         raise not_found("start_year", "data$year", start_year, data.select("year"))
 
 

@@ -1,8 +1,8 @@
 """Input contracts: required columns, and values an argument must be found among.
 
-The column check costs no job.  The value checks of one input are answered by one
-aggregate over the few columns concerned, returning one row of flags; the values on
-offer are only looked up to word an error.
+The column check costs no job.  A value check reads the one column concerned and
+stops at the first match; where the first year has to be found anyway, the checks of
+an input share that pass.  The values on offer are only looked up to word an error.
 """
 
 from __future__ import annotations
@@ -48,6 +48,11 @@ def one_integer(argument: str, value: object) -> None:
         raise ValueError(f"Argument {argument} must be a single integer.")
 
 
+def occurs(df: DataFrame, condition: Column) -> bool:
+    """Whether any row meets the condition; reads no further than the first that does."""
+    return not df.where(condition).isEmpty()
+
+
 def found(condition: Column) -> Column:
     """Aggregate: whether any row meets the condition."""
     return F.coalesce(F.bool_or(condition), F.lit(False))

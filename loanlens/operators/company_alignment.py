@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field, known_total, or_zero, ratio
-from loanlens.functions.relations import dimension, match, with_group_totals
-from loanlens.operators.activity_units import default_activity_units
+from loanlens.functions.relations import match, with_group_totals
+from loanlens.operators.activity_units import units_of_sectors
 from loanlens.operators.checks import (
     flags,
     found,
     not_found,
+    occurs,
     one_integer,
     one_of,
     one_text,
@@ -167,8 +168,7 @@ def fill_missing_direction(data: DataFrame) -> DataFrame:
 
 
 def check_tms_input(data: DataFrame, scenario_source: str) -> None:
-    row = flags(data, source=found(F.col("scenario_source") == scenario_source))
-    if not row["source"]:
+    if not occurs(data, F.col("scenario_source") == scenario_source):
         raise not_found(
             "scenario_source",
             "data$scenario_source",
@@ -294,15 +294,12 @@ def calculate_company_aggregate_alignment_sda(
         start_year = F.lit(check_sda_input(data, scenario_source, scenario, time_frame))
     else:
         start_year = first_year(data)
-    if activity_units is None:
-        activity_units = default_activity_units(data.sparkSession)
-    units = activity_units.select("sector", "activity_unit").distinct()
 
     target = target_column(scenario)
     wide = prep_and_wrangle_aggregate_alignment_sda(
         data, scenario_source, target, start_year, time_frame
     )
-    measured = match(wide, dimension(units), ["sector"])
+    measured = match(wide, units_of_sectors(data.sparkSession, activity_units), ["sector"])
     if set(data.columns) <= set(expected):
         # One row per company, sector, region and year: its own target is the total.
         totals = measured.withColumn("net_absolute_scenario_value", or_zero(field(target)))

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field, known, known_total, or_zero
-from loanlens.functions.relations import BROADCAST_ROWS, dimension, match
-from loanlens.operators.activity_units import default_activity_units
+from loanlens.functions.relations import BROADCAST_ROWS, match
+from loanlens.operators.activity_units import units_of_technologies
 from loanlens.operators.checks import (
     flags,
     found,
     not_found,
+    occurs,
     one_integer,
     one_of,
     one_text,
@@ -272,19 +273,14 @@ def check_tech_deviation_input(
             f"You provided {scenario}. Available values are: "
             f"{quoted(scenarios_on_offer(data, 'metric'))}"
         )
-    dims = flags(
-        technology_direction,
-        source=found(F.col("scenario_source") == scenario_source),
-        scenario=found(F.col("scenario") == scenario),
-    )
-    if not dims["source"]:
+    if not occurs(technology_direction, F.col("scenario_source") == scenario_source):
         raise not_found(
             "scenario_source",
             "technology_direction",
             scenario_source,
             technology_direction.select("scenario_source"),
         )
-    if not dims["scenario"]:
+    if not occurs(technology_direction, F.col("scenario") == scenario):
         raise not_found(
             "scenario", "technology_direction", scenario, technology_direction.select("scenario")
         )
@@ -332,10 +328,6 @@ def calculate_company_tech_deviation(
                 data, technology_direction, scenario_source, scenario, time_frame
             )
         )
-    if activity_units is None:
-        activity_units = default_activity_units(data.sparkSession)
-    units = activity_units.select("sector", "technology", "activity_unit")
-
     target = target_column(scenario)
     wide = prep_company_alignment_aggregation(
         data, technology_direction, scenario_source, scenario, time_frame, start_year
@@ -345,7 +337,7 @@ def calculate_company_tech_deviation(
     )
     deviations = match(
         add_tech_direction(add_total_tech_deviation(kept, target)),
-        dimension(units),
+        units_of_technologies(data.sparkSession, activity_units),
         ["sector", "technology"],
     )
     if bridge_tech != "none":

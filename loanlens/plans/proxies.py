@@ -9,38 +9,41 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.sources import schemas
+
 SOURCE = "geco_2021"
 SCENARIO = "1.5c"
 TIME_FRAME = 5
 START_YEAR = 1996
 REGION = "ASIA"
 
-SOURCES = ["geco_2021", "weo_2021"]
-SCENARIOS = ["1.5c", "ndc"]
-
-# Part type to sector; every other type is cement.
-SECTOR_OF_TYPE = {
-    "ECONOMY": "power",
-    "SMALL": "automotive",
-    "MEDIUM": "hdv",
-    "LARGE": "coal",
-    "STANDARD": "steel",
-}
-OTHER_SECTOR = "cement"
-
-# Part size modulo the number of entries selects the technology.
-TECHNOLOGIES = {
-    "power": ["coalcap", "gascap", "oilcap", "nuclearcap", "hydrocap", "renewablescap"],
-    "automotive": ["electric", "hybrid", "ice"],
-    "hdv": ["electric", "hybrid", "ice"],
-    "coal": ["coal"],
-    "steel": ["blast furnace", "ac-electric arc furnace"],
-    "cement": ["integrated facility", "grinding"],
+# Part types by the sector they stand for; other types are cement.
+TYPE_OF_SECTOR = {
+    "power": "ECONOMY",
+    "automotive": "SMALL",
+    "hdv": "MEDIUM",
+    "coal": "LARGE",
+    "steel": "STANDARD",
 }
-BUILDOUT = ["electric", "hybrid", "nuclearcap", "hydrocap", "renewablescap"]
+SECTOR = """
+    case p_type when 'ECONOMY' then 'power' when 'SMALL' then 'automotive'
+        when 'MEDIUM' then 'hdv' when 'LARGE' then 'coal' when 'STANDARD' then 'steel'
+        else 'cement' end as sector
+"""
+TECHNOLOGY = """
+    case sector
+        when 'power' then element_at(array('coalcap', 'gascap', 'oilcap', 'nuclearcap',
+            'hydrocap', 'renewablescap'), p_size % 6 + 1)
+        when 'automotive' then element_at(array('electric', 'hybrid', 'ice'), p_size % 3 + 1)
+        when 'hdv' then element_at(array('electric', 'hybrid', 'ice'), p_size % 3 + 1)
+        when 'coal' then 'coal'
+        when 'steel' then if(p_size % 2 = 0, 'blast furnace', 'ac-electric arc furnace')
+        else if(p_size % 2 = 0, 'integrated facility', 'grinding') end as technology
+"""
+BUILDOUT = "technology in ('electric', 'hybrid', 'nuclearcap', 'hydrocap', 'renewablescap')"
 
 PATHWAY_SECTORS = ["power", "automotive", "hdv", "coal"]
 INTENSITY_SECTORS = ["steel", "cement"]
@@ -63,8 +66,7 @@ SECTOR_CODES = [
 ]
 
 
-def cents(amount: Column) -> Column:
-    return F.round(amount * 100).cast("bigint")
+CENTS = "cast(round(l_extendedprice * 100) as bigint)"
 
 
 class Proxies:
@@ -73,83 +75,69 @@ class Proxies:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self.opened:
+            self.opened[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.opened[name]
 
     def parts(self, sectors: list[str]) -> DataFrame:
         """Sector and technology of the parts in some sectors.
 
         The sectors are selected by part type, which the parquet reader can use.
         """
-        types = [t for t, s in SECTOR_OF_TYPE.items() if s in sectors]
-        wanted = F.col("p_type").isin(types)
-        if OTHER_SECTOR in sectors:
-            named = F.col("p_type").isin(list(SECTOR_OF_TYPE))
-            wanted = wanted | ~named | F.col("p_type").isNull()
-        sector = F.lit(OTHER_SECTOR)
-        for part_type, name in SECTOR_OF_TYPE.items():
-            sector = F.when(F.col("p_type") == part_type, name).otherwise(sector)
-        technology = F.lit(None).cast("string")
-        for name, choices in TECHNOLOGIES.items():
-            choice = F.element_at(
-                F.array(*[F.lit(c) for c in choices]), F.col("p_size") % len(choices) + 1
-            )
-            technology = F.when(F.col("sector") == name, choice).otherwise(technology)
-        return (
-            self.table("part")
-            .where(wanted)
-            .withColumn("sector", sector)
-            .select("p_partkey", "sector", technology.alias("technology"))
+        types = [t for s, t in TYPE_OF_SECTOR.items() if s in sectors]
+        parts = self.table("part")
+        if "cement" not in sectors:
+            parts = parts.where(F.col("p_type").isin(types))
+        elif len(types) < len(TYPE_OF_SECTOR):
+            others = [t for s, t in TYPE_OF_SECTOR.items() if s not in sectors]
+            parts = parts.where(F.col("p_type").isNull() | ~F.col("p_type").isin(others))
+        return parts.selectExpr("p_partkey", "p_size", SECTOR).selectExpr(
+            "p_partkey", "sector", TECHNOLOGY
         )
 
     def lines(self, sectors: list[str]) -> DataFrame:
-        """Line items with company, place, technology, year, source and metric."""
-        places = self.table("nation").join(
-            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")
-        )
-        companies = self.table("supplier").join(
-            places, F.col("s_nationkey") == F.col("n_nationkey")
-        )
-        metric = (
-            F.when(F.col("l_returnflag") == "A", "projected")
-            .when(F.col("l_returnflag") == "N", "target_1.5c")
-            .otherwise("target_ndc")
-        )
+        """Line items with company, place, technology, year, source and metric.
+
+        Each dimension is joined by itself, so that its own size decides how.
+        """
         return (
             self.table("lineitem")
-            .join(self.parts(sectors), F.col("l_partkey") == F.col("p_partkey"))
-            .join(companies, F.col("l_suppkey") == F.col("s_suppkey"))
-            .withColumns(
-                {
-                    "year": F.year("l_shipdate"),
-                    "region": F.col("r_name"),
-                    "scenario_source": F.when(
-                        F.col("l_linestatus") == "O", SOURCES[0]
-                    ).otherwise(SOURCES[1]),
-                    "name_abcd": F.col("s_name"),
-                    "metric": metric,
-                }
+            .join(self.parts(sectors), F.expr("l_partkey = p_partkey"))
+            .join(self.table("supplier"), F.expr("l_suppkey = s_suppkey"))
+            .join(self.table("nation"), F.expr("s_nationkey = n_nationkey"))
+            .join(self.table("region"), F.expr("n_regionkey = r_regionkey"))
+            .selectExpr(
+                "*",
+                "year(l_shipdate) as year",
+                "r_name as region",
+                "if(l_linestatus = 'O', 'geco_2021', 'weo_2021') as scenario_source",
+                "s_name as name_abcd",
+                "case l_returnflag when 'A' then 'projected' when 'N' then 'target_1.5c'"
+                " else 'target_ndc' end as metric",
             )
         )
 
     @cached_property
     def tms_results(self) -> DataFrame:
-        quantity = F.col("l_quantity")
         return (
             self.lines(PATHWAY_SECTORS)
             .groupBy(
                 "sector", "technology", "year", "region", "scenario_source", "name_abcd", "metric"
             )
-            .agg(F.sum(F.when(quantity <= 10, 0.0).otherwise(quantity)).alias("production"))
-            .withColumn("technology_share", F.lit(0.0))
-            .withColumn("scope", F.lit("sector"))
-            .withColumn("percentage_of_initial_production_by_scope", F.lit(0.0))
+            .agg(F.expr("sum(if(l_quantity <= 10, 0D, l_quantity)) as production"))
+            .selectExpr(
+                "*",
+                "0D as technology_share",
+                "'sector' as scope",
+                "0D as percentage_of_initial_production_by_scope",
+            )
         )
 
     @cached_property
     def technology_direction(self) -> DataFrame:
-        sign = F.when(F.col("technology").isin(BUILDOUT), 1.0).otherwise(-1.0)
         # The region table has a row per continent.
         regions = self.table("region").agg(F.collect_list("r_name")).scalar()
         return (
@@ -157,11 +145,9 @@ class Proxies:
             .select("sector", "technology")
             .distinct()
             .select("*", F.explode(regions).alias("region"))
-            .select(
-                F.explode(F.array(*[F.lit(s) for s in SOURCES])).alias("scenario_source"), "*"
-            )
-            .select(F.explode(F.array(*[F.lit(s) for s in SCENARIOS])).alias("scenario"), "*")
-            .withColumn("directional_dummy", sign)
+            .selectExpr("*", "explode(array('geco_2021', 'weo_2021')) as scenario_source")
+            .selectExpr("*", "explode(array('1.5c', 'ndc')) as scenario")
+            .selectExpr("*", f"if({BUILDOUT}, 1D, -1D) as directional_dummy")
         )
 
     @cached_property
@@ -170,71 +156,66 @@ class Proxies:
 
         The market's figures add up the companies' sums.
         """
+        place = ["sector", "year", "region", "scenario_source", "metric"]
         sums = (
             self.lines(INTENSITY_SECTORS)
-            .groupBy("sector", "year", "region", "scenario_source", "name_abcd", "metric")
+            .groupBy(*place, "name_abcd")
             .agg(
-                F.sum(cents(F.col("l_extendedprice"))).alias("emitted"),
-                F.sum("l_quantity").alias("output"),
+                F.expr(f"sum({CENTS}) as emitted"),
+                F.expr("sum(l_quantity) as output"),
             )
         )
         market = (
-            sums.groupBy("sector", "year", "region", "scenario_source", "metric")
+            sums.groupBy(*place)
             .agg(F.sum("emitted").alias("emitted"), F.sum("output").alias("output"))
-            .withColumn("name_abcd", F.lit("market"))
+            .selectExpr("*", "'market' as name_abcd")
         )
-        return sums.unionByName(market).select(
+        return sums.unionByName(market).selectExpr(
             "sector",
             "year",
             "region",
             "scenario_source",
             "name_abcd",
-            F.col("metric").alias("emission_factor_metric"),
-            (F.col("emitted").cast("double") / F.col("output")).alias("emission_factor_value"),
+            "metric as emission_factor_metric",
+            "cast(emitted as double) / output as emission_factor_value",
         )
 
     @cached_property
     def matched(self) -> DataFrame:
         """Loans matched to companies; `group_id` tells loan books apart."""
-        lines = self.lines(PATHWAY_SECTORS + INTENSITY_SECTORS)
-        orders = self.table("orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-        currency = F.when(F.col("o_orderstatus") == "F", "EUR").otherwise("USD")
-        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            F.col("o_orderpriority").alias("group_id"),
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id_loan"),
-            cents(F.col("l_extendedprice")).cast("double").alias("loan_size_outstanding"),
-            currency.alias("loan_size_outstanding_currency"),
-            "name_abcd",
-            "sector",
+        return (
+            self.lines(PATHWAY_SECTORS + INTENSITY_SECTORS)
+            .join(self.table("orders"), F.expr("l_orderkey = o_orderkey"))
+            .selectExpr(
+                "o_orderpriority as group_id",
+                "concat(l_orderkey, '-', l_linenumber) as id_loan",
+                f"cast({CENTS} as double) as loan_size_outstanding",
+                "if(o_orderstatus = 'F', 'EUR', 'USD') as loan_size_outstanding_currency",
+                "name_abcd",
+                "sector",
+            )
         )
 
     @cached_property
     def abcd(self) -> DataFrame:
         return (
             self.lines(PATHWAY_SECTORS + INTENSITY_SECTORS)
-            .groupBy(
-                F.col("l_suppkey").alias("company_id"),
-                F.col("s_name").alias("name_company"),
-                "sector",
-                "technology",
-                F.col("n_name").alias("plant_location"),
-                "year",
-            )
+            .groupBy("l_suppkey", "s_name", "sector", "technology", "n_name", "year")
             .agg(F.sum("l_quantity").alias("production"))
-            .select(
-                "company_id",
-                "name_company",
-                F.lit(None).cast("string").alias("lei"),
-                (F.col("company_id") % 10 != 0).alias("is_ultimate_owner"),
+            .selectExpr(
+                "l_suppkey as company_id",
+                "s_name as name_company",
+                "cast(null as string) as lei",
+                "l_suppkey % 10 <> 0 as is_ultimate_owner",
                 "sector",
                 "technology",
-                "plant_location",
+                "n_name as plant_location",
                 "year",
                 "production",
-                F.lit("units").alias("production_unit"),
-                F.lit(None).cast("double").alias("emission_factor"),
-                F.lit(None).cast("string").alias("emission_factor_unit"),
-                F.lit("n/a").alias("ald_timestamp"),
+                "'units' as production_unit",
+                "cast(null as double) as emission_factor",
+                "cast(null as string) as emission_factor_unit",
+                "'n/a' as ald_timestamp",
             )
         )
 
@@ -242,16 +223,14 @@ class Proxies:
     def region_isos(self) -> DataFrame:
         return (
             self.table("nation")
-            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("r_name").alias("region"),
-                F.lower("n_name").alias("isos"),
-                F.explode(F.array(*[F.lit(s) for s in SOURCES])).alias("source"),
+            .join(self.table("region"), F.expr("n_regionkey = r_regionkey"))
+            .selectExpr(
+                "r_name as region",
+                "lower(n_name) as isos",
+                "explode(array('geco_2021', 'weo_2021')) as source",
             )
         )
 
     @cached_property
     def sector_codes(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            SECTOR_CODES, "sector string, code string, borderline boolean, ordinal int"
-        )
+        return self.spark.createDataFrame(SECTOR_CODES, schemas.SECTOR_CODES)
