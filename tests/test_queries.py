@@ -1,0 +1,53 @@
+"""Every query against its SQL on the smallest tables."""
+
+import math
+
+import duckdb
+import pytest
+
+import __spark_entry__
+
+SF_DIR = "/root/testdata/sf0.001"
+TABLES = ["region", "nation", "supplier", "part", "orders", "lineitem"]
+
+QUERIES = __spark_entry__.queries()
+ORACLE = __spark_entry__.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def database():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"create view {name} as select * from '{SF_DIR}/{name}.parquet'")
+    return connection
+
+
+def normal(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+
+    def text(value):
+        if isinstance(value, float):
+            assert not math.isnan(value)
+            return f"{value + 0.0:.9g}"
+        return str(value)
+
+    return sorted(tuple(text(row[i]) for i in order) for row in rows)
+
+
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, database, name):
+    result = QUERIES[name](spark, SF_DIR)
+    cursor = database.execute(ORACLE[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(result.columns)
+    expected = normal(cursor.fetchall(), columns)
+    assert normal(result.collect(), result.columns) == expected
+    assert expected
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
