@@ -1,12 +1,11 @@
 """Joins in which a missing key matches a missing key, and group totals.
 
-Skew.  `match` compares keys null-safely.  Spark still hash-partitions such a join,
-on an exchange of its own directly below the join, and nothing downstream can reuse
-that partitioning.  Both are what adaptive execution needs to split a hot key over
-many tasks, on either side, from the sizes it measured; `tests/test_plans.py` holds
-it to that.  Row-preserving group totals are therefore aggregated (combined map-side
-first) and joined back instead of being windows, which would gather a group in one
-task.  Windows are used only over groups whose size is bounded by what they contain.
+Skew.  A hot key is split by adaptive execution, from the sizes it measured and on
+either side of a join, provided that each side is shuffled just for that join and
+nothing before or after counts on its partitioning.  `split_hot_keys` sees to that.
+Group totals beside rows are therefore aggregated (combined map-side first) and joined
+back instead of being windows, which would gather a group in one task.  Windows are
+used only over groups whose size is bounded by what they contain.
 """
 
 from __future__ import annotations
@@ -27,16 +26,26 @@ NUMBERING_PIECES = 256
 
 
 def match(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    split_hot_keys: bool = False,
 ) -> DataFrame:
-    """Join on `keys`, NULL matching NULL; the key columns appear once, from the left."""
+    """Join on `keys`, NULL matching NULL; the key columns appear once, from the left.
+
+    `split_hot_keys` makes a hash of the keys one more key, which no grouping or other
+    join is partitioned by.  For sides that may be large.
+    """
     renamed = right.select(
         *[field(k).alias(f"_match_{k}") for k in keys],
         *[field(c) for c in right.columns if c not in keys],
     )
-    condition = reduce(
-        lambda a, b: a & b, [field(k).eqNullSafe(field(f"_match_{k}")) for k in keys]
-    )
+    pairs = [(field(k), field(f"_match_{k}")) for k in keys]
+    condition = reduce(lambda a, b: a & b, [a.eqNullSafe(b) for a, b in pairs])
+    if split_hot_keys:
+        left_hash, right_hash = (F.xxhash64(*side) for side in zip(*pairs, strict=True))
+        condition = condition & (left_hash == right_hash)
     return left.join(renamed, condition, how).drop(*[f"_match_{k}" for k in keys])
 
 
@@ -53,7 +62,7 @@ def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def with_group_totals(df: DataFrame, keys: Sequence[str], *totals: Column) -> DataFrame:
     """Every row of `df` with the aggregates of its group beside it."""
     sums = df.groupBy(*[field(k) for k in keys]).agg(*totals)
-    return match(df, sums, keys)
+    return match(df, sums, keys, split_hot_keys=True)
 
 
 def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

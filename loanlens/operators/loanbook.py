@@ -94,7 +94,7 @@ def join_exposure(
     data: DataFrame, exposure: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
     """Company alignment beside every exposure to the company's sector."""
-    company = match(data, exposure, ["name_abcd", "sector"])
+    company = match(data, exposure, ["name_abcd", "sector"], split_hot_keys=True)
     leading = [field(c) for c in by]
     return company.select(
         *leading,

@@ -132,7 +132,7 @@ def remove_tech_no_plans_no_target(data: DataFrame, target: str) -> DataFrame:
         .where((F.col("projected") == 0) & (F.col("target") == 0))
         .select(*COMPANY_TECHNOLOGY_YEAR)
     )
-    return match(data, idle, COMPANY_TECHNOLOGY_YEAR, "left_anti")
+    return match(data, idle, COMPANY_TECHNOLOGY_YEAR, "left_anti", split_hot_keys=True)
 
 
 def remove_sector_no_target(data: DataFrame, target: str) -> DataFrame:
@@ -143,7 +143,7 @@ def remove_sector_no_target(data: DataFrame, target: str) -> DataFrame:
         .where(F.col("target") == 0)
         .select(*COMPANY_SECTOR_YEAR)
     )
-    return match(data, untargeted, COMPANY_SECTOR_YEAR, "left_anti")
+    return match(data, untargeted, COMPANY_SECTOR_YEAR, "left_anti", split_hot_keys=True)
 
 
 def remove_rows_with_inadequate_values(
@@ -177,7 +177,7 @@ def remove_rows_with_inadequate_values(
         .where((F.col("projected") != 0) | (F.col("target") != 0))
         .select(*COMPANY_TECHNOLOGY_YEAR)
     )
-    return match(data, kept, COMPANY_TECHNOLOGY_YEAR, "left_semi")
+    return match(data, kept, COMPANY_TECHNOLOGY_YEAR, "left_semi", split_hot_keys=True)
 
 
 def add_total_tech_deviation(data: DataFrame, target: str) -> DataFrame:
