@@ -41,11 +41,6 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     )
 
 
-def is_aligned(metric: Column) -> Column:
-    """True from zero upwards; NULL for a missing metric (NaN would compare as large)."""
-    return known(metric) >= 0
-
-
 def text_or_na(value: Column) -> Column:
     """The value as text, with the letters NA for a missing one, as in generated ids."""
     return F.coalesce(value.cast("string"), F.lit("NA"))

@@ -21,8 +21,8 @@ from loanlens.functions.missing import field
 # Rows up to which a dimension is broadcast; a few megabytes of short columns.
 BROADCAST_ROWS = 100_000
 
-# Pieces a global numbering is cut into.
-NUMBERING_PIECES = 256
+# A global numbering is cut into this many pieces, squared.
+NUMBERING_STRIDE = 32
 
 
 def match(
@@ -72,18 +72,31 @@ def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     repeatable sample of the keys; sorted, they cut the order into pieces of similar
     size.  A row's number is its rank in its piece plus the rows in earlier pieces.
     """
+    stride = NUMBERING_STRIDE
     key = F.struct(*[field(c) for c in order])
     cuts = (
         df.select(key.alias("key"))
         .orderBy(F.xxhash64("key"), "key")
-        .limit(NUMBERING_PIECES - 1)
-        .agg(F.array_sort(F.collect_list("key")))
+        .limit(stride * stride - 1)
+        .agg(F.array_sort(F.collect_list("key")).alias("all"))
+        .select(F.struct("all", F.filter("all", lambda _, i: i % stride == stride - 1).alias("some")))
         .scalar()
     )
-    pieces = df.withColumn("_cuts", cuts).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda cut: cut <= key))
+
+    def not_after(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda cut: cut <= key))
+
+    # Find the run of cuts around the key first, then the place within the run.
+    pieces = (
+        df.withColumn("_cuts", cuts)
+        .withColumn("_run", not_after(F.col("_cuts.some")) * stride)
+        .withColumn(
+            "_piece",
+            F.col("_run") + not_after(F.slice(F.col("_cuts.all"), F.col("_run") + 1, stride)),
+        )
+        .drop("_cuts", "_run")
     )
-    # At most NUMBERING_PIECES rows from here on, so one task and a broadcast are fine.
+    # One row per piece from here on, so one task and a broadcast are fine.
     sizes = pieces.groupBy("_piece").agg(F.count("*").alias("_size"))
     earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -93,5 +106,5 @@ def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return (
         pieces.join(F.broadcast(offsets), "_piece")
         .withColumn(name, F.row_number().over(within) + F.col("_offset"))
-        .drop("_cuts", "_piece", "_offset")
+        .drop("_piece", "_offset")
     )

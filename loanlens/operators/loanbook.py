@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.functions.missing import field, is_aligned, known, known_total, ratio
+from loanlens.functions.missing import field, known, known_total, ratio
 from loanlens.functions.relations import match, with_group_totals
 from loanlens.operators.checks import one_of, validate_data_has_expected_cols
 from loanlens.operators.company_alignment import LEVELS, arrange
 from loanlens.sources import schemas
 
 GROUP = ["scenario", "region", "sector", "year", "direction"]
+COMPANY_YEAR = ["scenario", "region", "sector", "year", "name_abcd"]
 ALIGNMENT_COLUMNS = [*GROUP, "name_abcd", "activity_unit", "scenario_source", "alignment_metric"]
 CURRENCY = "loan_size_outstanding_currency"
 SIZE = "loan_size_outstanding"
@@ -31,8 +32,7 @@ EXPOSURES = [
 
 
 class LoanbookAlignment(NamedTuple):
-    """Results per company and aggregated.  Both read the same join; persist `company`
-    first if you need both."""
+    """Results per company and per group; each is computed only when it is used."""
 
     company: DataFrame
     aggregate: DataFrame
@@ -55,39 +55,46 @@ def add_exposure_weight(exposure: DataFrame, by: Sequence[str] = ()) -> DataFram
     return totals.withColumn("exposure_weight", weight).drop("_book")
 
 
+def in_both_directions(data: DataFrame, zeros: dict[str, Column]) -> DataFrame:
+    """Rows of `data`, and an opposite for each that is alone in its direction.
+
+    `_first` and `_last` are the first and last direction a company has in a place,
+    year and unit.  `zeros` gives the columns of the opposite that differ.
+    """
+    direction = F.col("direction")
+    alone = (
+        (F.col("_first") == F.col("_last"))
+        & direction.isin("buildout", "phaseout")
+        & F.col("sector").isin(TWO_WAY_SECTORS)
+    )
+    other = F.when(direction == "buildout", "phaseout").otherwise("buildout")
+    changed = {"direction": other, **zeros}
+    columns = [c for c in data.columns if c not in ("_first", "_last")]
+    here = F.struct(*[field(c) for c in columns])
+    opposite = F.struct(*[changed.get(c, field(c)).alias(c) for c in columns])
+    return data.select(F.inline(F.when(alone, F.array(here, opposite)).otherwise(F.array(here))))
+
+
 def add_opposite_directions(data: DataFrame) -> DataFrame:
     """A zero row in the other direction where a company has only one.
 
     Only for sectors that go both ways.  Loans multiply the rows of a company alike,
     so this is done before they are joined.
     """
+    zeros = {"total_deviation": F.lit(0.0), "alignment_metric": F.lit(0.0)}
     data = data.withColumns(
         {
             c: field(c).cast("double") if c in data.columns else F.lit(None).cast("double")
-            for c in ("total_deviation", "alignment_metric")
+            for c in zeros
         }
     )
-    unit = ["scenario", "region", "sector", "year", "name_abcd", "activity_unit"]
     ranged = with_group_totals(
-        data, unit, F.min("direction").alias("_first"), F.max("direction").alias("_last")
-    )
-    other = F.when(F.col("direction") == "buildout", "phaseout").otherwise("buildout")
-    columns = [field(c) for c in data.columns]
-    changed = {
-        "direction": other,
-        "total_deviation": F.lit(0.0),
-        "alignment_metric": F.lit(0.0),
-    }
-    here = F.struct(*columns)
-    opposite = F.struct(*[changed.get(c, field(c)).alias(c) for c in data.columns])
-    alone = (
-        (F.col("_first") == F.col("_last"))
-        & F.col("direction").isin("buildout", "phaseout")
-        & F.col("sector").isin(TWO_WAY_SECTORS)
-    )
-    return ranged.select(
-        F.inline(F.when(alone, F.array(here, opposite)).otherwise(F.array(here)))
+        data,
+        [*COMPANY_YEAR, "activity_unit"],
+        F.min("direction").alias("_first"),
+        F.max("direction").alias("_last"),
     )
+    return in_both_directions(ranged, zeros)
 
 
 def join_exposure(
@@ -105,45 +112,86 @@ def join_exposure(
     )
 
 
-def aggregate_companies(
-    company: DataFrame, level: str, by: Sequence[str] = ()
+def summarise_exposure(exposure: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exposure to a company's sector over its currencies, one row per group."""
+    weight = F.col("exposure_weight")
+    return exposure.groupBy(*[field(k) for k in [*by, "name_abcd", "sector"]]).agg(
+        F.count("*").alias("n_currencies"),
+        F.sum(SIZE).alias("size"),
+        F.sum(weight).alias("weight"),
+        F.count_if(weight != 0).alias("n_weighted"),
+        F.count_if(weight.isNull()).alias("n_unweighted"),
+    )
+
+
+def summarise_alignment(data: DataFrame, level: str) -> DataFrame:
+    """Alignment of a company's sector over its units and sources, per year and direction.
+
+    For `bo_po` opposite directions are added on the way, to one row per unit and
+    direction: few enough for a window, and shuffled by keys the last step shares.
+    """
+    metric = known(F.col("alignment_metric"))
+    sums = [
+        F.count("*").alias("n_rows"),
+        F.count_if(metric >= 0).alias("n_aligned"),
+        F.count(metric).alias("n_known"),
+        F.sum(metric).alias("metric"),
+    ]
+    if level == "net":
+        return data.groupBy("name_abcd", *GROUP).agg(*sums)
+    unit = Window.partitionBy(*COMPANY_YEAR, "activity_unit")
+    per_unit = (
+        data.groupBy("name_abcd", *GROUP, "activity_unit")
+        .agg(*sums)
+        .repartition(*COMPANY_YEAR)
+        .withColumn("_first", F.min("direction").over(unit))
+        .withColumn("_last", F.max("direction").over(unit))
+    )
+    n_rows = F.col("n_rows")
+    both = in_both_directions(
+        per_unit, {"n_aligned": n_rows, "n_known": n_rows, "metric": F.lit(0.0)}
+    )
+    return both.groupBy("name_abcd", *GROUP).agg(
+        *[F.sum(c).alias(c) for c in ("n_rows", "n_aligned", "n_known", "metric")]
+    )
+
+
+def aggregate_alignment(
+    data: DataFrame, exposure: DataFrame, level: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Counts, exposure-weighted alignment and, for `net`, aligned exposure per group.
 
-    Everything is summed per company first, so that counting companies needs no
-    distinct aggregation, and then per group.
+    Sums over a company's rows beside its exposures are products of sums over either,
+    so both are summed first.  A group then meets each company once: companies are
+    counted without a distinct aggregation, and rows are combined into groups before
+    they are shuffled again.
     """
     group = [field(c) for c in [*by, *GROUP]]
-    aligned = is_aligned(F.col("alignment_metric"))
-    metric = known(F.col("alignment_metric"))
-    weight = F.col("exposure_weight")
-    weighed = metric.isNotNull()
-    # A zero weight leaves the metric out even if infinite; a missing one counts.
-    term = F.when(weight == 0, F.lit(0.0)).otherwise(metric * weight)
-
-    per_company = company.groupBy(*group, F.col("name_abcd")).agg(
-        F.count_if(aligned).alias("n_aligned"),
-        known_total(field(SIZE)).alias("size"),
-        known_total(F.when(aligned, field(SIZE))).alias("aligned_size"),
-        F.sum(F.when(weighed, term)).alias("terms"),
-        F.sum(F.when(weighed, weight)).alias("weights"),
-        F.count_if(weighed & weight.isNull()).alias("unweighed"),
+    n_aligned, n_known, weight = F.col("n_aligned"), F.col("n_known"), F.col("weight")
+    # Zero times an infinity would not be a number; zero weights leave a metric out.
+    aligned_size = F.when(n_aligned == 0, 0.0).otherwise(n_aligned * F.col("size"))
+    weighted = F.when((n_known == 0) | (F.col("n_weighted") == 0), 0.0)
+    companies = match(
+        summarise_alignment(data, level),
+        summarise_exposure(exposure, by),
+        ["name_abcd", "sector"],
+        split_hot_keys=True,
     )
-    per_group = per_company.groupBy(*group).agg(
+    per_group = companies.groupBy(*group).agg(
         F.count("*").alias("n_companies"),
-        F.sum("n_aligned").alias("n_companies_aligned"),
-        F.sum("size").alias("sum_loan_size_outstanding"),
-        F.sum("aligned_size").alias("sum_exposure_companies_aligned"),
-        F.sum("terms").alias("terms"),
-        F.sum("weights").alias("weights"),
-        F.sum("unweighed").alias("unweighed"),
+        F.sum(n_aligned * F.col("n_currencies")).alias("n_companies_aligned"),
+        F.sum(F.col("n_rows") * F.col("size")).alias("sum_loan_size_outstanding"),
+        F.sum(aligned_size).alias("sum_exposure_companies_aligned"),
+        F.sum(weighted.otherwise(F.col("metric") * weight)).alias("metrics"),
+        F.sum(F.when(n_known == 0, 0.0).otherwise(n_known * weight)).alias("weights"),
+        F.sum(n_known * F.col("n_unweighted")).alias("n_unweighted"),
     )
     columns = {
         "share_companies_aligned": ratio(
             F.col("n_companies_aligned").cast("double"), F.col("n_companies")
         ),
         "exposure_weighted_net_alignment": F.when(
-            F.col("unweighed") == 0, ratio(F.col("terms"), F.col("weights"))
+            F.col("n_unweighted") == 0, ratio(F.col("metrics"), F.col("weights"))
         ),
     }
     kept = [*COUNTS, "exposure_weighted_net_alignment"]
@@ -189,10 +237,9 @@ def aggregate_alignment_loanbook_exposure(
     check_by(data, by)
 
     exposure = add_exposure_weight(loan_exposure(matched, by), by)
-    if level == "bo_po":
-        data = add_opposite_directions(data)
-    company = join_exposure(data, exposure, by)
-    aggregate = aggregate_companies(company, level, by)
+    rows = add_opposite_directions(data) if level == "bo_po" else data
+    company = join_exposure(rows, exposure, by)
+    aggregate = aggregate_alignment(data, exposure, level, by)
     if arranged:
         aggregate = arrange(aggregate, *by, *GROUP)
     return LoanbookAlignment(company, aggregate)

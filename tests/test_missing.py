@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import (
-    is_aligned,
     known,
     known_total,
     ratio,
@@ -51,14 +50,6 @@ def test_ratio(table, n, d, expected):
     assert value(df, ratio(F.col("n"), F.col("d"))) == expected
 
 
-@pytest.mark.parametrize(
-    "metric, expected",
-    [(0.0, True), (INF, True), (-INF, False), (-0.1, False), (NAN, None), (None, None)],
-)
-def test_is_aligned(table, metric, expected):
-    assert value(table([(metric,)], "m double"), is_aligned(F.col("m"))) is expected
-
-
 def test_known(table):
     df = table([(1.5,), (NAN,), (None,)], "x double")
     assert [r[0] for r in df.select(known(F.col("x"))).collect()] == [1.5, None, None]
