@@ -37,8 +37,14 @@ UNITS = [
 ]
 
 
+def constant(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A few fixed rows as part of the plan, which takes no Python worker to read."""
+    values = ", ".join(str(row) for row in rows)
+    return spark.sql(f"select * from values {values} as fixed({', '.join(columns)})")
+
+
 def default_activity_units(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNITS, schemas.ACTIVITY_UNITS)
+    return constant(spark, UNITS, schemas.column_names(schemas.ACTIVITY_UNITS))
 
 
 def units_of_technologies(spark: SparkSession, activity_units: DataFrame | None) -> DataFrame:
@@ -52,7 +58,7 @@ def units_of_sectors(spark: SparkSession, activity_units: DataFrame | None) -> D
     """The same to be joined by sector; a sector with two units has two rows."""
     if activity_units is None:
         units = sorted({(sector, unit) for sector, _, unit in UNITS})
-        return F.broadcast(spark.createDataFrame(units, "sector string, activity_unit string"))
+        return F.broadcast(constant(spark, units, ["sector", "activity_unit"]))
     return dimension(activity_units.select("sector", "activity_unit").distinct())
 
 

@@ -414,8 +414,8 @@ QUERIES = {
             and k.scenario_source = w.scenario_source and k.sector = w.sector
             and k.year = w.year
           having coalesce(sum(k.target), 0) <> 0)""",
-    "company_tech_deviation": f"select {DEVIATION} from deviated",
-    "company_tech_deviation_gascap": """
+    "tech_deviation": f"select {DEVIATION} from deviated",
+    "tech_deviation_gascap": """
         select * replace (case when technology = 'gascap' then -abs(total_tech_deviation) + 0
           else total_tech_deviation end as total_tech_deviation)
         from deviated where technology is not null""",
@@ -471,7 +471,7 @@ QUERIES = {
     "benchmark_portfolio": aggregate(
         company("net", "book_weighed"), COUNTS, WEIGHTED, EXPOSURES, by="group_id,"
     ),
-    "input_contracts": CONTRACTS,
+    "contract_report": CONTRACTS,
 }
 
 

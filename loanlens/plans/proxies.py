@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.operators.activity_units import constant
 from loanlens.sources import schemas
 
 SOURCE = "geco_2021"
@@ -233,4 +234,4 @@ class Proxies:
 
     @cached_property
     def sector_codes(self) -> DataFrame:
-        return self.spark.createDataFrame(SECTOR_CODES, schemas.SECTOR_CODES)
+        return constant(self.spark, SECTOR_CODES, schemas.column_names(schemas.SECTOR_CODES))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field
-from loanlens.operators import benchmark, company_alignment, loanbook, tech_deviation
+from loanlens.operators import benchmark, company_alignment, loanbook, report
+from loanlens.operators import tech_deviation as deviation
 from loanlens.operators.activity_units import build_activity_units
-from loanlens.operators.report import contract_report
 from loanlens.plans.proxies import (
     REGION,
     SCENARIO,
@@ -24,12 +24,11 @@ from loanlens.plans.proxies import (
     Proxies,
 )
 
-TARGET = tech_deviation.target_column(SCENARIO)
+TARGET = deviation.target_column(SCENARIO)
 BY = ["group_id"]
 
 RATIOS = [
     "alignment_metric",
-    "total_deviation_sda",
     "exposure_weight",
     "share_companies_aligned",
     "exposure_weighted_net_alignment",
@@ -50,9 +49,9 @@ def comparable(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
 def long_rows(px: Proxies) -> DataFrame:
     data = px.tms_results
-    return tech_deviation.restrict_to_scenario(
-        data, SOURCE, "metric", TARGET, tech_deviation.first_year(data), TIME_FRAME
-    ).drop(*tech_deviation.NOT_IDENTIFYING)
+    return deviation.restrict_to_scenario(
+        data, SOURCE, "metric", TARGET, deviation.first_year(data), TIME_FRAME
+    ).drop(*deviation.NOT_IDENTIFYING)
 
 
 def tms_filter_years(px: Proxies) -> DataFrame:
@@ -61,14 +60,14 @@ def tms_filter_years(px: Proxies) -> DataFrame:
 
 def tms_pivot(px: Proxies) -> DataFrame:
     return comparable(
-        tech_deviation.spread_metrics(
+        deviation.spread_metrics(
             long_rows(px), "metric", "production", ["projected", TARGET]
         )
     )
 
 
 def wide_rows(px: Proxies) -> DataFrame:
-    return tech_deviation.prep_company_alignment_aggregation(
+    return deviation.prep_company_alignment_aggregation(
         px.tms_results, px.technology_direction, SOURCE, SCENARIO, TIME_FRAME
     )
 
@@ -78,15 +77,15 @@ def tms_direction_join(px: Proxies) -> DataFrame:
 
 
 def tms_drop_empty_tech(px: Proxies) -> DataFrame:
-    return comparable(tech_deviation.remove_tech_no_plans_no_target(wide_rows(px), TARGET))
+    return comparable(deviation.remove_tech_no_plans_no_target(wide_rows(px), TARGET))
 
 
 def tms_drop_zero_sector(px: Proxies) -> DataFrame:
-    return comparable(tech_deviation.remove_sector_no_target(wide_rows(px), TARGET))
+    return comparable(deviation.remove_sector_no_target(wide_rows(px), TARGET))
 
 
 def deviations(px: Proxies, bridge_tech: str = "none") -> DataFrame:
-    return tech_deviation.calculate_company_tech_deviation(
+    return deviation.calculate_company_tech_deviation(
         px.tms_results,
         px.technology_direction,
         SOURCE,
@@ -97,11 +96,11 @@ def deviations(px: Proxies, bridge_tech: str = "none") -> DataFrame:
     )
 
 
-def company_tech_deviation(px: Proxies) -> DataFrame:
+def tech_deviation(px: Proxies) -> DataFrame:
     return comparable(deviations(px))
 
 
-def company_tech_deviation_gascap(px: Proxies) -> DataFrame:
+def tech_deviation_gascap(px: Proxies) -> DataFrame:
     return comparable(deviations(px, "gascap"))
 
 
@@ -142,7 +141,7 @@ def complete_directions(px: Proxies) -> DataFrame:
 def sda_pivot(px: Proxies) -> DataFrame:
     data = px.sda_results
     wide = company_alignment.prep_and_wrangle_aggregate_alignment_sda(
-        data, SOURCE, TARGET, tech_deviation.first_year(data), TIME_FRAME
+        data, SOURCE, TARGET, deviation.first_year(data), TIME_FRAME
     )
     return comparable(wide, also=("projected", TARGET))
 
@@ -268,9 +267,9 @@ def benchmark_portfolio(px: Proxies) -> DataFrame:
     )
 
 
-def input_contracts(px: Proxies) -> DataFrame:
+def contract_report(px: Proxies) -> DataFrame:
     """All value checks, two of them failing on purpose."""
-    return contract_report(
+    return report.contract_report(
         tms_results=px.tms_results,
         technology_direction=px.technology_direction,
         sda_results=px.sda_results,
@@ -289,8 +288,8 @@ ALL = [
     tms_direction_join,
     tms_drop_empty_tech,
     tms_drop_zero_sector,
-    company_tech_deviation,
-    company_tech_deviation_gascap,
+    tech_deviation,
+    tech_deviation_gascap,
     net_scenario_value,
     total_deviation,
     company_alignment_net,
@@ -315,7 +314,7 @@ ALL = [
     sector_code_pick,
     benchmark_loanbook,
     benchmark_portfolio,
-    input_contracts,
+    contract_report,
 ]
 
 
