@@ -229,7 +229,7 @@ def aggregate_alignment_loanbook_exposure(
     `level` says whether `data` is net or split into build-out and phase-out.
     """
     one_of("level", level, LEVELS)
-    by = [by] if isinstance(by, str) else list(by or [])
+    by = [by] if isinstance(by, str) else list(dict.fromkeys(by or []))
     validate_data_has_expected_cols(data, ALIGNMENT_COLUMNS)
     validate_data_has_expected_cols(
         matched, [*schemas.column_names(schemas.MATCHED_LOANS), *by]
