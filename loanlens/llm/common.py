@@ -106,3 +106,30 @@ def runs(keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.empty(0, np.int64)
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+
+
+def byte_map(texts: pa.Array, places: np.ndarray) -> pa.Array:
+    """Each text with its UTF-8 bytes replaced by places[byte]; only ASCII may change. NULL: empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(
+        len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(places[raw])
+    )
+
+
+def _alphanumeric() -> np.ndarray:
+    places = np.arange(256, dtype=np.uint8)
+    places[:128] = 32
+    for first, last, to in ((48, 57, 48), (97, 122, 97), (65, 90, 97)):
+        places[first : last + 1] = np.arange(last - first + 1) + to
+    return places
+
+
+ALPHANUMERIC = _alphanumeric()
+
+
+def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of ASCII letters, digits and anything beyond ASCII, A-Z in lower case."""
+    return split_words(pc.ascii_split_whitespace(byte_map(texts, ALPHANUMERIC)))
