@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task turns to arrays at a time; a longer text is taken alone.
 SLICE_BYTES = 4_000_000
@@ -47,6 +48,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema with one more column."""
+    return T.StructType([*df.schema, T.StructField(name, kind)])
+
+
 def remainder(key: Column | str, modulus: int) -> Column:
     """crc32 of a key's text, modulo; NULL for a NULL key."""
     key = F.col(key) if isinstance(key, str) else key

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import table
+from loanlens.llm import language, personal
+from loanlens.llm.common import remainder, table
 from loanlens.llm.decontaminate import contamination
 from loanlens.llm.minhash import near_duplicates
+from loanlens.llm.pieces import decoded, encoded
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,54 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = (op1_minhash_near_dedup, op2_benchmark_decontamination)
+def _held_out(parts: int, held_out: int) -> Column:
+    """Whether a row is held out; one without an id is not learned from, nor held out."""
+    return F.coalesce(remainder("doc_id", parts) == held_out, F.lit(False)).alias("held_out")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.learning_rows(docs))
+    return language.predictions(docs.select("doc_id", "text"), model).select(
+        "doc_id", _held_out(5, 0), "lang_pred", "score"
+    )
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = "transform({}, s -> concat_ws(':', s.kind, s.start, s.stop))"
+    base = "filter(spans, s -> s.base)"
+    return personal.personal_spans(docs).select(
+        "doc_id",
+        *(
+            F.expr(f"size(filter(spans, s -> s.base AND s.kind = '{kind}'))")
+            .cast("long")
+            .alias(f"n_{kind}")
+            for kind in personal.BASE_KINDS
+        ),
+        F.sha2(F.array_join(F.expr(written.format(base)), ","), 256).alias("base_sha256"),
+        F.array_join(F.expr(written.format("spans")), ",").alias("spans"),
+    )
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decoded(encoded(docs), text_column="decoded").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+QUERIES = (
+    op1_minhash_near_dedup,
+    op2_benchmark_decontamination,
+    op4_language_id,
+    op7_pii,
+    op10_sentencepiece,
+)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
