@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from loanlens.plans import oracle
+from loanlens.plans import queries as plans
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "supplier", "part", "orders", "lineitem"]
 
-QUERIES = __spark_entry__.queries()
-ORACLE = __spark_entry__.oracle_sql()
+QUERIES = plans.registered()
+ORACLE = oracle.registered()
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,11 @@ def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_entry_points_list_them():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLE) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
     result = QUERIES[name](spark, SF_DIR)
