@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import language, personal
-from loanlens.llm.common import remainder, table
+from loanlens.llm import language, personal, quality
+from loanlens.llm.common import remainder, stored, table
 from loanlens.llm.decontaminate import contamination
 from loanlens.llm.minhash import near_duplicates
 from loanlens.llm.pieces import decoded, encoded
+from loanlens.llm.sharding import sharded
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,34 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated labels of a document count by their mean; a tie counts as 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = stored(quality.with_statistics(docs))
+    labels = (
+        table(spark, sf_dir, "labels")
+        .groupBy("doc_id")
+        .agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    )
+    learned = rows.filter(remainder("doc_id", 3) != 1).join(labels, "doc_id")
+    score = quality.fit(learned).score()
+    return rows.select("doc_id", _held_out(3, 1), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     written = "transform({}, s -> concat_ws(':', s.kind, s.start, s.stop))"
@@ -75,6 +104,8 @@ QUERIES = (
     op1_minhash_near_dedup,
     op2_benchmark_decontamination,
     op4_language_id,
+    op5_quality,
+    op6_sharding,
     op7_pii,
     op10_sentencepiece,
 )
