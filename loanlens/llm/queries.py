@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from loanlens.llm import language, personal, quality
 from loanlens.llm.common import remainder, stored, table
+from loanlens.llm.counting import EDITS, counted, recounted
 from loanlens.llm.decontaminate import contamination
 from loanlens.llm.minhash import near_duplicates
 from loanlens.llm.pieces import decoded, encoded
 from loanlens.llm.sharding import sharded
+from loanlens.llm.weighted import fingerprinted
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,28 @@ def _held_out(parts: int, held_out: int) -> Column:
     return F.coalesce(remainder("doc_id", parts) == held_out, F.lit(False)).alias("held_out")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, and after two edits: its middle gets a remark, its end loses a word.
+
+    The edits are made of the text's own words, so that they differ from text to text.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = F.expr(
+        f"""CASE WHEN length(text) >= 40 THEN CAST(array(
+              struct(length(text) DIV 2, length(text) DIV 2 + 3,
+                     concat('; see ', substring(text, 1, 20), ' ')),
+              struct(length(text) - 8, length(text), '.')) AS {EDITS}) END"""
+    )
+    before = counted(docs).withColumn("edits", edits).withColumn("n_before", F.col("n_tokens"))
+    return recounted(before).select(
+        "doc_id",
+        F.col("n_before").alias("n_tokens"),
+        F.col("n_tokens").alias("n_tokens_edited"),
+        "encoded_chars",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("edited_sha256"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.learning_rows(docs))
@@ -100,13 +124,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_minhash_near_dedup,
     op2_benchmark_decontamination,
+    op3_token_counts,
     op4_language_id,
     op5_quality,
     op6_sharding,
     op7_pii,
+    op8_fingerprints,
     op10_sentencepiece,
 )
 
