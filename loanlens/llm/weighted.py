@@ -1,11 +1,14 @@
 """Document fingerprints by consistent weighted sampling, in column expressions alone.
 
-A text's terms are its words, weighted by how often they occur. For each of the samples of a
-fingerprint every term draws, from a hash of itself, r and c from a Gamma(2, 1) distribution and
-b uniform. Its weight w is rounded down to y = exp(r * (t - b)) with t = floor(ln w / r + b), and
-the term with the smallest c / (y * exp(r)) is the sample, together with its t. Two texts have
-equal samples with a chance that is their generalised Jaccard similarity: the sum of the smaller
-weights over the sum of the larger.
+A text's terms are its words, weighted by how often they occur. Weights are cut into chunks of
+at most CHUNK, which leaves the sums of smaller and of larger weights of two texts as they are,
+and a hash deals each chunk to one of the bins of a fingerprint. Within its bin a chunk draws,
+from the same hash, r and c from a Gamma(2, 1) distribution and b uniform. Its weight w is
+rounded down to y = exp(r * (t - b)) with t = floor(ln w / r + b), and the chunk with the
+smallest c / (y * exp(r)) is the bin's sample, together with its t. Two texts have equal samples
+in a bin with a chance that is the generalised Jaccard similarity of what the bin holds: the sum
+of the smaller weights over the sum of the larger. Chunks keep bins about equally heavy, so that
+the share of equal samples among bins that either text fills estimates that of whole texts.
 """
 
 from __future__ import annotations
@@ -15,69 +18,91 @@ from pyspark.sql import functions as F
 
 from loanlens.llm.common import stored
 
-#: Samples of a fingerprint.
-SAMPLES = 32
+#: Bins of a fingerprint, a power of two of at most 256, and the largest weight of a chunk.
+BINS, CHUNK = 64, 2
 #: White space between words.
 SPACES = "[ \\t-\\r]+"
+#: What stands for an empty bin.
+EMPTY = "f" * 8
 
 
-def _uniform(bits: Column, place: int) -> Column:
-    """The place-th 21 bits of a hash, as a number between 0 and 1, neither included."""
-    cut = F.shiftrightunsigned(bits, 21 * place).bitwiseAND(F.lit(2**21 - 1))
-    return (cut + F.lit(0.5)) * F.lit(2.0**-21)
+def _uniform(bits: Column, first: int, n: int) -> Column:
+    """n bits of a hash as a number between 0 and 1, neither included."""
+    cut = F.shiftrightunsigned(bits, first).bitwiseAND(F.lit(2**n - 1))
+    return (cut + F.lit(0.5)) * F.lit(2.0**-n)
 
 
-def _sample(term: Column, log_weight: Column, number: int) -> Column:
-    """A term's draw for one sample as a long: its rank above, what identifies the sample below."""
-    one = F.xxhash64(term, F.lit(2 * number))
-    two = F.xxhash64(term, F.lit(2 * number + 1))
-    r = -F.log(_uniform(one, 0) * _uniform(one, 1))
-    c = -F.log(_uniform(two, 0) * _uniform(two, 1))
-    b = _uniform(one, 2)
-    t = F.floor(log_weight / r + b)
+def _drawn(term: Column, weight: Column) -> Column:
+    """A chunk's draw as a long: its rank above, what identifies the sample below."""
+    more = F.xxhash64(term, F.lit(1))
+    r = -F.log(_uniform(term, 8, 28) * _uniform(term, 36, 28))
+    c = -F.log(_uniform(more, 0, 21) * _uniform(more, 21, 21))
+    b = _uniform(more, 42, 21)
+    t = F.floor(F.log(weight) / r + b)
     log_a = F.log(c) - r * (t - b + F.lit(1.0))
-    rank = F.floor((F.greatest(log_a, F.lit(-63.0)) + F.lit(64.0)) * F.lit(2.0**25))
-    name = (term.bitwiseXOR(t * F.lit(0x9E3779B1))).bitwiseAND(F.lit(2**32 - 1))
+    # Below 2**31, so that the rank keeps its order when it is moved up by 32 bits.
+    rank = F.floor((F.greatest(log_a, F.lit(-63.0)) + F.lit(64.0)) * F.lit(2.0**24))
+    # Bits that the bin does not fix; never those that stand for an empty bin.
+    name = F.shiftrightunsigned(F.xxhash64(term, t), 8) % F.lit(2**32 - 1)
     return F.shiftleft(rank, 32).bitwiseOR(name)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and samples (an array of longs) of each text; NULL where the text has no words.
+def fingerprints(texts: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
+    """keys and samples (an array of a long per bin, NULL if empty) of each text that has words.
 
-    texts has a column text besides keys, which must tell its rows apart.
+    texts has a column text besides keys, which must tell its rows apart. If texts is partitioned
+    by some of the keys, nothing is shuffled.
     """
-    words = texts.select(*keys, F.explode_outer(F.split("text", SPACES)).alias("word"))
+    words = texts.select(*keys, F.explode(F.split("text", SPACES)).alias("word"))
     terms = (
-        words.select(*keys, F.expr("CASE WHEN word != '' THEN xxhash64(word) END").alias("term"))
-        .groupBy(*keys, "term")
-        .agg(F.log(F.count("*").cast("double")).alias("log_weight"))
-    )
-    drawn = terms.groupBy(*keys).agg(
-        *(
-            F.min(_sample(F.col("term"), F.col("log_weight"), k)).alias(f"sample{k}")
-            for k in range(samples)
+        words.filter("word != ''")
+        .select(*keys, F.xxhash64("word").alias("word"))
+        .groupBy(*keys, "word")
+        .agg(F.count("*").alias("n"))
+    )
+    chunks = terms.select(
+        *keys, "word", "n", F.explode(F.expr(f"sequence(0L, (n - 1) DIV {CHUNK})")).alias("chunk")
+    ).select(
+        *keys,
+        F.xxhash64("word", "chunk").alias("term"),
+        F.least(F.col("n") - CHUNK * F.col("chunk"), F.lit(CHUNK)).cast("double").alias("weight"),
+    )
+    drawn = (
+        chunks.select(
+            *keys,
+            F.col("term").bitwiseAND(F.lit(bins - 1)).alias("bin"),
+            _drawn(F.col("term"), F.col("weight")).alias("sample"),
         )
+        .groupBy(*keys, "bin")
+        .agg(F.min("sample").alias("sample"))
     )
-    name = F.lit(2**32 - 1)
-    return drawn.select(
+    by_bin = drawn.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "sample"))).alias("by_bin")
+    )
+    return by_bin.select(
         *keys,
-        F.when(
-            F.col("sample0").isNotNull(),
-            F.array(*(F.col(f"sample{k}").bitwiseAND(name) for k in range(samples))),
+        F.expr(
+            f"transform(sequence(0L, {bins - 1}L), b -> by_bin[b] & {2**32 - 1}L)"
         ).alias("samples"),
     )
 
 
 def written(samples: str) -> Column:
-    """A fingerprint as text, 8 hexadecimal digits a sample; '' without words."""
+    """A fingerprint as text, 8 hexadecimal digits a bin; '' without words."""
+    digits = f"coalesce(lower(lpad(hex(s), 8, '0')), '{EMPTY}')"
     return F.coalesce(
-        F.expr(f"lower(array_join(transform({samples}, s -> lpad(hex(s), 8, '0')), ''))"), F.lit("")
+        F.expr(f"array_join(transform({samples}, s -> {digits}), '')"), F.lit("")
     )
 
 
 def likeness(left: str, right: str) -> Column:
-    """Share of equal samples; 1 for two texts without words, 0 for one."""
-    equal = f"size(filter(zip_with({left}, {right}, (a, b) -> a = b), s -> s)) / size({left})"
+    """Share of equal samples among bins that are not both empty.
+
+    1 for two texts without words, 0 for one.
+    """
+    both = f"zip_with({left}, {right}, (a, b) -> CASE WHEN a IS NULL AND b IS NULL THEN NULL "
+    both += "ELSE coalesce(a = b, false) END)"
+    equal = f"size(filter({both}, s -> s)) / size(filter({both}, s -> s IS NOT NULL))"
     return F.expr(
         f"CASE WHEN {left} IS NULL AND {right} IS NULL THEN 1D "
         f"WHEN {left} IS NULL OR {right} IS NULL THEN 0D ELSE {equal} END"
@@ -168,7 +193,7 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def fingerprinted(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", samples: int = SAMPLES
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", bins: int = BINS
 ) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they are.
 
@@ -189,13 +214,13 @@ def fingerprinted(
             )
         ).alias("of"),
     ).select(*KEYS, "of.side", "of.text")
-    drawn = fingerprints(sides, [*KEYS, "side"], samples)
+    drawn = fingerprints(sides, [*KEYS, "side"], bins)
     by_side = drawn.groupBy(*KEYS).agg(
         F.first(F.expr("CASE WHEN side = 0 THEN samples END"), ignorenulls=True).alias("own"),
         F.first(F.expr("CASE WHEN side = 1 THEN samples END"), ignorenulls=True).alias("changed"),
     )
     plain = pairs.select(*KEYS, "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    made = stored(plain.join(by_side, KEYS))
+    made = stored(plain.join(by_side, KEYS, "left"))
     prints = made.dropDuplicates(KEYS).select(
         *(F.col(k).alias(f"next_{k}") for k in KEYS), F.col("own").alias("next")
     )
