@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import language, personal, quality
+from loanlens.llm import language, maxent, personal, quality
 from loanlens.llm.common import remainder, stored, table
 from loanlens.llm.counting import EDITS, counted, recounted
 from loanlens.llm.decontaminate import contamination
@@ -113,6 +113,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    training = docs.filter(remainder("doc_id", 5) != 1)
+    model = maxent.fit(training.select(F.col("doc_id").alias("id"), "text"))
+    return maxent.scored(docs, model).select(
+        "doc_id",
+        _held_out(5, 1),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decoded(encoded(docs), text_column="decoded").select(
@@ -137,6 +152,7 @@ QUERIES = (
     op6_sharding,
     op7_pii,
     op8_fingerprints,
+    op9_lm_scoring,
     op10_sentencepiece,
 )
 
