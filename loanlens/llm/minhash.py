@@ -28,6 +28,9 @@ from loanlens.llm.components import components
 ROWS, BANDS = 5, 36
 #: Low bits kept of each minimum.
 BITS = 4
+#: Bits of the filter that spares documents without candidates; a bound of 1 MB for each task.
+#: It lets through every document with candidates, and ever more others the fuller it is.
+FILTER_BITS = 1 << 23
 #: Members of a block when the rest of a bucket is compared.
 BLOCK = 256
 #: Shingles that are hashed at a time: as many as the CPU's cache holds.
@@ -169,22 +172,38 @@ def signatures(
     return docs.select("id", "text").mapInArrow(each, SIGNATURE_SCHEMA)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents whose id is wanted; texts are not shuffled."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    marked = np.zeros(FILTER_BITS // 64, U64)
+    own = wanted.select(slot.alias("slot")).select(
+        F.expr("slot DIV 64").alias("at"), F.expr("shiftleft(1L, int(slot % 64))").alias("bit")
+    )
+    # At most FILTER_BITS / 64 rows.
+    for at, bits in own.groupBy("at").agg(F.bit_or("bit")).collect():
+        marked[at] = np.int64(bits).view(U64)
+    shared = docs.sparkSession.sparkContext.broadcast(marked)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            shingles, starts = shingle_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(
-                        [shingles[i:j].tobytes() for i, j in zip(starts, starts[1:])],
-                        pa.binary(),
-                    ),
-                ],
-                ["id", "shingles"],
-            )
+        marked = shared.value
+        for batch in batches:
+            at = batch.column("slot").to_numpy(zero_copy_only=False).astype(U64)
+            batch = batch.filter(pa.array((marked[at >> U64(6)] >> (at & U64(63)) & U64(1)) > 0))
+            for part in slices([batch], "text"):
+                shingles, starts = shingle_sets(part.column("text"), words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        pa.array(
+                            [shingles[i:j].tobytes() for i, j in zip(starts, starts[1:])],
+                            pa.binary(),
+                        ),
+                    ],
+                    ["id", "shingles"],
+                )
 
-    return docs.mapInArrow(each, SET_SCHEMA)
+    found = docs.filter("id IS NOT NULL").withColumn("slot", slot).mapInArrow(each, SET_SCHEMA)
+    return found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFrame:
@@ -212,7 +231,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFram
     )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, share: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs with 100 * intersection >= share * union, counted on their full sets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,9 +244,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, share: int) -> Dat
                 keep.append(100 * both >= share * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _sets(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]), words)
-    sets = stored(sets)
     return (
         pairs.join(sets.toDF("b", "right"), "b")
         .join(sets.toDF("a", "left"), "a")
@@ -236,17 +252,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, share: int) -> Dat
     )
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 def _cut(share: int, n: int) -> float:
-    """Six standard deviations of the estimate below the similarity asked for."""
-    s = share / 100
-    return s - 6 * (s * (1 - s) / n) ** 0.5 - 0.02
+    """Five standard deviations of the estimate below the similarity asked for."""
+    chance, s = 2.0**-BITS, share / 100
+    agree = chance + (1 - chance) * s
+    return s - 5 * (agree * (1 - agree) / n) ** 0.5 / (1 - chance)
 
 
-def _rest(members: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFrame:
-    """Alike pairs across components, within buckets that hold several components.
+def _divided(members: DataFrame) -> DataFrame:
+    """Members (key, id, component) of buckets that hold several components.
 
-    members has key, id and component. In each bucket the largest component's members are never
-    compared with each other. Members are dealt to blocks, and each task compares two blocks.
+    With the bucket's largest component, and into how many blocks that and the rest are cut.
     """
     by_part = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     heavy = (
@@ -264,7 +284,20 @@ def _rest(members: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFra
             F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"),
         )
     )
-    dealt = members.join(heavy, "key").withColumn("inside", F.expr("component = heavy"))
+    return members.join(heavy, "key")
+
+
+def _rest(
+    divided: DataFrame, nodes: DataFrame, sets: DataFrame, n: int, least: float, share: int
+) -> DataFrame:
+    """Likely links across components of a bucket that hold several.
+
+    A bucket's largest component is never compared with itself. Members are dealt to blocks, and
+    a task compares two blocks at a time: first signatures, each pair in the first band that it
+    shares, then sets, of which half of each hash is sent. No pair is listed but those that
+    would be linked, and of these only as many as join what is apart within the two blocks.
+    """
+    dealt = divided.withColumn("inside", F.expr("component = heavy"))
     among = F.when(F.col("inside"), F.col("heavy_blocks")).otherwise(F.col("blocks"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), among).cast("int"))
     meetings = F.expr(
@@ -275,11 +308,27 @@ def _rest(members: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFra
              transform(sequence(0, heavy_blocks - 1), i -> struct(block AS i, -1 - i AS j)))
            END"""
     )
+
+    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = [
+                (np.frombuffer(s.as_buffer(), U64) >> U64(32)).astype(np.uint32).tobytes()
+                for s in batch.column("shingles")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(halves, pa.binary())], ["id", "halves"]
+            )
+
+    about = nodes.select("id", "signature", "bands").join(
+        sets.mapInArrow(halved, "id long, halves binary"), "id"
+    )
     met = (
         dealt.withColumn("met", F.explode(meetings))
-        .select(F.xxhash64("key", "met.i", "met.j").alias("meeting"), "id", "component")
-        .join(nodes.select("id", "signature"), "id")
-        .select("meeting", "id", "component", "signature")
+        .select(
+            F.xxhash64("key", "met.i", "met.j").alias("meeting"), "key", "id", "component"
+        )
+        .join(about, "id")
+        .select("meeting", "key", "id", "component", "signature", "bands", "halves")
     )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,22 +336,12 @@ def _rest(members: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFra
 
         def compared(table: pa.Table) -> pa.RecordBatch:
             meeting = table.column("meeting").to_numpy()
-            ids = table.column("id").to_numpy()
-            parts = table.column("component").to_numpy()
-            raw = np.frombuffer(
-                b"".join(table.column("signature").to_pylist()), np.uint8
-            ).reshape(len(ids), -1)
-            found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            found: list[tuple[int, int]] = []
             begins = runs(meeting)
-            for i, j in zip(begins, np.append(begins[1:], len(ids))):
-                for x in range(i, j - 1):
-                    other = x + 1 + np.flatnonzero(parts[x + 1 : j] != parts[x])
-                    if len(other):
-                        near = other[estimates(raw[x], raw[other], n) >= least]
-                        found_a.append(np.minimum(ids[x], ids[near]))
-                        found_b.append(np.maximum(ids[x], ids[near]))
+            for i, j in zip(begins, np.append(begins[1:], len(meeting))):
+                found += _meeting(table.slice(i, j - i), n, least, share)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"]
+                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"]
             )
 
         for batch in batches:
@@ -326,6 +365,39 @@ def _rest(members: DataFrame, nodes: DataFrame, n: int, least: float) -> DataFra
     )
 
 
+def _meeting(table: pa.Table, n: int, least: float, share: int) -> list[tuple[int, int]]:
+    """Links that join components among the members of two blocks of a bucket."""
+    ids = table.column("id").to_numpy()
+    key = table.column("key")[0].as_py()
+    signature = np.frombuffer(
+        b"".join(table.column("signature").to_pylist()), np.uint8
+    ).reshape(len(ids), -1)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    halves = [np.sort(np.frombuffer(h, np.uint32)) for h in table.column("halves").to_pylist()]
+    part = table.column("component").to_numpy().copy()
+    found = []
+    for x in range(len(ids) - 1):
+        other = x + 1 + np.flatnonzero(part[x + 1 :] != part[x])
+        other = other[estimates(signature[x], signature[other], n) >= least]
+        if not len(other):
+            continue
+        first = (bands[other] == bands[x]).argmax(axis=1)
+        other = other[bands[x][first] == key]
+        if not len(other) or not len(halves[x]):
+            continue
+        sizes = np.array([len(halves[y]) for y in other])
+        theirs = np.concatenate([halves[y] for y in other])
+        at = np.searchsorted(halves[x], theirs).clip(max=len(halves[x]) - 1)
+        total = np.concatenate([[0], np.cumsum(halves[x][at] == theirs)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        both = total[ends[1:]] - total[ends[:-1]]
+        for y in other[100 * both >= share * (len(halves[x]) + sizes - both)]:
+            if part[y] != part[x]:
+                found.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                part[part == part[y]] = part[x]
+    return found
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -367,17 +439,20 @@ def near_duplicates(
     )
     members = stored(banded.join(buckets, "key"))
     star = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = stored(_confirmed(stored(_alike(star.distinct(), nodes, n, least)), docs, words, share))
+    tried = stored(_alike(star.distinct(), nodes, n, least))
+    links = stored(_confirmed(tried, stored(_sets(docs, _ids(tried), words)), share))
     parts = components(links)
-    labelled = (
+    labelled = stored(
         members.filter("n > 2")
         .join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
         .select("key", "id", F.coalesce("component", "id").alias("component"))
     )
-    rest = stored(_rest(stored(labelled), nodes, n, least))
+    divided = stored(_divided(labelled))
+    sets = stored(_sets(docs, divided.select("id").distinct(), words))
+    rest = stored(_rest(divided, nodes, sets, n, least, share))
     if rest.take(1):
-        untried = stored(rest.join(links, ["a", "b"], "left_anti"))
-        more = stored(_confirmed(untried, docs, words, share))
+        # Halves of hashes may agree by chance: once more on whole ones.
+        more = stored(_confirmed(rest, sets, share))
         parts = components(parts.toDF("a", "b").unionByName(more))
     classes = (
         nodes.select("id", "key_low", "key_high")
