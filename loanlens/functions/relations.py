@@ -21,8 +21,8 @@ from loanlens.functions.missing import field
 # Rows up to which a dimension is broadcast; a few megabytes of short columns.
 BROADCAST_ROWS = 100_000
 
-# A global numbering is cut into this many pieces, squared.
-NUMBERING_STRIDE = 32
+# Rows of a piece of a global numbering, on average.
+NUMBERED_ROWS = 100_000
 
 
 def match(
@@ -68,20 +68,28 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], *totals: Column) -> Da
 def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Number the rows 1..n along `order` (NULL first) on many tasks.
 
-    `order` must identify a row.  The rows with the smallest key hashes are an even,
-    repeatable sample of the keys; sorted, they cut the order into pieces of similar
-    size.  A row's number is its rank in its piece plus the rows in earlier pieces.
+    `order` must identify a row.  The rows whose key hash falls below a bound, which is
+    set by the number of rows, are an even, repeatable sample of the keys; sorted, they
+    cut the order into pieces of similar size, as many as the table asks for.  A row's
+    number is its rank in its piece plus the rows in earlier pieces.
     """
-    stride = NUMBERING_STRIDE
     key = F.struct(*[field(c) for c in order])
-    cuts = (
+    every = F.greatest(F.count("*") / NUMBERED_ROWS, F.lit(1.0))
+    pieces_wanted = df.agg(F.coalesce(every / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0))).scalar()
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < pieces_wanted * float(1 << 40)
+    sampled = (
         df.select(key.alias("key"))
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(stride * stride - 1)
+        .where(drawn)
         .agg(F.array_sort(F.collect_list("key")).alias("all"))
-        .select(F.struct("all", F.filter("all", lambda _, i: i % stride == stride - 1).alias("some")))
-        .scalar()
+        .withColumn("stride", F.greatest(F.ceil(F.sqrt(F.size("all"))).cast("int"), F.lit(1)))
     )
+    cuts = sampled.select(
+        F.struct(
+            "all",
+            "stride",
+            F.filter("all", lambda _, i: i % F.col("stride") == F.col("stride") - 1).alias("some"),
+        )
+    ).scalar()
 
     def not_after(cuts: Column) -> Column:
         return F.size(F.filter(cuts, lambda cut: cut <= key))
@@ -89,10 +97,11 @@ def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     # Find the run of cuts around the key first, then the place within the run.
     pieces = (
         df.withColumn("_cuts", cuts)
-        .withColumn("_run", not_after(F.col("_cuts.some")) * stride)
+        .withColumn("_run", not_after(F.col("_cuts.some")) * F.col("_cuts.stride"))
         .withColumn(
             "_piece",
-            F.col("_run") + not_after(F.slice(F.col("_cuts.all"), F.col("_run") + 1, stride)),
+            F.col("_run")
+            + not_after(F.slice(F.col("_cuts.all"), F.col("_run") + 1, F.col("_cuts.stride"))),
         )
         .drop("_cuts", "_run")
     )

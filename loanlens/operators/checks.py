@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field
 
-# Values quoted in an error message.
+# Values spelt out in an error message; the error carries all of them.
 QUOTED_VALUES = 20
 
 
+class ValueNotFound(ValueError):
+    """A value that is not in its table. `available` is a DataFrame of all that are."""
+
+    def __init__(self, message: str, available: DataFrame):
+        super().__init__(message)
+        self.available = available
+
+
 def missing_columns(df: DataFrame, expected: Iterable[str]) -> list[str]:
     return sorted(set(expected) - set(df.columns))
 
@@ -64,17 +72,21 @@ def flags(df: DataFrame, **aggregates: Column):
 
 
 def quoted(values: DataFrame) -> str:
-    """Distinct values of a one-column frame for an error message, first ones only."""
-    rows = values.distinct().limit(QUOTED_VALUES + 1).collect()
-    texts = sorted("NA" if r[0] is None else str(r[0]) for r in rows)
-    more = ", ..." if len(texts) > QUOTED_VALUES else ""
-    return ", ".join(texts[:QUOTED_VALUES]) + more
-
-
-def not_found(argument: str, place: str, value: object, values: DataFrame) -> ValueError:
-    return ValueError(
+    """Distinct values of a one-column frame in order: the first ones, and how many there are."""
+    distinct = values.distinct()
+    column = field(values.columns[0])
+    rows = distinct.orderBy(column.asc_nulls_first()).limit(QUOTED_VALUES + 1).collect()
+    texts = ["NA" if r[0] is None else str(r[0]) for r in rows]
+    if len(texts) <= QUOTED_VALUES:
+        return ", ".join(sorted(texts))
+    return f"{', '.join(texts[:QUOTED_VALUES])}, ... ({distinct.count()} in all)"
+
+
+def not_found(argument: str, place: str, value: object, values: DataFrame) -> ValueNotFound:
+    return ValueNotFound(
         f"input value of `{argument}` not found in `{place}`. You provided {value}. "
-        f"Available values are: {quoted(values)}"
+        f"Available values are: {quoted(values)}",
+        values.distinct(),
     )
 
 

@@ -85,15 +85,8 @@ def add_net_absolute_scenario_value(data: DataFrame, target: str) -> DataFrame:
     return with_group_totals(data, COMPANY_UNIT_YEAR, scenario_total(target))
 
 
-def add_total_deviation(data: DataFrame) -> DataFrame:
-    """Total deviation per company, sector, unit, year and direction."""
-    return data.groupBy(*COMPANY_UNIT_YEAR, "net_absolute_scenario_value", "direction").agg(
-        known_total(F.col("total_tech_deviation")).alias("total_deviation")
-    )
-
-
 def total_deviation_by_direction(data: DataFrame, target: str) -> DataFrame:
-    """`add_net_absolute_scenario_value` and `add_total_deviation` in one aggregation.
+    """Deviations per direction beside the scenario total, in one aggregation.
 
     Scenario totals are summed per direction with the deviations and then over the
     directions of a company's sector, of which there are a handful.

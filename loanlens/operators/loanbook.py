@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field, known, known_total, ratio
-from loanlens.functions.relations import match, with_group_totals
+from loanlens.functions.relations import dimension, match, with_group_totals
 from loanlens.operators.checks import one_of, validate_data_has_expected_cols
 from loanlens.operators.company_alignment import LEVELS, arrange
 from loanlens.sources import schemas
@@ -48,11 +48,16 @@ def add_exposure_weight(exposure: DataFrame, by: Sequence[str] = ()) -> DataFram
     """Each exposure's share of its book in its currency, over all sectors.
 
     A book in one currency can be the whole table, so its total is aggregated and
-    joined back, by broadcast where adaptive execution finds the totals small.
+    joined back: by broadcast if a bounded count proves the totals small, so that no
+    exposure is shuffled by its currency, else by a join that hot books are split in.
     """
-    totals = with_group_totals(exposure, [*by, CURRENCY], known_total(field(SIZE)).alias("_book"))
+    keys = [*by, CURRENCY]
+    totals = exposure.groupBy(*[field(k) for k in keys]).agg(
+        known_total(field(SIZE)).alias("_book")
+    )
+    beside = match(exposure, dimension(totals), keys, split_hot_keys=True)
     weight = ratio(field(SIZE), F.col("_book"))
-    return totals.withColumn("exposure_weight", weight).drop("_book")
+    return beside.withColumn("exposure_weight", weight).drop("_book")
 
 
 def in_both_directions(data: DataFrame, zeros: dict[str, Column]) -> DataFrame:
@@ -70,9 +75,12 @@ def in_both_directions(data: DataFrame, zeros: dict[str, Column]) -> DataFrame:
     other = F.when(direction == "buildout", "phaseout").otherwise("buildout")
     changed = {"direction": other, **zeros}
     columns = [c for c in data.columns if c not in ("_first", "_last")]
-    here = F.struct(*[field(c) for c in columns])
-    opposite = F.struct(*[changed.get(c, field(c)).alias(c) for c in columns])
-    return data.select(F.inline(F.when(alone, F.array(here, opposite)).otherwise(F.array(here))))
+    # The other columns pass as they are, so that a partitioning by them stays known.
+    here = F.struct(*[field(c) for c in changed])
+    opposite = F.struct(*[value.alias(c) for c, value in changed.items()])
+    rows = F.inline(F.when(alone, F.array(here, opposite)).otherwise(F.array(here)))
+    same = [field(c) for c in columns if c not in changed]
+    return data.select(*same, rows).select(*[field(c) for c in columns])
 
 
 def add_opposite_directions(data: DataFrame) -> DataFrame:
@@ -128,7 +136,8 @@ def summarise_alignment(data: DataFrame, level: str) -> DataFrame:
     """Alignment of a company's sector over its units and sources, per year and direction.
 
     For `bo_po` opposite directions are added on the way, to one row per unit and
-    direction: few enough for a window, and shuffled by keys the last step shares.
+    direction: few enough for a window.  One shuffle, by keys that both sums and the
+    window share, serves all three; a scenario may be a literal, so it is not one of them.
     """
     metric = known(F.col("alignment_metric"))
     sums = [
@@ -140,10 +149,11 @@ def summarise_alignment(data: DataFrame, level: str) -> DataFrame:
     if level == "net":
         return data.groupBy("name_abcd", *GROUP).agg(*sums)
     unit = Window.partitionBy(*COMPANY_YEAR, "activity_unit")
+    shared = [field(k) for k in COMPANY_YEAR if k not in ("scenario", "scenario_source")]
     per_unit = (
-        data.groupBy("name_abcd", *GROUP, "activity_unit")
+        data.repartition(*shared)
+        .groupBy("name_abcd", *GROUP, "activity_unit")
         .agg(*sums)
-        .repartition(*COMPANY_YEAR)
         .withColumn("_first", F.min("direction").over(unit))
         .withColumn("_last", F.max("direction").over(unit))
     )

@@ -121,63 +121,52 @@ def directions_of_scenario(
     return F.broadcast(directions) if counted["keys"] <= BROADCAST_ROWS else directions
 
 
-def remove_tech_no_plans_no_target(data: DataFrame, target: str) -> DataFrame:
-    """Drop a company's technology in a year without any planned or scenario output."""
-    idle = (
+def without_idle_technologies(
+    data: DataFrame, target: str, one_row_per_technology: bool = False
+) -> DataFrame:
+    """Drop a company's technology in a year without any planned or scenario output.
+
+    With one row per company, technology, region and year the totals are the row's own
+    values.  Otherwise they are summed up and the technologies to keep joined back.
+    """
+    if one_row_per_technology:
+        return data.where((or_zero(F.col("projected")) != 0) | (or_zero(field(target)) != 0))
+    active = (
         data.groupBy(*COMPANY_TECHNOLOGY_YEAR)
         .agg(
             known_total(F.col("projected")).alias("projected"),
             known_total(field(target)).alias("target"),
         )
-        .where((F.col("projected") == 0) & (F.col("target") == 0))
+        .where((F.col("projected") != 0) | (F.col("target") != 0))
         .select(*COMPANY_TECHNOLOGY_YEAR)
     )
-    return match(data, idle, COMPANY_TECHNOLOGY_YEAR, "left_anti", split_hot_keys=True)
-
-
-def remove_sector_no_target(data: DataFrame, target: str) -> DataFrame:
-    """Drop a company's sector in a year whose scenario output is zero."""
-    untargeted = (
-        data.groupBy(*COMPANY_SECTOR_YEAR)
-        .agg(known_total(field(target)).alias("target"))
-        .where(F.col("target") == 0)
-        .select(*COMPANY_SECTOR_YEAR)
-    )
-    return match(data, untargeted, COMPANY_SECTOR_YEAR, "left_anti", split_hot_keys=True)
+    return match(data, active, COMPANY_TECHNOLOGY_YEAR, "left_semi", split_hot_keys=True)
 
 
-def remove_rows_with_inadequate_values(
+def without_untargeted_sectors(
     data: DataFrame, target: str, one_row_per_technology: bool = False
 ) -> DataFrame:
-    """Both removals together.
+    """Drop a company's sector in a year whose scenario output is zero.
 
-    With one row per company, technology, region and year a technology's totals are
-    the row's own values, and a sector's group is no larger than the list of
-    technologies, so one window does.  Otherwise groups can be of any size: the totals
-    are aggregated and only the technologies to keep are joined back.  The sector's
-    total is the same before and after dropping technologies whose target is zero.
+    With one row per technology a sector's rows in a year are no more than the list of
+    technologies, so a window does, over the partitioning that the step before left.
+    Otherwise groups can be of any size, and the sectors to keep are joined back.
     """
-    sector = Window.partitionBy(*COMPANY_SECTOR_YEAR)
     if one_row_per_technology:
+        sector = Window.partitionBy(*COMPANY_SECTOR_YEAR)
         # `sum` over the window is NULL without any known target, and so fails `!= 0`.
         return (
             data.withColumn("_target", F.sum(known(field(target))).over(sector))
             .where(F.col("_target") != 0)
-            .where((or_zero(F.col("projected")) != 0) | (or_zero(field(target)) != 0))
             .drop("_target")
         )
-    kept = (
-        data.groupBy(*COMPANY_TECHNOLOGY_YEAR)
-        .agg(
-            known_total(F.col("projected")).alias("projected"),
-            known_total(field(target)).alias("target"),
-        )
-        .withColumn("_target", F.sum("target").over(sector))
-        .where(F.col("_target") != 0)
-        .where((F.col("projected") != 0) | (F.col("target") != 0))
-        .select(*COMPANY_TECHNOLOGY_YEAR)
+    targeted = (
+        data.groupBy(*COMPANY_SECTOR_YEAR)
+        .agg(known_total(field(target)).alias("target"))
+        .where(F.col("target") != 0)
+        .select(*COMPANY_SECTOR_YEAR)
     )
-    return match(data, kept, COMPANY_TECHNOLOGY_YEAR, "left_semi", split_hot_keys=True)
+    return match(data, targeted, COMPANY_SECTOR_YEAR, "left_semi", split_hot_keys=True)
 
 
 def add_total_tech_deviation(data: DataFrame, target: str) -> DataFrame:
@@ -332,9 +321,9 @@ def calculate_company_tech_deviation(
     wide = prep_company_alignment_aggregation(
         data, technology_direction, scenario_source, scenario, time_frame, start_year
     )
-    kept = remove_rows_with_inadequate_values(
-        wide, target, one_row_per_technology=is_one_row_per_technology(data)
-    )
+    unique = is_one_row_per_technology(data)
+    active = without_idle_technologies(wide, target, unique)
+    kept = without_untargeted_sectors(active, target, unique)
     deviations = match(
         add_tech_direction(add_total_tech_deviation(kept, target)),
         units_of_technologies(data.sparkSession, activity_units),

@@ -408,8 +408,8 @@ QUERIES = {
     "tms_direction_join": "select * from signed",
     "tms_drop_empty_tech": "select * from not_idle",
     "tms_drop_zero_sector": """
-        select w.* from signed w where exists (
-          select 1 from signed k
+        select w.* from not_idle w where exists (
+          select 1 from not_idle k
           where k.name_abcd = w.name_abcd and k.region = w.region
             and k.scenario_source = w.scenario_source and k.sector = w.sector
             and k.year = w.year

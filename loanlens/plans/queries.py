@@ -77,11 +77,12 @@ def tms_direction_join(px: Proxies) -> DataFrame:
 
 
 def tms_drop_empty_tech(px: Proxies) -> DataFrame:
-    return comparable(deviation.remove_tech_no_plans_no_target(wide_rows(px), TARGET))
+    return comparable(deviation.without_idle_technologies(wide_rows(px), TARGET, True))
 
 
 def tms_drop_zero_sector(px: Proxies) -> DataFrame:
-    return comparable(deviation.remove_sector_no_target(wide_rows(px), TARGET))
+    active = deviation.without_idle_technologies(wide_rows(px), TARGET, True)
+    return comparable(deviation.without_untargeted_sectors(active, TARGET, True))
 
 
 def deviations(px: Proxies, bridge_tech: str = "none") -> DataFrame:

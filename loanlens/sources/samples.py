@@ -1,6 +1,6 @@
 """Sample inputs for trying the package out.
 
-Companies, technologies and borrowers are listed; production follows a rule.
+Technologies are listed; companies, borrowers and production follow rules.
 """
 
 from __future__ import annotations
@@ -10,33 +10,9 @@ from pyspark.sql import functions as F
 
 from loanlens.sources import schemas
 
-# Company, country, sectors.  A company's id is its place in the list.
-COMPANIES = [
-    ("edge_case_1", "US", ["power"]),
-    ("edge_case_2", "US", ["power"]),
-    ("edge_case_3", "US", ["power"]),
-    ("test_case_A", "FR", ["power"]),
-    ("test_case_B", "FR", ["power"]),
-    ("test_case_C", "FR", ["power"]),
-    ("test_case_D", "FR", ["power"]),
-    ("test_case_E", "FR", ["power"]),
-    ("test_case_F", "FR", ["power"]),
-    ("test_case_G", "FR", ["power"]),
-    ("test_auto_A", "FR", ["automotive"]),
-    ("test_auto_B", "FR", ["automotive"]),
-    ("test_steel_A", "FR", ["steel"]),
-    ("test_steel_B", "US", ["steel"]),
-    ("test_cement_A", "FR", ["cement"]),
-    ("test_cement_B", "FR", ["cement"]),
-    ("test_airline_1", "FR", ["aviation"]),
-    ("test_airline_2", "FR", ["aviation"]),
-    ("coal_mining_1", "FR", ["coal"]),
-    ("coal_mining_2", "FR", ["coal"]),
-    ("fossil_fuels_1", "FR", ["oil and gas"]),
-    ("fossil_fuels_2", "FR", ["oil and gas"]),
-    ("energy_major_1", "FR", ["oil and gas", "power"]),
-    ("energy_major_2", "FR", ["coal", "power"]),
-]
+# Companies of each sector, and the countries that they are spread over.
+PER_SECTOR = 3
+COUNTRIES = ["DE", "JP", "BR", "IN"]
 
 # Sector, technologies, production unit, emission unit, emission factor.
 SECTORS = [
@@ -53,9 +29,6 @@ SECTORS = [
     ("oil and gas", ["gas", "oil"], "GJ", None, None),
 ]
 
-# Companies of a sector that run its first technology only.
-FIRST_TECHNOLOGY_ONLY = ["test_cement_A", "test_airline_1"]
-
 # Industry code of the sample loans by the borrower's first sector.
 LOAN_CODES = {
     "power": "3511",
@@ -66,15 +39,28 @@ LOAN_CODES = {
     "oil and gas": "6100",
     "coal": "5100",
 }
-NOT_BORROWING = ["coal_mining_1", "coal_mining_2", "fossil_fuels_1", "fossil_fuels_2"]
-
 FIRST_YEAR, LAST_YEAR = 2022, 2027
 
 
+def companies() -> list[tuple[int, str, str, list[str]]]:
+    """Id, name, country and sectors; every third company of a sector is in the next one too."""
+    names = [sector for sector, *_ in SECTORS]
+    return [
+        (
+            i * PER_SECTOR + k + 1,
+            f"{sector.title()} Works {k + 1}",
+            COUNTRIES[(i + k) % len(COUNTRIES)],
+            [sector, names[(i + 1) % len(names)]] if k == 2 else [sector],
+        )
+        for i, sector in enumerate(names)
+        for k in range(PER_SECTOR)
+    ]
+
+
 def sample_asset_data(spark: SparkSession) -> DataFrame:
-    """Yearly production of 24 companies, 97 series over six years."""
-    companies = spark.createDataFrame(
-        [(i, *company) for i, company in enumerate(COMPANIES, 1)],
+    """Yearly production of the companies in all technologies of their sectors."""
+    owners = spark.createDataFrame(
+        companies(),
         "company_id int, name_company string, plant_location string, sectors array<string>",
     ).withColumn("sector", F.explode("sectors"))
     sectors = spark.createDataFrame(
@@ -82,11 +68,8 @@ def sample_asset_data(spark: SparkSession) -> DataFrame:
         "sector string, technologies array<string>, production_unit string, "
         "emission_factor_unit string, base_factor double",
     )
-    single = F.col("name_company").isin(FIRST_TECHNOLOGY_ONLY)
-    series = (
-        companies.join(sectors, "sector")
-        .select("*", F.posexplode("technologies").alias("place", "technology"))
-        .where(~single | (F.col("place") == 0))
+    series = owners.join(sectors, "sector").select(
+        "*", F.posexplode("technologies").alias("place", "technology")
     )
     years = F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
     # The first technology shrinks and the following ones grow, by company.
@@ -110,14 +93,12 @@ def sample_asset_data(spark: SparkSession) -> DataFrame:
 
 
 def sample_loanbook(spark: SparkSession) -> DataFrame:
-    """Twenty loans of a million to the companies above, before matching."""
+    """A loan to every second company, before matching; sizes grow with the company's id."""
     borrowers = [
-        (i, name, LOAN_CODES[sectors[0]])
-        for i, (name, _, sectors) in enumerate(COMPANIES, 1)
-        if name not in NOT_BORROWING
+        (i, name, LOAN_CODES[sectors[0]]) for i, name, _, sectors in companies() if i % 2
     ]
     rows = [
-        (f"L{n}", f"C{i}", name, None, None, f"UP{i}", name, 1e6, "USD", 1e6, "USD",
+        (f"L{n}", f"C{i}", name, None, None, f"UP{i}", name, 2e5 * i, "EUR", 3e5 * i, "EUR",
          "NACE", "Code", code, "Loan", "No", None, None, None)
         for n, (i, name, code) in enumerate(borrowers, 1)
     ]

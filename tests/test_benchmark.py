@@ -8,7 +8,7 @@ from loanlens import (
     build_activity_units,
     create_benchmark_loanbook,
 )
-from loanlens.operators import activity_units, benchmark
+from loanlens.operators import activity_units, checks, benchmark
 from loanlens.sources import samples, schemas
 from tests.conftest import records
 
@@ -154,8 +154,18 @@ def test_activity_units(table):
 def test_samples(spark):
     assets, loans = samples.sample_asset_data(spark), samples.sample_loanbook(spark)
     assert assets.columns == schemas.column_names(schemas.ASSET_DATA)
-    assert (assets.count(), loans.count()) == (582, 20)
+    owners = samples.companies()
+    assert assets.select("company_id").distinct().count() == len(owners)
+    assert loans.count() == -(-len(owners) // 2)
     built_in = activity_units.default_activity_units(spark).where("sector <> 'hdv'")
     assert records(build_activity_units(assets)) == records(built_in)
     known = assets.select(F.col("name_company").alias("name_direct_loantaker"))
     assert loans.join(known, "name_direct_loantaker", "left_anti").isEmpty()
+
+
+def test_errors_reach_all_available_values(spark):
+    values = spark.range(50).selectExpr("concat('v', lpad(id, 2, '0')) as value").repartition(7)
+    errors = [checks.not_found("x", "table", "w", values) for _ in range(2)]
+    assert str(errors[0]) == str(errors[1])
+    assert "v00, v01" in str(errors[0]) and "(50 in all)" in str(errors[0])
+    assert errors[0].available.count() == 50

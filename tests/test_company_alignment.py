@@ -124,9 +124,7 @@ def test_net_value_step(table):
         ("X", 30.0),
         ("Y", 30.0),
     ]
-    stepwise = company_alignment.add_total_deviation(result)
     fused = company_alignment.total_deviation_by_direction(table(rows, schema), "target_scenario")
-    assert records(stepwise, *fused.columns) == records(fused)
     assert records(fused, "sector", "direction", "total_deviation") == [
         ("one", "buildout", -5.0),
         ("one", "phaseout", 0.0),

@@ -203,7 +203,15 @@ def test_a_hot_company_is_split_among_keys_that_cannot_be_missing(
     assert "SortMergeJoin(skew=true)" in plan
 
 
-def test_a_hot_book_is_split(splitting, hot_loans):
+def test_small_book_totals_are_broadcast(splitting, hot_loans):
+    """No exposure is shuffled by its currency."""
+    weighed = loanbook.add_exposure_weight(loanbook.loan_exposure(hot_loans))
+    assert "BroadcastHashJoin" in executed(weighed)
+    assert "SortMergeJoin" not in executed(weighed)
+
+
+def test_a_hot_book_is_split(splitting, hot_loans, monkeypatch):
+    monkeypatch.setattr(loanbook, "dimension", lambda totals: totals)
     loans = hot_loans.drop("name_abcd").withColumnRenamed("borrower", "name_abcd")
     weighed = loanbook.add_exposure_weight(loanbook.loan_exposure(loans, ["bank"]), ["bank"])
     assert "SortMergeJoin(skew=true)" in executed(weighed)
@@ -228,7 +236,8 @@ def test_rows_identified_by_extra_columns_are_split(splitting, spark):
         "'s' as scenario_source", "'power' as sector", "2022 as year", "'gascap' as technology",
         "sha2(cast(id as string), 256) as plant", "0D as projected", "if(id % 3 = 0 and id <> 0, 0D, 1D) as target_x",
     ).repartition(8)
-    kept = tech_deviation.remove_rows_with_inadequate_values(wide, "target_x")
+    active = tech_deviation.without_idle_technologies(wide, "target_x")
+    kept = tech_deviation.without_untargeted_sectors(active, "target_x")
     assert "SortMergeJoin(skew=true)" in executed(kept)
     # The hot company has one plant with a target, which keeps all of its plants.
     assert kept.count() == 40000

@@ -123,7 +123,7 @@ def test_technologies_without_plan_and_target_are_removed(table, pairs, kept):
         ("automotive", t, 2027, "global", "source", "company", *pair)
         for t, pair in zip(["electric", "ice"], pairs, strict=True)
     ]
-    result = tech_deviation.remove_tech_no_plans_no_target(table(rows, WIDE), TARGET)
+    result = tech_deviation.without_idle_technologies(table(rows, WIDE), TARGET)
     assert result.count() == kept
 
 
@@ -141,11 +141,11 @@ def test_sectors_without_target_are_removed(table, pairs, kept):
         ("automotive", t, 2027, "global", "source", "company", *pair)
         for t, pair in zip(["electric", "ice"], pairs, strict=True)
     ]
-    result = tech_deviation.remove_sector_no_target(table(rows, WIDE), TARGET)
+    result = tech_deviation.without_untargeted_sectors(table(rows, WIDE), TARGET)
     assert result.count() == kept
 
 
-def test_fused_removals_equal_the_two_steps(spark):
+def test_removals_are_the_same_for_one_row_per_technology(spark):
     wide = spark.range(4000).selectExpr(
         "if(id % 3 = 0, 'power', null) as sector",
         "element_at(array('a', 'b', null, 'c'), cast(id % 4 + 1 as int)) as technology",
@@ -156,14 +156,13 @@ def test_fused_removals_equal_the_two_steps(spark):
         "if(id % 5 < 2, null, cast(id % 5 - 2 as double)) as projected",
         "if(id % 11 < 6, 0D, if(id % 11 = 6, null, 3D)) as target_scenario",
     ).dropDuplicates(tech_deviation.COMPANY_TECHNOLOGY_YEAR)
-    steps = tech_deviation.remove_sector_no_target(
-        tech_deviation.remove_tech_no_plans_no_target(wide, TARGET), TARGET
-    )
-    expected = records(steps)
-    assert 0 < len(expected) < wide.count()
-    for unique in (True, False):
-        fused = tech_deviation.remove_rows_with_inadequate_values(wide, TARGET, unique)
-        assert records(fused) == expected
+
+    def removed(unique):
+        active = tech_deviation.without_idle_technologies(wide, TARGET, unique)
+        return records(tech_deviation.without_untargeted_sectors(active, TARGET, unique))
+
+    assert 0 < len(removed(False)) < wide.count()
+    assert removed(True) == removed(False)
 
 
 def test_extra_columns_identify_rows(table, deviate):
