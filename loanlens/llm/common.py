@@ -10,12 +10,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task turns to arrays at a time; a longer text is taken alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
+#: Bytes of a batch between the JVM and Python; a longer row is a batch alone.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 U64 = np.uint64
 
@@ -36,6 +39,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/loanlens-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to a size of which a task can hold several."""
+    spark.conf.set(*BATCH)
+
+
+def sent(df: DataFrame, value: object) -> Broadcast:
+    """A value of bounded size for every task that works on df."""
+    bounded_batches(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again.
 
@@ -43,6 +57,7 @@ def stored(df: DataFrame) -> DataFrame:
     of what led here. The files stay until the folder is cleared.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     folder = shared_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
@@ -70,6 +85,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             end = max(start + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
             yield batch.slice(start, end - start)
             start = end
+        # What the slice needed goes back to the system, not to a pool that only grows.
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loanlens.llm.common import slices, with_field
+from loanlens.llm.common import sent, slices, with_field
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # A fixed value: how this vocabulary's texts are cut into pre-tokens.
@@ -141,7 +141,7 @@ def counted(docs: DataFrame, counter: Counter | None = None, text_column: str =
     encoded whole. An empty table gives an empty result.
     """
     docs = docs.drop(*(f.name for f in _types()))
-    shared = docs.sparkSession.sparkContext.broadcast(counter or Counter())
+    shared = sent(docs, counter or Counter())
     names = docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def recounted(
     encoded_chars is how many characters were encoded for the edits.
     """
     docs = docs.drop("encoded_chars")
-    shared = docs.sparkSession.sparkContext.broadcast(counter or Counter())
+    shared = sent(docs, counter or Counter())
     names = docs.columns
     place = {c: names.index(c) for c in (text_column, "n_tokens", "tree_chars", "tree_tokens")}
 

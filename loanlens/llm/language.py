@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import remainder, slices
+from loanlens.llm.common import remainder, sent, slices
 
 #: Labelled rows per language that the automata are built from, and characters taken from each.
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 200
@@ -206,7 +206,7 @@ def predictions(docs: DataFrame, model: Automata) -> DataFrame:
     learned. Else score is how much cheaper the winner is than the runner-up, 0 to 1, and 1 if
     only one language is known. The first in alphabetical order wins a tie, with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs, model)
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = T.StructType(

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import U64, hashed, mixed, slices, spaced_words, stored
+from loanlens.llm.common import U64, hashed, mixed, sent, slices, spaced_words, stored
 
 #: Rows of the weight table that features are hashed to, and a block of them in a shuffle.
 ROWS, BLOCK = 8192, 512  # rows fit 16 bits, which sort fastest
@@ -192,7 +192,7 @@ def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np
 
 def _round(docs: DataFrame, model: Counts, weights: np.ndarray) -> np.ndarray:
     """The weights after one round over docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights))
+    shared = sent(docs, (model, weights))
     width = weights.shape[1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     docs = docs.drop(*made)
     kept = [c for c in docs.columns if c != text_column]
-    shared = docs.sparkSession.sparkContext.broadcast((model.counts, model.weights))
+    shared = sent(docs, (model.counts, model.weights))
     counts = model.counts
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import U64, hashed, mixed, runs, slices, spaced_words, stored
+from loanlens.llm.common import U64, hashed, mixed, runs, sent, slices, spaced_words, stored
 from loanlens.llm.components import components
 
 #: Minima per band and bands. A pair at a similarity of 0.8 shares no band with a chance of
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     # At most FILTER_BITS / 64 rows.
     for at, bits in own.groupBy("at").agg(F.bit_or("bit")).collect():
         marked[at] = np.int64(bits).view(U64)
-    shared = docs.sparkSession.sparkContext.broadcast(marked)
+    shared = sent(docs, marked)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = shared.value

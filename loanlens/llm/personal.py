@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.llm.common import slices, with_field
+from loanlens.llm.common import bounded_batches, slices, with_field
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("iban", "ssn", "contact", "obfuscated")
@@ -278,6 +278,7 @@ def fit(docs: DataFrame, text_column: str = "text") -> SpanClassifier:
             ["pattern", "n"],
         )
 
+    bounded_batches(docs.sparkSession)
     counts = (
         docs.select(F.col(text_column).cast("string").alias("text"))
         .mapInArrow(each, "pattern array<int>, n long")

@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loanlens.llm.common import U64, slices, with_field
+from loanlens.llm.common import U64, sent, slices, with_field
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest words, and how many at once, that are walked level by level; others are merged.
-LEVELS, TOGETHER = 32, 50_000
+LEVELS, TOGETHER = 32, 20_000
 #: Pairs of pieces that a task remembers; beyond that they are worked out anew.
 REMEMBERED = 2_000_000
 #: Of the hash that finds pieces.
@@ -374,7 +374,7 @@ def encoded(
     """
     pieces = pieces or Pieces.load()
     docs = docs.drop(ids_column)
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = sent(docs, pieces)
     names = docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +411,7 @@ def decoded(
     """
     pieces = pieces or Pieces.load()
     docs = docs.drop(text_column)
-    shared = docs.sparkSession.sparkContext.broadcast((*pieces.bytes_by_id(), pieces.unknown))
+    shared = sent(docs, (*pieces.bytes_by_id(), pieces.unknown))
     prefix, names = pieces.prefix, docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
