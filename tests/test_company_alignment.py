@@ -17,10 +17,12 @@ DEVIATIONS = (
     "name_abcd string, projected double, target_scenario double, direction string, "
     "total_tech_deviation double, activity_unit string"
 )
+# One company builds too much coal and enough of the rest; another closes coal early.
 ROWS = [
-    ("power", "gascap", 2027, "global", "source", "c1", 100.0, 80.0, "phaseout", -20.0, "MW"),
-    ("power", "renewablescap", 2027, "global", "source", "c1", 32.0, 40.0, "buildout", -8.0, "MW"),
-    ("power", "renewablescap", 2027, "global", "source", "c2", 50.0, 75.0, "buildout", -25.0, "MW"),
+    ("power", "coalcap", 2030, "europe", "source", "north", 60.0, 50.0, "phaseout", -10.0, "MW"),
+    ("power", "hydrocap", 2030, "europe", "source", "north", 45.0, 30.0, "buildout", 15.0, "MW"),
+    ("power", "nuclearcap", 2030, "europe", "source", "north", 20.0, 20.0, "buildout", 0.0, "MW"),
+    ("power", "coalcap", 2030, "europe", "source", "south", 10.0, 25.0, "phaseout", 15.0, "MW"),
 ]
 SHOWN = ["name_abcd", "direction", "total_deviation", "alignment_metric"]
 
@@ -39,8 +41,8 @@ def test_net(align):
     result = align("net")
     assert result.columns == company_alignment.OUTPUT
     assert records(result, *SHOWN) == [
-        ("c1", "net", -28.0, -28 / 120),
-        ("c2", "net", -25.0, -25 / 75),
+        ("north", "net", 5.0, 5 / 100),
+        ("south", "net", 15.0, 15 / 25),
     ]
 
 
@@ -48,10 +50,10 @@ def test_buildout_and_phaseout(align):
     result = align("bo_po")
     assert result.columns == company_alignment.OUTPUT
     assert records(result, *SHOWN) == [
-        ("c1", "buildout", -8.0, -8 / 120),
-        ("c1", "phaseout", -20.0, -20 / 120),
-        ("c2", "buildout", -25.0, -25 / 75),
-        ("c2", "phaseout", 0.0, 0.0),
+        ("north", "buildout", 15.0, 15 / 100),
+        ("north", "phaseout", -10.0, -10 / 100),
+        ("south", "buildout", 0.0, 0.0),
+        ("south", "phaseout", 15.0, 15 / 25),
     ]
 
 
@@ -62,14 +64,14 @@ def test_arranged(align):
     assert [tuple(r) for r in shown] == [
         ("coal", "c3", "x"),
         ("coal", "c3", None),
-        ("power", "c1", "global"),
-        ("power", "c2", "global"),
+        ("power", "north", "europe"),
+        ("power", "south", "europe"),
     ]
 
 
 def test_one_direction_in_the_whole_table_is_not_filled(align):
-    result = align("bo_po", [r for r in ROWS if r[8] == "buildout"])
-    assert records(result, "name_abcd", "direction") == [("c1", "buildout"), ("c2", "buildout")]
+    result = align("bo_po", [r for r in ROWS if r[8] == "phaseout"])
+    assert records(result, "name_abcd", "direction") == [("north", "phaseout"), ("south", "phaseout")]
 
 
 def test_missing_deviations_count_as_zero_and_unknown_direction_is_kept(align):
@@ -99,7 +101,7 @@ def test_zero_scenario_value(align):
 
 
 def test_sources_are_kept_apart_and_not_filtered(align):
-    rows = [*ROWS, (*ROWS[2][:4], "other", *ROWS[2][5:])]
+    rows = [*ROWS, (*ROWS[3][:4], "other", *ROWS[3][5:])]
     assert align("net", rows).count() == 3
 
 
