@@ -437,6 +437,7 @@ QUERIES = {
     "loan_exposure_weight_by": f"""
         select * replace ({six("exposure_weight")} as exposure_weight) from weighed_by""",
     "portfolio_company_net": f"select {COMPANY} from ({NET})",
+    "portfolio_company_net_by_group": f"select group_id, {COMPANY} from ({NET_BY})",
     "portfolio_company_bo_po": f"""
         select {COMPANY} from ({with_opposite(company("directed", "weighed"))})""",
     "portfolio_counts": aggregate(NET, COUNTS),

@@ -184,6 +184,10 @@ def portfolio_company_net(px: Proxies) -> DataFrame:
     return comparable(portfolio(px, "net").company)
 
 
+def portfolio_company_net_by_group(px: Proxies) -> DataFrame:
+    return comparable(portfolio(px, "net", BY).company)
+
+
 def portfolio_company_bo_po(px: Proxies) -> DataFrame:
     """From alignment without filled directions, which the loan book then fills."""
     return comparable(
@@ -302,6 +306,7 @@ ALL = [
     loan_exposure_weight,
     loan_exposure_weight_by,
     portfolio_company_net,
+    portfolio_company_net_by_group,
     portfolio_company_bo_po,
     portfolio_counts,
     portfolio_exposure_aligned,
