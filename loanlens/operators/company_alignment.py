@@ -26,7 +26,8 @@ from loanlens.operators.checks import (
 )
 from loanlens.operators.tech_deviation import (
     check_metrics_in_window,
-    first_year,
+    first_year_with_metrics,
+    metric_years,
     restrict_to_scenario,
     spread_metrics,
     target_column,
@@ -232,22 +233,23 @@ def add_total_deviation_sda(data: DataFrame) -> DataFrame:
     return data.withColumn("total_deviation", gap * -1)
 
 
+def companies_of(scenario_source: str) -> Column:
+    return (F.col("scenario_source") == scenario_source) & (F.col("name_abcd") != MARKET)
+
+
 def check_sda_input(
     data: DataFrame, scenario_source: str, scenario: str, time_frame: int
 ) -> int:
     target = target_column(scenario)
     metric = F.col("emission_factor_metric")
-    in_source = (F.col("scenario_source") == scenario_source) & (F.col("name_abcd") != MARKET)
     offered = F.contains(metric, F.lit("target_")) & (
         F.replace(metric, F.lit("target_"), F.lit("")) == scenario
     )
     row = flags(
         data,
-        start=F.min("year"),
         source=found(F.col("scenario_source") == scenario_source),
         scenario=found(offered),
-        projected=F.min(F.when(in_source & (metric == "projected"), F.col("year"))),
-        target=F.min(F.when(in_source & (metric == target), F.col("year"))),
+        **metric_years(companies_of(scenario_source), metric, target),
     )
     if not row["source"]:
         raise not_found(
@@ -283,12 +285,18 @@ def calculate_company_aggregate_alignment_sda(
     one_integer("time_frame", time_frame)
     expected = schemas.column_names(schemas.INTENSITY_RESULTS)
     validate_data_has_expected_cols(data, expected)
+    target = target_column(scenario)
     if validate:
         start_year = F.lit(check_sda_input(data, scenario_source, scenario, time_frame))
     else:
-        start_year = first_year(data)
+        start_year = first_year_with_metrics(
+            data,
+            companies_of(scenario_source),
+            F.col("emission_factor_metric"),
+            target,
+            time_frame,
+        )
 
-    target = target_column(scenario)
     wide = prep_and_wrangle_aggregate_alignment_sda(
         data, scenario_source, target, start_year, time_frame
     )

@@ -32,6 +32,8 @@ COMPANY_SECTOR_YEAR = ["name_abcd", "region", "scenario_source", "sector", "year
 COMPANY_TECHNOLOGY_YEAR = [*COMPANY_SECTOR_YEAR, "technology"]
 DIRECTION_KEYS = ["sector", "technology", "region"]
 
+NO_METRIC = "no {} values for the scenario within the time frame."
+
 # Columns that tell a projected row from its target row and so must not identify it.
 NOT_IDENTIFYING = [
     "technology_share",
@@ -49,6 +51,30 @@ def first_year(data: DataFrame) -> Column:
     return data.agg(F.min("year")).scalar()
 
 
+def metric_years(rows: Column, metric: Column, target: str) -> dict[str, Column]:
+    """First year of the table, and of each metric among some of its rows."""
+    return {
+        "start": F.min("year"),
+        "projected": F.min(F.when(rows & (metric == "projected"), F.col("year"))),
+        "target": F.min(F.when(rows & (metric == target), F.col("year"))),
+    }
+
+
+def first_year_with_metrics(
+    data: DataFrame, rows: Column, metric: Column, target: str, time_frame: int
+) -> Column:
+    """`first_year` that fails, when the plan runs, if a metric is absent from the window.
+
+    Without a metric the analyses would return no rows, or meaningless ones, and say nothing.
+    """
+    years = metric_years(rows, metric, target)
+    start = F.col("start")
+    for name in ("projected", "target"):
+        absent = F.col(name).isNull() | (F.col(name) > F.col("start") + time_frame)
+        start = F.when(absent, F.raise_error(F.lit(NO_METRIC.format(name)))).otherwise(start)
+    return data.agg(*[c.alias(name) for name, c in years.items()]).select(start).scalar()
+
+
 def restrict_to_scenario(
     data: DataFrame,
     scenario_source: str,
@@ -101,23 +127,33 @@ def directions_of_scenario(
     """Build-out or phase-out sign per sector, technology and region, to be joined.
 
     `scenario` is searched as a regular expression.  If it matches several scenarios
-    that give a technology more than one sign, rows would be counted twice; that is
-    an error.  The same count decides whether the table is broadcast.
+    that give a technology different signs, rows would be counted twice; that is an
+    error.  A repeated sign counts once.  The same count decides whether the table is
+    broadcast.
     """
     directions = technology_direction.where(
         (F.col("scenario_source") == scenario_source) & F.col("scenario").rlike(scenario)
     ).select(*DIRECTION_KEYS, "directional_dummy")
     counted = (
         directions.groupBy(*DIRECTION_KEYS)
-        .count()
-        .agg(F.count("*").alias("keys"), F.max("count").alias("repeats"))
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_distinct(F.struct("directional_dummy")).alias("signs"),
+        )
+        .agg(
+            F.count("*").alias("keys"),
+            F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
+            F.coalesce(F.max("signs"), F.lit(0)).alias("signs"),
+        )
         .first()
     )
-    if counted["keys"] and counted["repeats"] > 1:
+    if counted["signs"] > 1:
         raise ValueError(
             f"`scenario` {scenario!r} matches more than one direction for the same "
             "sector, technology and region in `technology_direction`."
         )
+    if counted["rows"] > 1:
+        directions = directions.distinct()
     return F.broadcast(directions) if counted["keys"] <= BROADCAST_ROWS else directions
 
 
@@ -210,7 +246,11 @@ def prep_company_alignment_aggregation(
     year are limited by that list.
     """
     target = target_column(scenario)
-    start_year = first_year(data) if start_year is None else start_year
+    if start_year is None:
+        in_source = F.col("scenario_source") == scenario_source
+        start_year = first_year_with_metrics(
+            data, in_source, F.col("metric"), target, time_frame
+        )
     long = restrict_to_scenario(
         data, scenario_source, "metric", target, start_year, time_frame
     ).drop(*NOT_IDENTIFYING)
@@ -246,11 +286,9 @@ def check_tech_deviation_input(
     metric = F.col("metric")
     row = flags(
         data,
-        start=F.min("year"),
         source=found(in_source),
         scenario=found(metric.rlike(scenario)),
-        projected=F.min(F.when(in_source & (metric == "projected"), F.col("year"))),
-        target=F.min(F.when(in_source & (metric == target), F.col("year"))),
+        **metric_years(in_source, metric, target),
     )
     if not row["source"]:
         raise not_found(
@@ -281,7 +319,7 @@ def check_metrics_in_window(row, metrics: list[str], time_frame: int) -> None:
     """Each metric's first year, in `row`, must lie in the time frame from `row.start`."""
     for name in metrics:
         if row[name] is None or row[name] > row["start"] + time_frame:
-            raise ValueError(f"no {name} values for the scenario within the time frame.")
+            raise ValueError(NO_METRIC.format(name))
 
 
 def calculate_company_tech_deviation(
@@ -300,7 +338,7 @@ def calculate_company_tech_deviation(
     `data` holds production by metric, `technology_direction` the sign of each
     technology.  `activity_units` gives the unit of each sector and technology; rows
     without one are dropped.  `validate=False` skips the value checks, which read
-    four columns of `data` once.
+    four columns of `data` once; a metric that is absent then fails when the plan runs.
     """
     one_of("bridge_tech", bridge_tech, BRIDGE_TECHNOLOGIES)
     one_text("scenario_source", scenario_source)

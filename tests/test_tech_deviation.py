@@ -18,7 +18,7 @@ TARGET = "target_scenario"
 
 def long_row(technology, metric, production, **changes):
     row = {
-        "sector": "automotive",
+        "sector": "power",
         "technology": technology,
         "year": 2027,
         "region": "global",
@@ -35,15 +35,18 @@ def long_row(technology, metric, production, **changes):
     return tuple(row.values())
 
 
+# Too little hydro, little coal, too much oil.
 RESULTS = [
-    long_row("electric", "projected", 25.0),
-    long_row("electric", TARGET, 20.0),
-    long_row("ice", "projected", 75.0),
-    long_row("ice", TARGET, 60.0),
+    long_row("hydrocap", "projected", 12.0),
+    long_row("hydrocap", TARGET, 18.0),
+    long_row("coalcap", "projected", 30.0),
+    long_row("coalcap", TARGET, 45.0),
+    long_row("oilcap", "projected", 8.0),
+    long_row("oilcap", TARGET, 2.0),
 ]
 DIRECTIONS = [
-    ("source", "scenario", "automotive", "electric", "global", 1.0),
-    ("source", "scenario", "automotive", "ice", "global", -1.0),
+    ("source", "scenario", "power", technology, "global", sign)
+    for technology, sign in [("hydrocap", 1.0), ("coalcap", -1.0), ("oilcap", -1.0)]
 ]
 ARGUMENTS = {"scenario_source": "source", "scenario": "scenario"}
 OUTCOME = ["technology", "total_tech_deviation", "direction", "activity_unit"]
@@ -79,69 +82,68 @@ def test_worked_example(deviate, validate):
         "activity_unit",
     ]
     assert records(result, *OUTCOME) == [
-        ("electric", 5.0, "buildout", "cars produced"),
-        ("ice", -15.0, "phaseout", "cars produced"),
+        ("coalcap", 15.0, "phaseout", "MW"),
+        ("hydrocap", -6.0, "buildout", "MW"),
+        ("oilcap", -6.0, "phaseout", "MW"),
     ]
 
 
 def test_other_sources_metrics_and_years_are_left_out(deviate):
     extra = [
-        long_row("electric", "projected", 1.0, scenario_source="other"),
-        long_row("electric", "target_other", 1.0),
-        long_row("electric", "projected", 1.0, year=2033),
-        long_row("electric", TARGET, 1.0, year=2033),
+        long_row("hydrocap", "projected", 1.0, scenario_source="other"),
+        long_row("hydrocap", "target_other", 1.0),
+        long_row("hydrocap", "projected", 1.0, year=2033),
+        long_row("hydrocap", TARGET, 1.0, year=2033),
     ]
     assert records(deviate(RESULTS + extra), *OUTCOME) == records(deviate(), *OUTCOME)
 
 
 @pytest.mark.parametrize("validate", [True, False])
 def test_the_window_starts_at_the_first_year_of_the_whole_table(deviate, validate):
-    earlier = long_row("electric", "projected", 1.0, scenario_source="other", year=2024)
+    earlier = long_row("hydrocap", "projected", 1.0, scenario_source="other", year=2024)
     late = [
-        long_row("electric", "projected", 30.0, year=2029),
-        long_row("electric", TARGET, 20.0, year=2029),
-        long_row("electric", "projected", 30.0, year=2030),
-        long_row("electric", TARGET, 20.0, year=2030),
+        long_row("hydrocap", "projected", 30.0, year=2029),
+        long_row("hydrocap", TARGET, 20.0, year=2029),
+        long_row("hydrocap", "projected", 30.0, year=2030),
+        long_row("hydrocap", TARGET, 20.0, year=2030),
     ]
     result = deviate([*RESULTS, earlier, *late], validate=validate)
     assert {r["year"] for r in result.collect()} == {2027, 2029}
 
 
+def power_rows(pairs):
+    """Planned and scenario output of the technologies of one company."""
+    return [
+        ("power", technology, 2027, "global", "source", "company", *pair)
+        for technology, pair in zip(["hydrocap", "coalcap", "oilcap"], pairs, strict=True)
+    ]
+
+
 @pytest.mark.parametrize(
     "pairs, kept",
     [
-        ([(25.0, 20.0), (0.0, 0.0)], 1),
-        ([(25.0, 20.0), (0.0, 10.0)], 2),
-        ([(25.0, 20.0), (10.0, 0.0)], 2),
-        ([(25.0, 20.0), (75.0, 60.0)], 2),
-        ([(None, None), (None, None)], 0),
-        ([(None, None), (40.0, 20.0)], 1),
+        ([(12.0, 18.0), (0.0, 0.0), (8.0, 2.0)], 2),
+        ([(12.0, 0.0), (0.0, 7.0), (0.0, 0.0)], 2),
+        ([(5.0, 5.0), (None, 2.0), (1.0, None)], 3),
+        ([(None, None), (0.0, None), (None, 0.0)], 0),
     ],
 )
 def test_technologies_without_plan_and_target_are_removed(table, pairs, kept):
-    rows = [
-        ("automotive", t, 2027, "global", "source", "company", *pair)
-        for t, pair in zip(["electric", "ice"], pairs, strict=True)
-    ]
-    result = tech_deviation.without_idle_technologies(table(rows, WIDE), TARGET)
+    result = tech_deviation.without_idle_technologies(table(power_rows(pairs), WIDE), TARGET)
     assert result.count() == kept
 
 
 @pytest.mark.parametrize(
     "pairs, kept",
     [
-        ([(25.0, 0.0), (75.0, 0.0)], 0),
-        ([(25.0, 0.0), (75.0, 5.0)], 2),
-        ([(0.0, 0.0), (0.0, 5.0)], 2),
-        ([(None, None), (None, None)], 0),
+        ([(12.0, 0.0), (3.0, 0.0), (1.0, 0.0)], 0),
+        ([(12.0, 0.0), (0.0, 0.0), (0.0, 7.0)], 3),
+        ([(4.0, None), (4.0, 0.0), (4.0, 1.0)], 3),
+        ([(4.0, None), (None, None), (0.0, None)], 0),
     ],
 )
 def test_sectors_without_target_are_removed(table, pairs, kept):
-    rows = [
-        ("automotive", t, 2027, "global", "source", "company", *pair)
-        for t, pair in zip(["electric", "ice"], pairs, strict=True)
-    ]
-    result = tech_deviation.without_untargeted_sectors(table(rows, WIDE), TARGET)
+    result = tech_deviation.without_untargeted_sectors(table(power_rows(pairs), WIDE), TARGET)
     assert result.count() == kept
 
 
@@ -169,63 +171,69 @@ def test_extra_columns_identify_rows(table, deviate):
     """Two plants of a company stay apart but count towards the company's totals."""
     schema = schemas.TECHNOLOGY_RESULTS + ", plant string"
     rows = [
-        (*long_row("electric", "projected", 0.0), "p1"),
-        (*long_row("electric", TARGET, 0.0), "p1"),
-        (*long_row("electric", "projected", 9.0), "p2"),
-        (*long_row("electric", TARGET, 4.0), "p2"),
-        (*long_row("ice", "projected", 0.0), "p1"),
-        (*long_row("ice", TARGET, 0.0), "p2"),
+        (*long_row("hydrocap", "projected", 0.0), "p1"),
+        (*long_row("hydrocap", TARGET, 0.0), "p1"),
+        (*long_row("hydrocap", "projected", 9.0), "p2"),
+        (*long_row("hydrocap", TARGET, 4.0), "p2"),
+        (*long_row("coalcap", "projected", 0.0), "p1"),
+        (*long_row("coalcap", TARGET, 0.0), "p2"),
     ]
     result = calculate_company_tech_deviation(
         table(rows, schema), table(DIRECTIONS, schemas.TECHNOLOGY_DIRECTION), **ARGUMENTS
     )
-    # ice is idle in both plants; electric is not, so its empty plant is kept.
+    # Coal is idle in both plants; hydro is not, so its empty plant is kept.
     assert records(result, "technology", "plant", "total_tech_deviation") == [
-        ("electric", "p1", 0.0),
-        ("electric", "p2", 5.0),
+        ("hydrocap", "p1", 0.0),
+        ("hydrocap", "p2", 5.0),
     ]
 
 
 def test_missing_region_matches_missing_region(deviate):
-    results = [long_row("electric", m, v, region=None) for m, v in [("projected", 3.0), (TARGET, 1.0)]]
-    directions = [("source", "scenario", "automotive", "electric", None, 1.0)]
+    results = [long_row("hydrocap", m, v, region=None) for m, v in [("projected", 3.0), (TARGET, 1.0)]]
+    directions = [("source", "scenario", "power", "hydrocap", None, 1.0)]
     assert records(deviate(results, directions), "region", "total_tech_deviation") == [(None, 2.0)]
 
 
 def test_unknown_sign_leaves_direction_unknown(deviate):
-    directions = [("source", "scenario", "automotive", "electric", "global", None), DIRECTIONS[1]]
+    directions = [("source", "scenario", "power", "hydrocap", "global", None), *DIRECTIONS[1:]]
     assert records(deviate(directions=directions), *OUTCOME[:3]) == [
-        ("electric", None, None),
-        ("ice", -15.0, "phaseout"),
+        ("coalcap", 15.0, "phaseout"),
+        ("hydrocap", None, None),
+        ("oilcap", -6.0, "phaseout"),
     ]
 
 
 def test_missing_plan_has_no_deviation(deviate):
-    results = [r for r in RESULTS if r[1:7:5] != ("electric", "projected")]
+    results = [r for r in RESULTS if r[1:7:5] != ("hydrocap", "projected")]
     assert records(deviate(results), "technology", "total_tech_deviation") == [
-        ("electric", None),
-        ("ice", -15.0),
+        ("coalcap", 15.0),
+        ("hydrocap", None),
+        ("oilcap", -6.0),
     ]
 
 
 def test_nan_is_read_as_missing(deviate):
-    results = [long_row("electric", "projected", float("nan")), *RESULTS[1:]]
-    assert records(deviate(results), "technology", "projected") == [("electric", None), ("ice", 75.0)]
+    results = [long_row("hydrocap", "projected", float("nan")), *RESULTS[1:]]
+    assert records(deviate(results), "technology", "projected") == [
+        ("coalcap", 30.0),
+        ("hydrocap", None),
+        ("oilcap", 8.0),
+    ]
 
 
 def test_technologies_without_unit_are_dropped(deviate):
-    units = [("automotive", "ice", "cars")]
-    assert records(deviate(units=units), *OUTCOME) == [("ice", -15.0, "phaseout", "cars")]
+    units = [("power", "oilcap", "GW")]
+    assert records(deviate(units=units), *OUTCOME) == [("oilcap", -6.0, "phaseout", "GW")]
 
 
 def test_technologies_without_unit_still_count_for_the_sector(deviate):
     results = [
-        long_row("ice", "projected", 75.0),
-        long_row("ice", TARGET, 0.0),
-        long_row("electric", "projected", 1.0),
-        long_row("electric", TARGET, 1.0),
+        long_row("coalcap", "projected", 6.0),
+        long_row("coalcap", TARGET, 0.0),
+        long_row("hydrocap", "projected", 1.0),
+        long_row("hydrocap", TARGET, 1.0),
     ]
-    assert deviate(results, units=[("automotive", "ice", "cars")]).count() == 1
+    assert deviate(results, units=[("power", "coalcap", "GW")]).count() == 1
 
 
 @pytest.mark.parametrize("over, under", [(10.0, -10.0)])
@@ -242,11 +250,11 @@ def test_bridge_cap(table, over, under):
 
 
 def test_direction_and_deviation_steps(table):
-    df = table([(25.0, 20.0, -1.0), (25.0, 20.0, 1.0)], "projected double, target_scenario double, directional_dummy double")
+    df = table([(4.0, 7.0, -1.0), (4.0, 7.0, 1.0)], "projected double, target_scenario double, directional_dummy double")
     result = tech_deviation.add_tech_direction(tech_deviation.add_total_tech_deviation(df, TARGET))
     assert records(result, "total_tech_deviation", "direction") == [
-        (-5.0, "phaseout"),
-        (5.0, "buildout"),
+        (-3.0, "buildout"),
+        (3.0, "phaseout"),
     ]
 
 
@@ -257,7 +265,12 @@ def test_two_values_for_a_cell_are_an_error(deviate):
 
 def test_scenario_pattern_matching_two_scenarios_is_an_error(deviate):
     with pytest.raises(ValueError, match="more than one direction"):
-        deviate(directions=[*DIRECTIONS, ("source", "scenario_x", *DIRECTIONS[0][2:])])
+        deviate(directions=[*DIRECTIONS, ("source", "scenario_x", *DIRECTIONS[0][2:5], -1.0)])
+
+
+def test_a_repeated_sign_counts_once(deviate):
+    again = [*DIRECTIONS, DIRECTIONS[0], ("source", "scenario_x", *DIRECTIONS[1][2:])]
+    assert records(deviate(directions=again)) == records(deviate())
 
 
 @pytest.mark.parametrize(
@@ -282,11 +295,12 @@ def test_bad_directions(deviate):
         deviate(directions=[("source", "scenarios", *DIRECTIONS[0][2:])])
 
 
+@pytest.mark.parametrize("validate, error", [(True, ValueError), (False, Exception)])
 @pytest.mark.parametrize("absent", ["projected", TARGET])
-def test_metric_absent_from_the_window_is_an_error(deviate, absent):
-    late = [long_row("ice", absent, 1.0, year=2040)]
-    with pytest.raises(ValueError, match="within the time frame"):
-        deviate([r for r in RESULTS if r[6] != absent] + late)
+def test_metric_absent_from_the_window_is_an_error(deviate, absent, validate, error):
+    late = [long_row("coalcap", absent, 1.0, year=2040)]
+    with pytest.raises(error, match="within the time frame"):
+        deviate([r for r in RESULTS if r[6] != absent] + late, validate=validate).collect()
 
 
 def test_missing_columns(table, spark):
@@ -303,4 +317,4 @@ def test_missing_columns(table, spark):
 def test_year_may_be_a_double(table):
     data = table(RESULTS, schemas.TECHNOLOGY_RESULTS).withColumn("year", F.col("year").cast("double"))
     directions = table(DIRECTIONS, schemas.TECHNOLOGY_DIRECTION)
-    assert calculate_company_tech_deviation(data, directions, **ARGUMENTS).count() == 2
+    assert calculate_company_tech_deviation(data, directions, **ARGUMENTS).count() == 3
