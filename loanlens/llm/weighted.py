@@ -205,7 +205,8 @@ def fingerprinted(
     """
     rows = keyed(docs, id_column, text_column)
     pairs, order = edited_pairs(rows)
-    sides = pairs.select(
+    # Repeated rows have equal keys: their words count once.
+    sides = pairs.dropDuplicates(KEYS).select(
         *KEYS,
         F.explode(
             F.array(

@@ -252,6 +252,18 @@ def test_fingerprints(spark):
     assert single["near_next"] == 1.0
 
 
+def test_a_repeated_row_has_the_fingerprint_of_its_text(spark):
+    rng = random.Random(9)
+    text, other = sentence(rng, 200, 60), sentence(rng, 200, 60)
+    rows = [(1, text), (1, text), (1, text), (2, text), (3, other)]
+    found = fingerprinted(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert len({r["fingerprint"] for r in found if r["doc_id"] < 3}) == 1
+    assert {r["near_next"] for r in found if r["doc_id"] == 1} == {1.0}
+    once = {r["doc_id"]: r for r in fingerprinted(documents(spark, rows[2:])).collect()}
+    assert all(r == once[r["doc_id"]] for r in found)
+
+
 def test_language_model(spark):
     rows = corpus()
     docs = documents(spark, rows).select("doc_id", "text", F.lit(0).alias("score"))
