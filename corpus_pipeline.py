@@ -20,12 +20,17 @@ from loanlens.llm.pieces import decoded, encoded
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter, or NULL, go."""
+    """Documents whose text has a language; those without a letter, or NULL, go.
+
+    A NULL lang becomes the predicted one; a given lang is a label and stays. If nothing was
+    learned, documents with a letter are kept and lang stays as it is.
+    """
     model = language.fit(language.learning_rows(docs))
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
     return (
-        language.predictions(docs, model)
-        .filter(F.col("lang_pred") != language.UNDETERMINED)
-        .select(*docs.columns)
+        language.predictions(docs, model, unlearned=None)
+        .filter(~F.col("lang_pred").eqNullSafe(language.UNDETERMINED))
+        .select(*(lang if c == "lang" else c for c in docs.columns))
     )
 
 

@@ -199,11 +199,13 @@ def fit(labelled: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHA
     return Automata(samples)
 
 
-def predictions(docs: DataFrame, model: Automata) -> DataFrame:
+def predictions(
+    docs: DataFrame, model: Automata, *, unlearned: str | None = UNDETERMINED
+) -> DataFrame:
     """Adds lang_pred and score to docs, from its column text alone.
 
-    lang_pred is "und", with score 0, where the text is NULL or has no letter, or if nothing was
-    learned. Else score is how much cheaper the winner is than the runner-up, 0 to 1, and 1 if
+    lang_pred is "und", with score 0, where the text is NULL or has no letter. If nothing was
+    learned, a text with letters gets what unlearned says, with score 0. Else score is how much cheaper the winner is than the runner-up, 0 to 1, and 1 if
     only one language is known. The first in alphabetical order wins a tie, with score 0.
     """
     shared = sent(docs, model)
@@ -222,6 +224,7 @@ def predictions(docs: DataFrame, model: Automata) -> DataFrame:
         for batch in slices(batches, "text"):
             symbols, starts, lettered = automata.coded(batch.column("text"))
             lang = np.full(batch.num_rows, UNDETERMINED, object)
+            lang[lettered] = unlearned
             score = np.zeros(batch.num_rows)
             if automata.languages:
                 cost = automata.phrases(symbols, starts) * np.array(automata.bits)

@@ -367,3 +367,20 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
+def test_language_stage_without_labels_and_with_some(spark):
+    texts = ["the cat and the dog", "der Hund und die Katze", "1 2 3", None]
+    docs = documents(spark, list(enumerate(texts))).withColumn("lang", F.lit(None).cast("string"))
+    stage = corpus_pipeline.identify_language
+    found = stage(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert {(r["doc_id"], r["lang"]) for r in found.collect()} == {(0, None), (1, None)}
+    learned = [i for i in range(1000, 1060) if not held_out(i, 5, 0)]
+    labelled = documents(spark, [(i, texts[i % 2]) for i in learned])
+    labelled = labelled.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    kept = documents(spark, [(2000, texts[0])]).withColumn("lang", F.lit("de"))
+    found = stage(spark, docs.unionByName(labelled).unionByName(kept), SF).collect()
+    by_id = {r["doc_id"]: r["lang"] for r in found}
+    assert len(found) == len(learned) + 3
+    assert (by_id[0], by_id[1], by_id[2000]) == ("en", "de", "de")
