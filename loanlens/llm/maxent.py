@@ -2,9 +2,12 @@
 
 Words belong to classes. The class of the next word is predicted by a softmax over weights that
 are looked up by hashes of what came before: the last word, the one before it (a skip), and both
-together (an n-gram). Within a class a word has its share of the training tokens, with half a
-token more for each known word and for all unknown ones together, so that the probabilities of
-all texts sum to one.
+together (an n-gram). The word within its class is predicted the same way: a class's words are
+the leaves of a tree, and every node on the way to a word is a softmax over at most FAN children,
+with weights that are looked up by hashes of context and node. Without weights a word has its
+share of the class's training tokens, with half a token more for each known word and for all
+unknown ones together. Words outside the frequent ones share a leaf per class, in which that
+share alone decides. The probabilities of all texts sum to one.
 
 Training goes over all training documents in rounds. In a round every task starts from the same
 weights, takes gradient steps (Adagrad) over its documents, and returns what changed; the changes
@@ -13,6 +16,7 @@ are averaged by tokens. Scoring is one pass in batches of numpy, and a join for
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +32,9 @@ from loanlens.llm.common import U64, hashed, mixed, sent, slices, spaced_words,
 ROWS, BLOCK = 8192, 512  # rows fit 16 bits, which sort fastest
 #: The commonest words are classes of their own; the others fall into classes by how they end.
 OWN, ENDINGS = 7, 16
-#: Words with counts that every task gets: a bound of 2 MB.
+#: Children of a node in the tree of a class's words, and rows of the table of their weights.
+FAN, INNER_ROWS = 16, 65_536
+#: Words with counts and paths that every task gets: a bound of 6 MB.
 FREQUENT = 120_000
 #: Tokens of a gradient step or of a batch of scores.
 STEP = 16_384
@@ -41,7 +47,11 @@ END = int(mixed(np.array([12345], U64)).view(np.int64)[0])
 
 @dataclass
 class Counts:
-    """What the tasks get: totals, frequent words by hash, and classes."""
+    """What the tasks get: totals, frequent words by hash, classes, and the trees of their words.
+
+    Paths go by frequent word, then by class for the words that are not; flat, with starts.
+    log_rest is the log10 of the weight of a class's shared leaf, or of a class that has no tree.
+    """
 
     tokens: int
     distinct: int
@@ -49,18 +59,59 @@ class Counts:
     counts: np.ndarray
     own: np.ndarray
     log_prior: np.ndarray = field(default=None)
-    log_size: np.ndarray = field(default=None)
+    log_rest: np.ndarray = field(default=None)
+    starts: np.ndarray = field(default=None)
+    nodes: np.ndarray = field(default=None)
+    choices: np.ndarray = field(default=None)
+    node_prior: np.ndarray = field(default=None)
 
     @property
     def classes(self) -> int:
         return ENDINGS + OWN + 1
 
-    def count(self, words: np.ndarray) -> np.ndarray:
-        """Counts of words by hash, -1 where a word is not among the frequent."""
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Places of words by hash, -1 where a word is not among the frequent."""
         if not len(self.hashes):
             return np.full(len(words), -1)
         at = np.searchsorted(self.hashes, words).clip(max=len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.counts[at], -1)
+        return np.where(self.hashes[at] == words, at, -1)
+
+    def decisions(self, found: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Token, node and chosen child of every decision on the ways to some words."""
+        which = np.where(found >= 0, found, len(self.hashes) + kinds)
+        begins, sizes = self.starts[which], self.starts[which + 1] - self.starts[which]
+        token = np.repeat(np.arange(len(which)), sizes)
+        before = np.cumsum(sizes) - sizes
+        at = np.arange(len(token)) + np.repeat(begins - before, sizes)
+        return token, self.nodes[at], self.choices[at]
+
+
+def _tree(weights: list[float], first: int) -> tuple[list[list[tuple[int, int]]], list[list[float]]]:
+    """Way to each leaf as (node, child), and each node's children's weights; nodes from first on.
+
+    A Huffman tree: heavy leaves have short ways.
+    """
+    heap = [(w, i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    inner: list[list[float]] = []
+    while len(heap) > 1:
+        # The first node takes what leaves full ones for all others.
+        take = FAN if inner else (len(heap) - 2) % (FAN - 1) + 2
+        taken = [heapq.heappop(heap) for _ in range(take)]
+        for child, (_, i) in enumerate(taken):
+            up[i] = (len(inner), child)
+        heapq.heappush(heap, (sum(w for w, _ in taken), len(weights) + len(inner)))
+        inner.append([w for w, _ in taken])
+    ways = []
+    for i in range(len(weights)):
+        way, at = [], i
+        while at in up:
+            node, child = up[at]
+            way.append((first + node, child))
+            at = len(weights) + node
+        ways.append(way)
+    return ways, inner
 
 
 def _endings(words: pa.Array) -> np.ndarray:
@@ -139,8 +190,9 @@ def _gathered(counts: DataFrame) -> Counts:
         if kept + grades[g] > FREQUENT:
             break
         least, kept = g, kept + grades[g]
-    found = counts.filter(grade >= least).select("word", "n") if kept else counts.limit(0)
-    rows = np.array([(r[0], r[1]) for r in found.select("word", "n").collect()], np.int64).reshape(-1, 2)
+    found = counts.filter(grade >= least) if kept else counts.limit(0)
+    rows = found.select("word", "n", "kind").collect()
+    rows = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
     rows = rows[np.argsort(rows[:, 0])]
     plain = rows[rows[:, 0] != END]
     top = plain[np.lexsort((plain[:, 0], -plain[:, 1]))[:OWN], 0]
@@ -154,12 +206,34 @@ def _gathered(counts: DataFrame) -> Counts:
     ):
         known[k], total[k] = words, n
     model.log_prior = np.log((total + 1) / (total.sum() + model.classes)).astype(np.float32)
-    model.log_size = np.log10(total + 0.5 * (known + 1))
+    _grow(model, rows[:, 2], total + 0.5 * (known + 1))
     return model
 
 
+def _grow(model: Counts, kinds: np.ndarray, size: np.ndarray) -> None:
+    """Adds the trees of classes of a size: a leaf per frequent word and one for all others."""
+    kinds = np.where(np.isin(model.hashes, model.own), ENDINGS, kinds)
+    ways: list[list[tuple[int, int]]] = [[] for _ in range(len(kinds) + model.classes)]
+    inner: list[list[float]] = []
+    rest = size.copy()
+    for kind in range(ENDINGS):
+        words = np.flatnonzero(kinds == kind)
+        rest[kind] -= (model.counts[words] + 0.5).sum()
+        found, nodes = _tree([*(model.counts[words] + 0.5).tolist(), rest[kind]], len(inner))
+        for place, way in zip([*words.tolist(), len(kinds) + kind], found):
+            ways[place] = way
+        inner += nodes
+    model.log_rest = np.log10(rest)
+    model.starts = np.concatenate([[0], np.cumsum(list(map(len, ways)))]).astype(np.int64)
+    flat = np.array([d for way in ways for d in way], np.int32).reshape(-1, 2)
+    model.nodes, model.choices = flat[:, 0].copy(), flat[:, 1].copy()
+    model.node_prior = np.full((len(inner), FAN), -1e30, np.float32)
+    for node, weights in enumerate(inner):
+        model.node_prior[node, : len(weights)] = np.log(np.array(weights) / sum(weights))
+
+
 def _batches(texts: pa.Array, model: Counts) -> Iterator[tuple[np.ndarray, ...]]:
-    """Words, classes, feature rows and text of tokens, some thousands at a time."""
+    """Words, classes, hashes of contexts and text of tokens, some thousands at a time."""
     ids, kinds, starts = _tokens(texts)
     for i, word in enumerate(model.own.tolist()):
         kinds[ids == word] = ENDINGS + i
@@ -168,17 +242,22 @@ def _batches(texts: pa.Array, model: Counts) -> Iterator[tuple[np.ndarray, ...]]
     seen = ids.view(U64)
     one = np.where(place > 0, np.roll(seen, 1), U64(1))
     two = np.where(place > 1, np.roll(seen, 2), U64(2))
-    rows = np.stack(
-        [
-            mixed(one * U64(3)) % U64(ROWS),
-            mixed(two * U64(5)) % U64(ROWS),
-            mixed(mixed(two) * U64(7) + one) % U64(ROWS),
-        ],
-        axis=1,
-    ).astype(np.int16)
+    contexts = np.stack(
+        [mixed(one * U64(3)), mixed(two * U64(5)), mixed(mixed(two) * U64(7) + one)], axis=1
+    )
     for i in range(0, len(ids), STEP):
         part = slice(i, i + STEP)
-        yield ids[part], kinds[part], rows[part], text[part]
+        yield ids[part], kinds[part], contexts[part], text[part]
+
+
+def _class_rows(contexts: np.ndarray) -> np.ndarray:
+    return (contexts % U64(ROWS)).astype(np.int16)
+
+
+def _inner_rows(contexts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Rows of the weights of decisions, by context and node."""
+    mix = (contexts ^ (nodes.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None]) * U64(0xD6E8FEB86659FD93)
+    return ((mix >> U64(32)) % U64(INNER_ROWS)).astype(np.uint16)
 
 
 def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -190,61 +269,82 @@ def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def _round(docs: DataFrame, model: Counts, weights: np.ndarray) -> np.ndarray:
-    """The weights after one round over docs."""
+def _learn(
+    weights: np.ndarray, squares: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray
+) -> None:
+    """A gradient step (Adagrad) over some decisions."""
+    if not len(chosen):
+        return
+    slope = np.exp(_log_softmax(weights, prior, rows))
+    slope[np.arange(len(chosen)), chosen] -= 1
+    flat = rows.ravel(order="F")
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    begins = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    sums = np.add.reduceat(slope[order % len(slope)], begins)
+    touched = flat[begins]
+    squares[touched] += sums * sums
+    weights[touched] -= RATE * sums / np.sqrt(squares[touched])
+
+
+def _round(docs: DataFrame, model: Counts, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """The weights of classes and of words within them after one round over docs."""
     shared = sent(docs, (model, weights))
-    width = weights.shape[1]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, begin = shared.value
-        own, tokens = begin.copy(), 0
-        squares = np.full_like(own, 1e-4)
+        own, tokens = [w.copy() for w in begin], 0
+        squares = [np.full_like(w, 1e-4) for w in own]
         for batch in slices(batches, "text"):
-            for _, kinds, rows, _ in _batches(batch.column("text"), model):
-                slope = np.exp(_log_softmax(own, model.log_prior, rows))
-                slope[np.arange(len(kinds)), kinds] -= 1
-                flat = rows.ravel(order="F")
-                order = np.argsort(flat, kind="stable")
-                flat = flat[order]
-                begins = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-                sums = np.add.reduceat(slope[order % len(slope)], begins)
-                touched = flat[begins]
-                squares[touched] += sums * sums
-                own[touched] -= RATE * sums / np.sqrt(squares[touched])
+            for ids, kinds, contexts, _ in _batches(batch.column("text"), model):
+                _learn(own[0], squares[0], model.log_prior, _class_rows(contexts), kinds)
+                token, nodes, chosen = model.decisions(model.find(ids), kinds)
+                rows = _inner_rows(contexts[token], nodes)
+                _learn(own[1], squares[1], model.node_prior[nodes], rows, chosen)
                 tokens += len(kinds)
-        change = (own - begin) * np.float32(tokens)
-        blocks = range(0, ROWS, BLOCK) if tokens else ()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(blocks, pa.int32()),
-                pa.array([tokens] * len(blocks), pa.int64()),
-                pa.array([change[i : i + BLOCK].tobytes() for i in blocks], pa.binary()),
-            ],
-            ["block", "tokens", "change"],
-        )
+        for which in range(len(own) if tokens else 0):
+            change = (own[which] - begin[which]) * np.float32(tokens)
+            blocks = range(0, len(change), BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([which] * len(blocks), pa.int32()),
+                    pa.array(blocks, pa.int32()),
+                    pa.array([tokens] * len(blocks), pa.int64()),
+                    pa.array([change[i : i + BLOCK].tobytes() for i in blocks], pa.binary()),
+                ],
+                names,
+            )
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for block, tokens, change in zip(*(c.to_pylist() for c in batch.columns)):
-                own = total.setdefault(block, [0, np.zeros(BLOCK * width)])
+            for which, block, tokens, change in zip(*(c.to_pylist() for c in batch.columns)):
+                own = total.setdefault((which, block), [0, 0.0])
                 own[0] += tokens
-                own[1] += np.frombuffer(change, np.float32)
+                own[1] = own[1] + np.frombuffer(change, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(list(total), pa.int32()),
+                pa.array([k[0] for k in total], pa.int32()),
+                pa.array([k[1] for k in total], pa.int32()),
                 pa.array([v[0] for v in total.values()], pa.int64()),
                 pa.array([v[1].astype(np.float32).tobytes() for v in total.values()], pa.binary()),
             ],
-            ["block", "tokens", "change"],
+            names,
         )
 
-    schema = "block int, tokens long, change binary"
-    sums = docs.select("text").mapInArrow(each, schema).repartition("block").mapInArrow(summed, schema)
-    out = weights.copy()
-    # As many rows as the table has blocks.
-    for block, tokens, change in sums.collect():
-        out[block : block + BLOCK] += np.frombuffer(change, np.float32).reshape(BLOCK, width) / tokens
+    names = ["which", "block", "tokens", "change"]
+    schema = "which int, block int, tokens long, change binary"
+    sums = (
+        docs.select("text")
+        .mapInArrow(each, schema)
+        .repartition("which", "block")
+        .mapInArrow(summed, schema)
+    )
+    out = [w.copy() for w in weights]
+    # As many rows as the tables have blocks.
+    for which, block, tokens, change in sums.collect():
+        part = out[which][block : block + BLOCK]
+        part += np.frombuffer(change, np.float32).reshape(part.shape) / tokens
     return out
 
 
@@ -252,6 +352,7 @@ def _round(docs: DataFrame, model: Counts, weights: np.ndarray) -> np.ndarray:
 class Model:
     counts: Counts
     weights: np.ndarray
+    inner: np.ndarray
     words: DataFrame
 
 
@@ -259,11 +360,14 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     """The model of all texts of docs (columns id and text; a NULL text counts as empty)."""
     words = stored(token_counts(docs))
     counts = _gathered(words)
-    weights = np.zeros((ROWS, counts.classes), np.float32)
+    weights = [
+        np.zeros((ROWS, counts.classes), np.float32),
+        np.zeros((INNER_ROWS, FAN), np.float32),
+    ]
     for number in range(rounds if counts.tokens else 0):
         share = docs.filter(F.pmod(F.xxhash64("id", "text"), F.lit(rounds)) == number)
         weights = _round(share, counts, weights)
-    return Model(counts, weights, words)
+    return Model(counts, *weights, words)
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -278,25 +382,35 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     docs = docs.drop(*made)
     kept = [c for c in docs.columns if c != text_column]
-    shared = sent(docs, (model.counts, model.weights))
+    shared = sent(docs, (model.counts, model.weights, model.inner))
     counts = model.counts
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weights = shared.value
+        model, weights, inner = shared.value
         for batch in slices(batches, "text"):
             n = batch.num_rows
             tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             logs, score = np.zeros(n), np.zeros(n)
             rare_text, rare_word = [], []
-            for ids, kinds, rows, text in _batches(batch.column("text"), model):
-                of_class = _log_softmax(weights, model.log_prior, rows)
-                own = of_class[np.arange(len(kinds)), kinds] / math.log(10)
-                score += np.bincount(text, own - model.log_size[kinds], n)
+            for ids, kinds, contexts, text in _batches(batch.column("text"), model):
+                of_class = _log_softmax(weights, model.log_prior, _class_rows(contexts))
+                score += np.bincount(text, of_class[np.arange(len(kinds)), kinds] / math.log(10), n)
+                found = model.find(ids)
+                token, nodes, chosen = model.decisions(found, kinds)
+                if len(token):
+                    rows = _inner_rows(contexts[token], nodes)
+                    of_child = _log_softmax(inner, model.node_prior[nodes], rows)
+                    own = of_child[np.arange(len(chosen)), chosen] / math.log(10)
+                    score += np.bincount(text[token], own, n)
                 tokens += np.bincount(text, minlength=n)
-                often = model.count(ids)
-                frequent = often >= 0
+                frequent = found >= 0
                 known += np.bincount(text[frequent], minlength=n)
-                logs += np.bincount(text[frequent], np.log10(often[frequent] + 0.5), n)
+                own = np.zeros(len(ids))
+                own[frequent] = np.log10(model.counts[found[frequent]] + 0.5)
+                logs += np.bincount(text, own, n)
+                # What the trees don't decide: classes of one word, and the shared leaves.
+                shares = ~frequent | (kinds >= ENDINGS)
+                score += np.bincount(text[shares], (own - model.log_rest[kinds])[shares], n)
                 rare_text.append(text[~frequent])
                 rare_word.append(ids[~frequent])
             text = np.concatenate(rare_text or [np.empty(0, np.int64)])
@@ -346,6 +460,6 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
             (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(counts.tokens).cast("long").alias("train_tokens"),
             (logs - F.col("tokens") * size).alias("base_score"),
-            (F.col("score") + logs).alias("score"),
+            (F.col("score") + F.coalesce("more_logs", F.lit(0.0))).alias("score"),
         )
     )

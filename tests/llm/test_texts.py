@@ -295,6 +295,48 @@ def test_class_probabilities_sum_to_one(spark):
     assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
 
 
+def test_context_tells_words_of_one_class_apart(spark):
+    """The same words, equally frequent and of one ending class, in two contexts."""
+    rng = random.Random(4)
+    pairs = [("left", "kaxab"), ("right", "mozab")]
+    filler = [f"f{i}" for i in range(maxent.OWN)]  # commoner, so classes of their own
+    rows = []
+    for i in range(300):
+        words = []
+        for _ in range(20):
+            words += [*rng.choice(pairs), *(rng.choice(filler) for _ in range(8))]
+        rows.append((i, " ".join(words)))
+    model = maxent.fit(documents(spark, rows).select(F.col("doc_id").alias("id"), "text"))
+    asked = [(1, "left kaxab"), (2, "left mozab"), (3, "right mozab"), (4, "right kaxab")]
+    docs = documents(spark, asked).select("doc_id", "text")
+    scores = {r["doc_id"]: r["score"] for r in maxent.scored(docs, model).collect()}
+    assert scores[1] > scores[2] + 0.2 and scores[3] > scores[4] + 0.2
+
+
+def test_probabilities_of_words_sum_to_one(spark, monkeypatch):
+    """All words after one context, with some outside the frequent ones, and one unknown."""
+    monkeypatch.setattr(maxent, "FREQUENT", 150)
+    docs = documents(spark, corpus()).select(F.col("doc_id").alias("id"), "text")
+    model = maxent.fit(docs)
+    counts, rng = model.counts, np.random.default_rng(2)
+    assert 0 < len(counts.hashes) <= 150 and len(counts.node_prior) > 2
+    context = rng.integers(1, 2**62, (1, 3)).astype(np.uint64)
+    total = np.zeros(maxent.ENDINGS)
+    words = [(r["word"], r["kind"], r["n"]) for r in model.words.collect()]
+    words = [w for w in words if w[0] not in counts.own and w[1] < maxent.ENDINGS]
+    unknown = [(k, k, 0) for k in range(maxent.ENDINGS)]
+    for word, kind, n in words + unknown:
+        found = counts.find(np.array([word]))
+        _, nodes, chosen = counts.decisions(found, np.array([kind]))
+        log = 0.0 if found[0] >= 0 else math.log10(n + 0.5) - counts.log_rest[kind]
+        if len(nodes):
+            rows = maxent._inner_rows(context[np.zeros(len(nodes), int)], nodes)
+            logs = maxent._log_softmax(model.inner, counts.node_prior[nodes], rows)
+            log += logs[np.arange(len(nodes)), chosen].sum() / math.log(10)
+        total[kind] += 10**log
+    assert np.allclose(total, 1, atol=1e-3)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
