@@ -14,6 +14,7 @@ from loanlens.llm.decontaminate import contamination
 from loanlens.llm.minhash import near_duplicates
 from loanlens.llm.pieces import decoded, encoded
 from loanlens.llm.sharding import sharded
+from loanlens.llm.spines import prefix_trie
 from loanlens.llm.weighted import fingerprinted
 
 
@@ -143,6 +144,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_minhash_near_dedup,
     op2_benchmark_decontamination,
@@ -154,6 +159,7 @@ QUERIES = (
     op8_fingerprints,
     op9_lm_scoring,
     op10_sentencepiece,
+    op13_prefix_trie,
 )
 
 
@@ -162,7 +168,10 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": DECONTAMINATION_SQL}
+    return {
+        "op2_benchmark_decontamination": DECONTAMINATION_SQL,
+        "op13_prefix_trie": PREFIX_TRIE_SQL,
+    }
 
 
 DECONTAMINATION_SQL = r"""
@@ -196,3 +205,53 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 """
+
+# The checksum is worked out bit by bit: -1 stands for a shift, 0 to 255 for a byte to take in.
+PREFIX_TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(
+      list_prepend(4294967295, flatten(list_transform(
+        string_split(CAST(c AS VARCHAR), ''),
+        lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda s, x: CASE WHEN x >= 0 THEN xor(s, x)
+                        WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END),
+    4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+turns AS (
+  SELECT k.c, 0 AS src, t.pos, t.role, t.text FROM convs k JOIN t ON t.c = k.base AND t.pos <= k.h
+  UNION ALL
+  SELECT k.c, 1, t.pos, t.role, t.text FROM convs k JOIN t ON t.c = k.c AND t.pos > k.h),
+paths AS (
+  SELECT k.c, CASE WHEN count(u.role) = 0 THEN [] ELSE
+      list(md5(concat(u.role, chr(0), u.text)) ORDER BY u.src, u.pos) END AS path,
+    CASE WHEN count(u.role) = 0 THEN [] ELSE list(length(u.text) ORDER BY u.src, u.pos) END AS sizes
+  FROM convs k LEFT JOIN turns u ON u.c = k.c GROUP BY k.c),
+spots AS (
+  SELECT c, len(path) AS n, d, array_to_string(path[1:d], ' ') AS node,
+    array_to_string(path[1:d - 1], ' ') AS parent, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size,
+    path
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, d, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+    any_value(size) AS size, any_value(path[1:d]) AS path,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends
+  FROM spots GROUP BY node, d),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+beneath AS (
+  SELECT array_to_string(path[1:up], ' ') AS node, up AS d,
+    sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT n.path, n.n_convs, n.size, k.n_children, unnest(range(0, n.d + 1)) AS up
+        FROM nodes n LEFT JOIN kids k ON k.parent = n.node AND k.d = n.d)
+  GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(k.n_children, 0) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN beneath b ON b.node = n.node AND b.d = n.d
+LEFT JOIN nodes p ON n.d > 0 AND p.node = n.parent AND p.d = n.d - 1
+LEFT JOIN kids k ON k.parent = n.node AND k.d = n.d
+"""
