@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loanlens.llm import language, maxent, personal, quality
 from loanlens.llm.common import remainder, stored, table
 from loanlens.llm.counting import EDITS, counted, recounted
+from loanlens.llm.crosswalk import aligned
 from loanlens.llm.decontaminate import contamination
 from loanlens.llm.minhash import near_duplicates
 from loanlens.llm.pieces import decoded, encoded
@@ -144,6 +145,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -159,6 +164,7 @@ QUERIES = (
     op8_fingerprints,
     op9_lm_scoring,
     op10_sentencepiece,
+    op12_tokenizer_alignment,
     op13_prefix_trie,
 )
 

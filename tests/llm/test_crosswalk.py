@@ -1,0 +1,201 @@
+"""Alignment of two tokenizers against a plain version."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from loanlens.llm import crosswalk
+from loanlens.llm.crosswalk import Tokenizers, aligned, cut, models, token_groups
+from tests.llm.helpers import corpus, documents
+
+
+@pytest.fixture(scope="module")
+def tok():
+    return Tokenizers(**models())
+
+
+class Plain:
+    """The libraries' own encodings, and groups and links token by token."""
+
+    def __init__(self):
+        self.a = Tokenizer.from_file(crosswalk.BYTE_MODEL)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=crosswalk.PIECE_MODEL)
+        letters = crosswalk.byte_of_letter()
+        self.a_bytes = {
+            i: bytes(letters[c] for c in t)
+            for t, i in self.a.get_vocab().items()
+            if t != "<|endoftext|>"
+        }
+
+    def piece(self, i):
+        name = self.b.id_to_piece(i)
+        return bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace("▁", " ").encode()
+
+    def laid(self, text):
+        if not text:
+            return None
+        sides = []
+        for ids, names in (
+            (self.a.encode(" " + text, add_special_tokens=False).ids, self.a_bytes.__getitem__),
+            (self.b.encode(text), self.piece),
+        ):
+            tokens, at = [], 0
+            for i in ids:
+                tokens.append((i, at, at := at + len(names(i))))
+            if b"".join(map(names, ids)) != (" " + text).encode():
+                return None
+            sides.append(tokens)
+        return sides
+
+    def rows(self, docs):
+        laid = {i: self.laid(t) for i, t in docs}
+        held, links, out = Counter(), {}, {}
+        for i, sides in laid.items():
+            links[i] = [
+                (x, y)
+                for x, s, e in (sides[0] if sides else [])
+                for y, s2, e2 in self.near(sides[1], s, e)
+            ]
+            held.update(set(links[i]))
+        most = Counter()
+        for (x, _), n in held.items():
+            most[x] = max(most[x], n)
+        for i, sides in laid.items():
+            if not sides:
+                out[i] = (0, 0, 0, 0, 0, 0, "")
+                continue
+            a, b = sides
+            cuts = sorted({e for *_, e in a} & {e for *_, e in b})
+            groups, start = [], 0
+            for stop in cuts:
+                groups.append(
+                    "|".join(
+                        ",".join(str(t) for t, s, e in side if start <= s and e <= stop)
+                        for side in (a, b)
+                    )
+                )
+                start = stop
+            out[i] = (
+                len(a), len(b), len(groups), len(links[i]),
+                sum(held[p] == most[p[0]] for p in links[i]), sum(held[p] for p in links[i]),
+                hashlib.sha256(";".join(groups).encode()).hexdigest(),
+            )
+        return out
+
+    def near(self, tokens, s, e):
+        return [t for t in tokens if t[1] < e and t[2] > s]
+
+
+def texts():
+    rng = random.Random(4)
+    alphabet = "ab é中😀 \n\t'sxyz,.<|endoftext|>0123 "
+    odd = ["".join(rng.choices(alphabet, k=rng.randrange(1, 80))) for _ in range(40)]
+    given = [
+        None, "", " ", "  two", "a ▁ b", "▁", "<s> </s> <|endoftext|> <unk>", "x" * 300,
+        "don't  stop\r\n\n now ", "é" * 40, "\x00\x1c\x85", "中文 字 中文", "   ", "tail ", "a",
+    ]
+    return given + odd + odd[:5] + [t for _, t in corpus(3, 12) if t is None or len(t) < 2000]
+
+
+def found(df):
+    return {r[0]: tuple(r[1:]) for r in df.collect()}
+
+
+def test_equals_the_libraries(spark, monkeypatch):
+    monkeypatch.setattr(crosswalk, "LISTED_BYTES", 500)
+    rows = list(enumerate(texts()))
+    docs = documents(spark, rows).withColumn("pairs", F.lit(1)).withColumn("slice", F.lit("x"))
+    got = aligned(docs)
+    assert got.columns == [
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
+    ]
+    assert found(got) == Plain().rows(rows)
+
+
+def test_long_documents_in_pieces_equal_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(crosswalk, "FRAGMENT_BYTES", 37)
+    monkeypatch.setattr(crosswalk, "FAN", 5)
+    rng = random.Random(8)
+    rows = list(enumerate(texts()))
+    rows += [
+        (1000 + i, " ".join(rng.choices([t for t in texts() if t and "▁" not in t], k=9)))
+        for i in range(8)
+    ]
+    rows.append((2000, "a ▁ b " * 300))
+    whole = found(aligned(documents(spark, rows)))
+    assert found(aligned(documents(spark, rows), piece_bytes=100)) == whole
+    assert whole[2000] == (0, 0, 0, 0, 0, 0, "")
+    assert found(aligned(documents(spark, rows), piece_bytes=9)) == whole
+
+
+def test_a_text_longer_than_a_slice(spark):
+    rng = random.Random(6)
+    text = " ".join(f"word{rng.randrange(5000)}" for _ in range(260_000))
+    rows = [(1, text), (2, text[:1000]), (3, "x" * 1_200_000)]
+    got = found(aligned(documents(spark, rows)))
+    assert got == found(aligned(documents(spark, rows), piece_bytes=10_000_000))
+    assert got[1][0] > 260_000 and got[2][3] > 0 and got[3][0] > 0
+
+
+def test_fragments_join_in_any_order(tok):
+    rng = random.Random(1)
+    for text in [t for t in texts() if t and "▁" not in t][:30]:
+        a, _, b, _ = tok.encode([text])
+        expected = crosswalk.whole(tok, crosswalk.fragment(tok, a, b))
+        for width in (1, 2, 7, 30):
+            parts = crosswalk.fragments(tok, a, b, width)
+            while len(parts) > 1:
+                i = rng.randrange(len(parts) - 1)
+                parts[i : i + 2] = [crosswalk.joined(tok, parts[i], parts[i + 1])]
+            joined = crosswalk.whole(tok, parts[0])
+            assert joined[:5] == expected[:5]
+            assert np.array_equal(joined.pairs, expected.pairs)
+            assert np.array_equal(joined.times, expected.times)
+            assert not len(parts[0].tail_a.ids) and not len(parts[0].tail_b.ids)
+
+
+def test_pieces_have_the_tokens_of_the_whole(tok):
+    rng = random.Random(2)
+    for _ in range(50):
+        text = "".join(rng.choices("ab é中 \n\t'sxyz,. 01  ", k=400))
+        a, _, b, _ = tok.encode([text])
+        pieces = cut(text, rng.randrange(1, 60))
+        assert " " + " ".join(pieces) == " " + text
+        x, _, y, _ = tok.encode(pieces)
+        assert x.ids.tolist() == a.ids.tolist() and y.ids.tolist() == b.ids.tolist()
+
+
+def test_the_byte_model_equals_its_library(tok):
+    """Every character of the first planes, in words, after spaces and doubled."""
+    library = Plain().a
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    samples = [f"a{chr(c)} {chr(c)}{chr(c)}1  {chr(c)}x" for c in points]
+    for i in range(0, len(samples), 20_000):
+        some = samples[i : i + 20_000]
+        theirs = library.encode_batch_fast([" " + s for s in some], add_special_tokens=False)
+        assert [e.ids for e in theirs] == [tok.a.encode_ordinary(" " + s) for s in some]
+
+
+def test_groups_repeated_rows_and_empty_tables(spark):
+    assert aligned(documents(spark, []).limit(0)).collect() == []
+    docs = documents(spark, [(1, "same text here"), (1, "same text here"), (None, "other é")])
+    rows = aligned(docs).collect()
+    assert len(rows) == 3 and {r["doc_id"] for r in rows} == {1, None}
+    twice = [r for r in rows if r["doc_id"] == 1]
+    assert twice[0] == twice[1] and twice[0]["count_sum"] == 2 * twice[0]["n_links"]
+    for row in token_groups(docs).collect():
+        raw = (" " + row["text"]).encode()
+        assert [g["start"] for g in row["groups"]] == [0] + [g["stop"] for g in row["groups"]][:-1]
+        assert row["groups"][-1]["stop"] == len(raw)
+        written = ";".join(
+            ",".join(map(str, g["a"])) + "|" + ",".join(map(str, g["b"])) for g in row["groups"]
+        )
+        shas = {r["groups_sha256"] for r in rows if r["doc_id"] == row["doc_id"]}
+        assert shas == {hashlib.sha256(written.encode()).hexdigest()}
