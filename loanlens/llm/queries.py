@@ -13,6 +13,7 @@ from loanlens.llm.counting import EDITS, counted, recounted
 from loanlens.llm.crosswalk import aligned
 from loanlens.llm.decontaminate import contamination
 from loanlens.llm.minhash import near_duplicates
+from loanlens.llm.multiindex import vector_duplicates
 from loanlens.llm.pieces import decoded, encoded
 from loanlens.llm.sharding import sharded
 from loanlens.llm.spines import prefix_trie
@@ -145,6 +146,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(table(spark, sf_dir, "documents"))
 
@@ -164,6 +169,7 @@ QUERIES = (
     op8_fingerprints,
     op9_lm_scoring,
     op10_sentencepiece,
+    op11_embedding_near_dedup,
     op12_tokenizer_alignment,
     op13_prefix_trie,
 )
