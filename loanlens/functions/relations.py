@@ -21,8 +21,8 @@ from loanlens.functions.missing import field
 # Rows up to which a dimension is broadcast; a few megabytes of short columns.
 BROADCAST_ROWS = 100_000
 
-# Rows of a piece of a global numbering, on average.
-NUMBERED_ROWS = 100_000
+# Bytes that a row of a lookup table takes at least in an estimate of its size.
+LOOKUP_ROW_BYTES = 100
 
 
 def match(
@@ -49,71 +49,114 @@ def match(
     return left.join(renamed, condition, how).drop(*[f"_match_{k}" for k in keys])
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size by the optimizer's estimate, which for stored tables is that of their files."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
+
+
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """The rows; fails, when the plan runs, if there are more."""
+    message = f"a lookup table that was estimated small has more than {rows} rows"
+    within = F.when(F.count("*") > rows, F.raise_error(F.lit(message)).cast("boolean"))
+    return df.where(df.limit(rows + 1).agg(within.otherwise(True)).scalar())
+
+
 def dimension(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast if a bounded count proves it small.
+    """Mark a lookup table for broadcast if it is small.
 
-    A larger one comes back unmarked and is joined by shuffle.
+    One that is small by its estimate is checked when the plan runs, and costs no job
+    before.  Others are counted, up to the bound.  A larger one comes back unmarked and
+    is joined by shuffle.
     """
+    if estimated_bytes(df) <= max_rows * LOOKUP_ROW_BYTES:
+        return F.broadcast(at_most(df, max_rows))
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
 
 
+def values_differ(value: Column) -> Column:
+    """Aggregate: whether a group has two values, of which NULL may be one."""
+    n_known = F.count(value)
+    some_missing = (n_known > 0) & (n_known < F.count("*"))
+    return F.coalesce(F.min(value) != F.max(value), F.lit(False)) | some_missing
+
+
+def one_value(value: Column, message: str) -> Column:
+    """Aggregate: the value that all rows of a group have; fails if they differ."""
+    return F.when(values_differ(value), F.raise_error(F.lit(message))).otherwise(F.max(value))
+
+
+def lookup_of(
+    df: DataFrame, keys: Sequence[str], value: str, message: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """`keys` and the one `value` of each, to be joined; the plan fails on two values.
+
+    A table that is small by its estimate is read by one task, without a shuffle, and
+    marked for broadcast; see `dimension`.
+    """
+    small = estimated_bytes(df) <= max_rows * LOOKUP_ROW_BYTES
+    rows = df.coalesce(1) if small else df
+    single = rows.groupBy(*[field(k) for k in keys]).agg(
+        one_value(field(value), message).alias(value)
+    )
+    return dimension(single, max_rows)
+
+
+def looked_up(left: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join with a lookup whose size is only known when the plan runs.
+
+    The plan holds both ways: a broadcast of no more rows than the bound, and a join by
+    shuffle that splits hot keys.  A count of the lookup, a scalar subquery, turns one of
+    them off before its rows move.  `left` should end in a shuffle, which both ways and
+    the lookup can share; else it is computed once for each.
+    """
+    few = lookup.agg(F.count("*") <= BROADCAST_ROWS).scalar()
+    small = match(left.where(few), F.broadcast(lookup.where(few)), keys)
+    large = match(left.where(~few), lookup.where(~few), keys, split_hot_keys=True)
+    return small.union(large)
+
+
 def with_group_totals(df: DataFrame, keys: Sequence[str], *totals: Column) -> DataFrame:
     """Every row of `df` with the aggregates of its group beside it."""
     sums = df.groupBy(*[field(k) for k in keys]).agg(*totals)
     return match(df, sums, keys, split_hot_keys=True)
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Number the rows 1..n along `order` (NULL first) on many tasks.
+def with_position(
+    df: DataFrame, order: Sequence[str], name: str, nulls_first: bool = True
+) -> DataFrame:
+    """Number the rows 1..n along `order` on many tasks.
 
-    `order` must identify a row.  The rows whose key hash falls below a bound, which is
-    set by the number of rows, are an even, repeatable sample of the keys; sorted, they
-    cut the order into pieces of similar size, as many as the table asks for.  A row's
-    number is its rank in its piece plus the rows in earlier pieces.
+    One exchange deals the rows to ranges of the order and sorts them there.  A row's
+    number is its place in its range plus the rows of earlier ranges, of which there are
+    as many as shuffle partitions.  Counts and rows read the same exchange, so `df` is
+    computed once; if it ends in a shuffle, so is the sample that the ranges are cut by.
+    `order` should identify a row: rows that tie on it are in one range, in any order.
     """
-    key = F.struct(*[field(c) for c in order])
-    every = F.greatest(F.count("*") / NUMBERED_ROWS, F.lit(1.0))
-    pieces_wanted = df.agg(F.coalesce(every / F.greatest(F.count("*"), F.lit(1)), F.lit(1.0))).scalar()
-    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < pieces_wanted * float(1 << 40)
-    sampled = (
-        df.select(key.alias("key"))
-        .where(drawn)
-        .agg(F.array_sort(F.collect_list("key")).alias("all"))
-        .withColumn("stride", F.greatest(F.ceil(F.sqrt(F.size("all"))).cast("int"), F.lit(1)))
-    )
-    cuts = sampled.select(
-        F.struct(
-            "all",
-            "stride",
-            F.filter("all", lambda _, i: i % F.col("stride") == F.col("stride") - 1).alias("some"),
-        )
-    ).scalar()
-
-    def not_after(cuts: Column) -> Column:
-        return F.size(F.filter(cuts, lambda cut: cut <= key))
-
-    # Find the run of cuts around the key first, then the place within the run.
-    pieces = (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_run", not_after(F.col("_cuts.some")) * F.col("_cuts.stride"))
-        .withColumn(
-            "_piece",
-            F.col("_run")
-            + not_after(F.slice(F.col("_cuts.all"), F.col("_run") + 1, F.col("_cuts.stride"))),
-        )
-        .drop("_cuts", "_run")
+    keys = [
+        field(c).asc_nulls_first() if nulls_first else field(c).asc_nulls_last() for c in order
+    ]
+    # A fixed number of ranges, which adaptive execution leaves as they are.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *keys)
+    # True of every row, but told from all columns: without some of them the counts would
+    # get an exchange, and a computation of `df`, of their own.
+    every = F.xxhash64(*[field(c) for c in df.columns]) >= F.lit(-(1 << 63))
+    sizes = dealt.groupBy(F.spark_partition_id().alias("_range")).agg(
+        F.count_if(every).alias("_size")
     )
-    # One row per piece from here on, so one task and a broadcast are fine.
-    sizes = pieces.groupBy("_piece").agg(F.count("*").alias("_size"))
-    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
+        "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
-    within = Window.partitionBy("_piece").orderBy(*[field(c).asc_nulls_first() for c in order])
+    # The id holds the partition above 33 bits and the row's place within it below.
+    placed = dealt.sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    place = F.col("_id").bitwiseAND((1 << 33) - 1)
     return (
-        pieces.join(F.broadcast(offsets), "_piece")
-        .withColumn(name, F.row_number().over(within) + F.col("_offset"))
-        .drop("_piece", "_offset")
+        placed.withColumn("_range", F.shiftright("_id", 33).cast("int"))
+        .join(F.broadcast(offsets), "_range")
+        .withColumn(name, place + F.col("_offset") + 1)
+        .drop("_range", "_id", "_offset")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.functions.relations import dimension
+from loanlens.functions.relations import dimension, lookup_of
 from loanlens.sources import schemas
 
 # Sectors measured by emission intensity instead of output.
@@ -48,10 +48,18 @@ def default_activity_units(spark: SparkSession) -> DataFrame:
 
 
 def units_of_technologies(spark: SparkSession, activity_units: DataFrame | None) -> DataFrame:
-    """The caller's units, or the built-in ones, to be joined by sector and technology."""
+    """The caller's units, or the built-in ones, to be joined by sector and technology.
+
+    Two units of a technology would repeat its companies: the plan then fails.
+    """
     if activity_units is None:
         return F.broadcast(default_activity_units(spark))
-    return dimension(activity_units.select("sector", "technology", "activity_unit"))
+    return lookup_of(
+        activity_units.select("sector", "technology", "activity_unit"),
+        ["sector", "technology"],
+        "activity_unit",
+        "more than one unit for the same sector and technology in `activity_units`",
+    )
 
 
 def units_of_sectors(spark: SparkSession, activity_units: DataFrame | None) -> DataFrame:
@@ -66,8 +74,8 @@ def build_activity_units(abcd: DataFrame) -> DataFrame:
     """Unit of every sector and technology in asset data.
 
     The emission unit for sectors measured by intensity, the production unit for all
-    others.  A technology reported in two units has two rows, and a join with the
-    table then repeats its companies; see `technologies_with_several_units`.
+    others.  A technology reported in two units has two rows, and an analysis that is
+    passed the table then fails; `technologies_with_several_units` lists them.
     """
     unit = F.when(
         F.col("sector").isin(INTENSITY_SECTORS), F.col("emission_factor_unit")

@@ -7,11 +7,13 @@ net or split by direction; sectors measured by emission intensity compare intens
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field, known_total, or_zero, ratio
-from loanlens.functions.relations import match, with_group_totals
+from loanlens.functions.relations import match, with_group_totals, with_position
 from loanlens.operators.activity_units import units_of_sectors
 from loanlens.operators.checks import (
     flags,
@@ -36,6 +38,9 @@ from loanlens.sources import schemas
 
 LEVELS = ("net", "bo_po")
 
+# Directions by the name of the flag that says whether there are any.
+DIRECTIONS = {"has_buildout": "buildout", "has_phaseout": "phaseout", "has_unknown": None}
+
 # Not a company: the row of the whole market in emission intensity results.
 MARKET = "market"
 
@@ -77,11 +82,27 @@ def arrange(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*[field(c).asc_nulls_last() for c in columns])
 
 
+def arranged_as(
+    df: DataFrame, columns: Sequence[str], arranged: bool, position: str | None
+) -> DataFrame:
+    """Sorted, or with each row's place in that order as a column.
+
+    Places survive a shuffle or a write to many files.  Rows that tie are told apart by
+    the other columns.
+    """
+    if position is not None:
+        if position in df.columns:
+            raise ValueError(f"There already is a column {position}.")
+        rest = [c for c in df.columns if c not in columns]
+        return with_position(df, [*columns, *rest], position, nulls_first=False)
+    return arrange(df, *columns) if arranged else df
+
+
 def scenario_total(target: str) -> Column:
     return known_total(field(target)).alias("net_absolute_scenario_value")
 
 
-def add_net_absolute_scenario_value(data: DataFrame, target: str) -> DataFrame:
+def beside_scenario_total(data: DataFrame, target: str) -> DataFrame:
     """Scenario total of the company's sector and unit in the year, on every row."""
     return with_group_totals(data, COMPANY_UNIT_YEAR, scenario_total(target))
 
@@ -114,7 +135,7 @@ def net_total_deviation(data: DataFrame, target: str) -> DataFrame:
     )
 
 
-def calculate_company_alignment_metric(data: DataFrame, scenario: str) -> DataFrame:
+def relative_to_scenario(data: DataFrame, scenario: str) -> DataFrame:
     """Deviation relative to the scenario total, in the output layout."""
     metric = ratio(F.col("total_deviation"), F.col("net_absolute_scenario_value"))
     return (
@@ -124,41 +145,52 @@ def calculate_company_alignment_metric(data: DataFrame, scenario: str) -> DataFr
     )
 
 
-def fill_missing_direction(data: DataFrame) -> DataFrame:
+def in_all_directions(data: DataFrame) -> DataFrame:
     """Give every unit of analysis all directions found in `data`, zero where absent.
 
-    Missing deviations and metrics of rows already there become zero as well.  Which
-    directions `data` has, two in practice, is a scalar subquery over it; the rows of
-    a unit are completed in place, without building the grid or joining it back.
+    Missing deviations and metrics of rows already there become zero as well.  What a
+    unit has, and what the whole table has, are a flag per direction, so that neither
+    grows with the rows: build-out, phase-out, and unknown.  Rows that are absent are made
+    from the flags and put beside the others.
     """
-    all_directions = (
-        data.select("direction")
-        .distinct()
-        .agg(F.collect_list(F.struct("direction")).alias("rows"))
-        .select(F.transform("rows", lambda row: row["direction"]))
-        .scalar()
-    )
+    flags = {name: F.coalesce(F.bool_or(is_), F.lit(False)) for name, is_ in directions().items()}
+    columns = [flag.alias(name) for name, flag in flags.items()]
+    found = data.agg(F.struct(*columns)).scalar()
+    units = data.groupBy(*UNIT_OF_ANALYSIS).agg(*columns)
     zero = F.lit(0.0)
-    rows = data.groupBy(*UNIT_OF_ANALYSIS).agg(
-        F.collect_list(
+    absent = [
+        F.when(
+            found[name] & ~F.col(name),
             F.struct(
-                "direction",
-                or_zero(F.col("total_deviation")).alias("total_deviation"),
-                or_zero(F.col("alignment_metric")).alias("alignment_metric"),
-            )
-        ).alias("rows")
-    )
-    present = F.transform("rows", lambda row: row["direction"])
-    absent = rows.withColumn("absent", F.array_except(all_directions, present))
-    added = F.transform(
-        "absent",
-        lambda direction: F.struct(
-            direction.alias("direction"),
-            zero.alias("total_deviation"),
-            zero.alias("alignment_metric"),
-        ),
+                F.lit(DIRECTIONS[name]).cast("string").alias("direction"),
+                zero.alias("total_deviation"),
+                zero.alias("alignment_metric"),
+            ),
+        )
+        for name in flags
+    ]
+    added = units.select(*UNIT_OF_ANALYSIS, F.inline(F.array_compact(F.array(*absent))))
+    present = data.select(
+        *UNIT_OF_ANALYSIS,
+        "direction",
+        or_zero(F.col("total_deviation")).alias("total_deviation"),
+        or_zero(F.col("alignment_metric")).alias("alignment_metric"),
     )
-    return absent.select(*UNIT_OF_ANALYSIS, F.inline(F.concat("rows", added)))
+    return present.unionByName(added)
+
+
+def directions() -> dict[str, Column]:
+    """What tells each direction's rows; any other direction is an error."""
+    direction = F.col("direction")
+    other = F.raise_error(F.concat(F.lit("`direction` is neither buildout nor phaseout: "), direction))
+    known = F.when(
+        direction.isNull() | direction.isin("buildout", "phaseout"), direction.isNull()
+    ).otherwise(other.cast("boolean"))
+    return {
+        "has_buildout": direction.eqNullSafe("buildout"),
+        "has_phaseout": direction.eqNullSafe("phaseout"),
+        "has_unknown": known,
+    }
 
 
 def check_tms_input(data: DataFrame, scenario_source: str) -> None:
@@ -179,12 +211,14 @@ def calculate_company_aggregate_alignment_tms(
     *,
     validate: bool = True,
     arranged: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Alignment of companies in sectors with technology pathways.
 
     `level` is `net`, or `bo_po` for build-out and phase-out apart.  All scenario
     sources in `data` are kept; `scenario_source` must be one of them.  `arranged`
-    sorts the result, which costs a shuffle of it.
+    sorts the result, which costs a shuffle of it; `position` instead names a column for
+    each row's place in that order.
     """
     one_of("level", level, LEVELS)
     one_text("scenario_source", scenario_source)
@@ -195,21 +229,20 @@ def calculate_company_aggregate_alignment_tms(
         check_tms_input(data, scenario_source)
 
     if level == "net":
-        alignment = calculate_company_alignment_metric(
+        alignment = relative_to_scenario(
             net_total_deviation(data, target), scenario
         )
     else:
-        alignment = fill_missing_direction(
-            calculate_company_alignment_metric(
+        alignment = in_all_directions(
+            relative_to_scenario(
                 total_deviation_by_direction(data, target), scenario
             )
         )
-    if arranged:
-        alignment = arrange(alignment, "sector", "name_abcd", "region", "year", "direction")
-    return alignment
+    order = ["sector", "name_abcd", "region", "year", "direction"]
+    return arranged_as(alignment, order, arranged, position)
 
 
-def prep_and_wrangle_aggregate_alignment_sda(
+def intensity_beside_target(
     data: DataFrame,
     scenario_source: str,
     target: str,
@@ -227,7 +260,7 @@ def prep_and_wrangle_aggregate_alignment_sda(
     return wide.withColumn("direction", F.lit("net"))
 
 
-def add_total_deviation_sda(data: DataFrame) -> DataFrame:
+def with_intensity_gap(data: DataFrame) -> DataFrame:
     """Scenario less projected intensity: emitting less than the scenario is positive."""
     gap = F.col("projected") - F.col("net_absolute_scenario_value")
     return data.withColumn("total_deviation", gap * -1)
@@ -278,6 +311,7 @@ def calculate_company_aggregate_alignment_sda(
     activity_units: DataFrame | None = None,
     validate: bool = True,
     arranged: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """Alignment of companies in sectors measured by emission intensity."""
     one_text("scenario_source", scenario_source)
@@ -297,7 +331,7 @@ def calculate_company_aggregate_alignment_sda(
             time_frame,
         )
 
-    wide = prep_and_wrangle_aggregate_alignment_sda(
+    wide = intensity_beside_target(
         data, scenario_source, target, start_year, time_frame
     )
     measured = match(wide, units_of_sectors(data.sparkSession, activity_units), ["sector"])
@@ -305,8 +339,6 @@ def calculate_company_aggregate_alignment_sda(
         # One row per company, sector, region and year: its own target is the total.
         totals = measured.withColumn("net_absolute_scenario_value", or_zero(field(target)))
     else:
-        totals = add_net_absolute_scenario_value(measured, target)
-    alignment = calculate_company_alignment_metric(add_total_deviation_sda(totals), scenario)
-    if arranged:
-        alignment = arrange(alignment, "sector", "name_abcd", "region", "year")
-    return alignment
+        totals = beside_scenario_total(measured, target)
+    alignment = relative_to_scenario(with_intensity_gap(totals), scenario)
+    return arranged_as(alignment, ["sector", "name_abcd", "region", "year"], arranged, position)

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field, known, known_total, ratio
-from loanlens.functions.relations import dimension, match, with_group_totals
+from loanlens.functions.relations import looked_up, match, with_group_totals
 from loanlens.operators.checks import one_of, validate_data_has_expected_cols
-from loanlens.operators.company_alignment import LEVELS, arrange
+from loanlens.operators.company_alignment import LEVELS, arranged_as
 from loanlens.sources import schemas
 
 GROUP = ["scenario", "region", "sector", "year", "direction"]
@@ -48,14 +48,15 @@ def add_exposure_weight(exposure: DataFrame, by: Sequence[str] = ()) -> DataFram
     """Each exposure's share of its book in its currency, over all sectors.
 
     A book in one currency can be the whole table, so its total is aggregated and
-    joined back: by broadcast if a bounded count proves the totals small, so that no
-    exposure is shuffled by its currency, else by a join that hot books are split in.
+    joined back: by broadcast if the totals turn out few, so that no exposure is shuffled
+    by its currency, else by a join that hot books are split in.  Nothing runs before
+    the plan does, and the loans are read once.
     """
     keys = [*by, CURRENCY]
     totals = exposure.groupBy(*[field(k) for k in keys]).agg(
         known_total(field(SIZE)).alias("_book")
     )
-    beside = match(exposure, dimension(totals), keys, split_hot_keys=True)
+    beside = looked_up(exposure, totals, keys)
     weight = ratio(field(SIZE), F.col("_book"))
     return beside.withColumn("exposure_weight", weight).drop("_book")
 
@@ -232,11 +233,14 @@ def aggregate_alignment_loanbook_exposure(
     by: str | Sequence[str] | None = None,
     *,
     arranged: bool = False,
+    position: str | None = None,
 ) -> LoanbookAlignment:
     """Alignment of the loan book(s) in `matched` from company alignment in `data`.
 
     `by` names columns of `matched` to tell loan books apart, none for one book.
     `level` says whether `data` is net or split into build-out and phase-out.
+    `arranged` sorts the aggregate; `position` instead names a column for each row's place
+    in that order.
     """
     one_of("level", level, LEVELS)
     by = [by] if isinstance(by, str) else list(dict.fromkeys(by or []))
@@ -250,6 +254,6 @@ def aggregate_alignment_loanbook_exposure(
     rows = add_opposite_directions(data) if level == "bo_po" else data
     company = join_exposure(rows, exposure, by)
     aggregate = aggregate_alignment(data, exposure, level, by)
-    if arranged:
-        aggregate = arrange(aggregate, *by, *GROUP)
-    return LoanbookAlignment(company, aggregate)
+    return LoanbookAlignment(
+        company, arranged_as(aggregate, [*by, *GROUP], arranged, position)
+    )

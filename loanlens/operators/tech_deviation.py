@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.missing import field, known, known_total, or_zero
-from loanlens.functions.relations import BROADCAST_ROWS, match
+from loanlens.functions.relations import BROADCAST_ROWS, lookup_of, match, values_differ
 from loanlens.operators.activity_units import units_of_technologies
 from loanlens.operators.checks import (
+    ValueNotFound,
     flags,
     found,
     not_found,
@@ -127,34 +128,27 @@ def directions_of_scenario(
     """Build-out or phase-out sign per sector, technology and region, to be joined.
 
     `scenario` is searched as a regular expression.  If it matches several scenarios
-    that give a technology different signs, rows would be counted twice; that is an
-    error.  A repeated sign counts once.  The same count decides whether the table is
-    broadcast.
+    that give a technology different signs, rows would be counted twice; the plan then
+    fails.  A repeated sign counts once.
     """
-    directions = technology_direction.where(
+    matching = matching_directions(technology_direction, scenario_source, scenario)
+    message = several_directions(scenario)
+    return lookup_of(matching, DIRECTION_KEYS, "directional_dummy", message, BROADCAST_ROWS)
+
+
+def matching_directions(
+    technology_direction: DataFrame, scenario_source: str, scenario: str
+) -> DataFrame:
+    return technology_direction.where(
         (F.col("scenario_source") == scenario_source) & F.col("scenario").rlike(scenario)
     ).select(*DIRECTION_KEYS, "directional_dummy")
-    counted = (
-        directions.groupBy(*DIRECTION_KEYS)
-        .agg(
-            F.count("*").alias("rows"),
-            F.count_distinct(F.struct("directional_dummy")).alias("signs"),
-        )
-        .agg(
-            F.count("*").alias("keys"),
-            F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
-            F.coalesce(F.max("signs"), F.lit(0)).alias("signs"),
-        )
-        .first()
+
+
+def several_directions(scenario: str) -> str:
+    return (
+        f"`scenario` {scenario!r} matches more than one direction for the same "
+        "sector, technology and region in `technology_direction`."
     )
-    if counted["signs"] > 1:
-        raise ValueError(
-            f"`scenario` {scenario!r} matches more than one direction for the same "
-            "sector, technology and region in `technology_direction`."
-        )
-    if counted["rows"] > 1:
-        directions = directions.distinct()
-    return F.broadcast(directions) if counted["keys"] <= BROADCAST_ROWS else directions
 
 
 def without_idle_technologies(
@@ -205,20 +199,20 @@ def without_untargeted_sectors(
     return match(data, targeted, COMPANY_SECTOR_YEAR, "left_semi", split_hot_keys=True)
 
 
-def add_total_tech_deviation(data: DataFrame, target: str) -> DataFrame:
+def with_signed_gap(data: DataFrame, target: str) -> DataFrame:
     """Planned less scenario output, signed by the technology's direction."""
     gap = F.col("projected") - field(target)
     return data.withColumn("total_tech_deviation", gap * F.col("directional_dummy"))
 
 
-def add_tech_direction(data: DataFrame) -> DataFrame:
+def with_direction_name(data: DataFrame) -> DataFrame:
     """Name the direction; an unknown sign stays unknown."""
     sign = F.col("directional_dummy")
     direction = F.when(sign == 1, "buildout").when(sign.isNotNull(), "phaseout")
     return data.withColumn("direction", direction).drop("directional_dummy")
 
 
-def apply_bridge_technology_cap(data: DataFrame, bridge_tech: str) -> DataFrame:
+def bridge_as_misaligned(data: DataFrame, bridge_tech: str) -> DataFrame:
     """Count any deviation of the bridge technology, either way, as misaligned.
 
     Rows without a technology are dropped.
@@ -231,7 +225,7 @@ def apply_bridge_technology_cap(data: DataFrame, bridge_tech: str) -> DataFrame:
     )
 
 
-def prep_company_alignment_aggregation(
+def output_beside_target(
     data: DataFrame,
     technology_direction: DataFrame,
     scenario_source: str,
@@ -295,10 +289,11 @@ def check_tech_deviation_input(
             "scenario_source", "data", scenario_source, data.select("scenario_source")
         )
     if not row["scenario"]:
-        raise ValueError(
+        offered = scenarios_on_offer(data, "metric")
+        raise ValueNotFound(
             "input value of `scenario` not matched to any sub string in `data$metric`. "
-            f"You provided {scenario}. Available values are: "
-            f"{quoted(scenarios_on_offer(data, 'metric'))}"
+            f"You provided {scenario}. Available values are: {quoted(offered)}",
+            offered.distinct(),
         )
     if not occurs(technology_direction, F.col("scenario_source") == scenario_source):
         raise not_found(
@@ -311,6 +306,11 @@ def check_tech_deviation_input(
         raise not_found(
             "scenario", "technology_direction", scenario, technology_direction.select("scenario")
         )
+    signs = matching_directions(technology_direction, scenario_source, scenario)
+    sign = F.col("directional_dummy")
+    per_technology = signs.groupBy(*DIRECTION_KEYS).agg(values_differ(sign).alias("differ"))
+    if occurs(per_technology, F.col("differ")):
+        raise ValueError(several_directions(scenario))
     check_metrics_in_window(row, ["projected", "target"], time_frame)
     return row["start"]
 
@@ -356,17 +356,17 @@ def calculate_company_tech_deviation(
             )
         )
     target = target_column(scenario)
-    wide = prep_company_alignment_aggregation(
+    wide = output_beside_target(
         data, technology_direction, scenario_source, scenario, time_frame, start_year
     )
     unique = is_one_row_per_technology(data)
     active = without_idle_technologies(wide, target, unique)
     kept = without_untargeted_sectors(active, target, unique)
     deviations = match(
-        add_tech_direction(add_total_tech_deviation(kept, target)),
+        with_direction_name(with_signed_gap(kept, target)),
         units_of_technologies(data.sparkSession, activity_units),
         ["sector", "technology"],
     )
     if bridge_tech != "none":
-        deviations = apply_bridge_technology_cap(deviations, bridge_tech)
+        deviations = bridge_as_misaligned(deviations, bridge_tech)
     return deviations

@@ -458,6 +458,23 @@ QUERIES = {
         company("(select * from net union all by name select * from sda)", "weighed"),
         COUNTS, WEIGHTED, EXPOSURES,
     ),
+    "arranged_tms": f"""
+        select {ALIGNMENT}, row_number() over (order by sector nulls last,
+          name_abcd nulls last, region nulls last, year nulls last, direction nulls last,
+          activity_unit nulls last, scenario_source nulls last) as position
+        from completed""",
+    "arranged_sda": f"""
+        select * replace ({six("total_deviation")} as total_deviation,
+          {six("alignment_metric")} as alignment_metric),
+          row_number() over (order by sector nulls last, name_abcd nulls last,
+            region nulls last, year nulls last, activity_unit nulls last) as position
+        from sda""",
+    "arranged_portfolio": f"""
+        select *, row_number() over (order by group_id nulls last, scenario nulls last,
+          region nulls last, sector nulls last, year nulls last, direction nulls last)
+          as position
+        from ({aggregate(company("completed", "weighed_by"), COUNTS, WEIGHTED, by="group_id,")})
+        a""",
     "activity_units": """
         select distinct sector, technology,
           case when sector in ('aviation', 'cement', 'steel') then emission_factor_unit

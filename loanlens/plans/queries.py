@@ -67,7 +67,7 @@ def tms_pivot(px: Proxies) -> DataFrame:
 
 
 def wide_rows(px: Proxies) -> DataFrame:
-    return deviation.prep_company_alignment_aggregation(
+    return deviation.output_beside_target(
         px.tms_results, px.technology_direction, SOURCE, SCENARIO, TIME_FRAME
     )
 
@@ -106,7 +106,7 @@ def tech_deviation_gascap(px: Proxies) -> DataFrame:
 
 
 def net_scenario_value(px: Proxies) -> DataFrame:
-    return comparable(company_alignment.add_net_absolute_scenario_value(deviations(px), TARGET))
+    return comparable(company_alignment.beside_scenario_total(deviations(px), TARGET))
 
 
 def total_deviation(px: Proxies) -> DataFrame:
@@ -125,7 +125,7 @@ def company_alignment_net(px: Proxies) -> DataFrame:
 
 def directed(px: Proxies) -> DataFrame:
     """Build-out and phase-out alignment before missing directions are filled in."""
-    return company_alignment.calculate_company_alignment_metric(total_deviation(px), SCENARIO)
+    return company_alignment.relative_to_scenario(total_deviation(px), SCENARIO)
 
 
 def company_alignment_bo_po(px: Proxies) -> DataFrame:
@@ -141,7 +141,7 @@ def complete_directions(px: Proxies) -> DataFrame:
 
 def sda_pivot(px: Proxies) -> DataFrame:
     data = px.sda_results
-    wide = company_alignment.prep_and_wrangle_aggregate_alignment_sda(
+    wide = company_alignment.intensity_beside_target(
         data, SOURCE, TARGET, deviation.first_year(data), TIME_FRAME
     )
     return comparable(wide, also=("projected", TARGET))
@@ -235,6 +235,34 @@ def portfolio_tms_sda(px: Proxies) -> DataFrame:
     )
 
 
+# Results with their place in the arranged order
+
+
+def arranged_tms(px: Proxies) -> DataFrame:
+    return comparable(
+        company_alignment.calculate_company_aggregate_alignment_tms(
+            deviations(px), SOURCE, SCENARIO, "bo_po", validate=False, position="position"
+        )
+    )
+
+
+def arranged_sda(px: Proxies) -> DataFrame:
+    return comparable(
+        company_alignment.calculate_company_aggregate_alignment_sda(
+            px.sda_results, SOURCE, SCENARIO, TIME_FRAME, validate=False, position="position"
+        ),
+        also=("total_deviation",),
+    )
+
+
+def arranged_portfolio(px: Proxies) -> DataFrame:
+    return comparable(
+        loanbook.aggregate_alignment_loanbook_exposure(
+            alignment(px, "bo_po"), px.matched, "bo_po", BY, position="position"
+        ).aggregate
+    )
+
+
 # Reference tables and the benchmark loan book
 
 
@@ -316,6 +344,9 @@ ALL = [
     portfolio_aggregate_net_by_group,
     portfolio_aggregate_bo_po_by_group,
     portfolio_tms_sda,
+    arranged_tms,
+    arranged_sda,
+    arranged_portfolio,
     activity_units,
     sector_code_pick,
     benchmark_loanbook,

@@ -1,6 +1,8 @@
 """Company alignment: worked examples, filled directions, emission intensity."""
 
 import pytest
+from pyspark.sql import functions as F
+
 
 from loanlens import (
     calculate_company_aggregate_alignment_sda,
@@ -118,7 +120,7 @@ def test_net_value_step(table):
         "technology string, activity_unit string, year int, target_scenario double, "
         "direction string, total_tech_deviation double"
     )
-    result = company_alignment.add_net_absolute_scenario_value(table(rows, schema), "target_scenario")
+    result = company_alignment.beside_scenario_total(table(rows, schema), "target_scenario")
     assert records(result, "technology", "net_absolute_scenario_value") == [
         ("A", 100.0),
         ("B", 100.0),
@@ -146,7 +148,7 @@ def test_metric_step(table):
         ("c", "b", "u", "r", "s", 2027, "net", 50.0, 40.0),
         ("d", "a", "u", "r", "s", 2027, "net", 30.0, 30.0),
     ]
-    result = company_alignment.calculate_company_alignment_metric(table(rows, schema), "x")
+    result = company_alignment.relative_to_scenario(table(rows, schema), "x")
     assert records(result, "alignment_metric") == [(0.5,), (1.0,), (1.25,)]
 
 
@@ -157,7 +159,7 @@ def test_fill_keeps_missing_keys_and_repeated_rows(table):
         ("c2", "power", "MW", None, "s", "x", 2027, "phaseout", None, float("nan")),
         ("c3", "power", "MW", "r", "s", "x", 2027, None, 1.0, 2.0),
     ]
-    result = company_alignment.fill_missing_direction(table(rows, schemas.COMPANY_ALIGNMENT))
+    result = company_alignment.in_all_directions(table(rows, schemas.COMPANY_ALIGNMENT))
     assert records(result, *SHOWN) == [
         (None, None, 0.0, 0.0),
         (None, "buildout", -1.0, -0.5),
@@ -272,5 +274,48 @@ def test_sda_contract(align_sda):
 
 def test_sda_deviation_step(table):
     df = table([(0.8, 0.7), (1.1, 0.8), (0.6, 0.7)], "projected double, net_absolute_scenario_value double")
-    result = company_alignment.add_total_deviation_sda(df).collect()
+    result = company_alignment.with_intensity_gap(df).collect()
     assert [r["total_deviation"] for r in result] == pytest.approx([-0.1, -0.3, 0.1])
+
+
+def test_directions_of_many_repeated_rows_are_completed_row_by_row(spark):
+    """A third of all rows in one unit of analysis: no state or list grows with them."""
+    rows = spark.range(90_000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('c', id)) as name_abcd", "'power' as sector",
+        "'MW' as activity_unit", "'r' as region", "'s' as scenario_source", "'x' as scenario",
+        "2022 as year", "if(id % 2 = 0, 'buildout', 'phaseout') as direction",
+        "1D as total_deviation", "cast('nan' as double) as alignment_metric",
+    )
+    full = company_alignment.in_all_directions(rows)
+    plan = full._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    assert full.count() == 90_000 + 60_000
+    sums = full.groupBy("direction").agg(F.sum("total_deviation"), F.count("alignment_metric"))
+    assert records(sums) == [("buildout", 45_000.0, 75_000), ("phaseout", 45_000.0, 75_000)]
+
+
+def test_an_unheard_of_direction_fails(table):
+    row = ("c", "power", "MW", "r", "s", "x", 2022, "sideways", 1.0, 1.0)
+    with pytest.raises(Exception, match="neither buildout nor phaseout: sideways"):
+        company_alignment.in_all_directions(table([row], schemas.COMPANY_ALIGNMENT)).collect()
+
+
+def test_places_follow_the_arranged_order_with_missing_values_last(table):
+    rows = [
+        (name, sector, "MW", "r", "s", "x", year, "net", 1.0, 1.0)
+        for name in ("b", None, "a")
+        for sector in ("steel", None, "coal")
+        for year in (2023, 2022, None)
+    ]
+    df = table(rows, schemas.COMPANY_ALIGNMENT).repartition(5)
+    order = ["sector", "name_abcd", "region", "year"]
+    placed = company_alignment.arranged_as(df, order, False, "n")
+    sorted_ = company_alignment.arranged_as(df, order, True, None).collect()
+    assert [tuple(r[:10]) for r in sorted(placed.collect(), key=lambda r: r["n"])] == [
+        tuple(r) for r in sorted_
+    ]
+    assert sorted(r["n"] for r in placed.collect()) == list(range(1, 28))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan
+    with pytest.raises(ValueError, match="already is a column"):
+        company_alignment.arranged_as(df, order, False, "year")

@@ -11,7 +11,8 @@ from loanlens import (
     calculate_company_aggregate_alignment_tms,
     calculate_company_tech_deviation,
 )
-from loanlens.functions.relations import match, with_group_totals
+from loanlens.functions import relations
+from loanlens.functions.relations import match, with_group_totals, with_position
 from loanlens.operators import loanbook, tech_deviation
 from loanlens.sources import schemas
 
@@ -210,8 +211,56 @@ def test_small_book_totals_are_broadcast(splitting, hot_loans):
     assert "SortMergeJoin" not in executed(weighed)
 
 
+def computed(plan, node):
+    """How often a node stands in a plan as run, exchanges that are read again apart."""
+    return len(re.findall(node, plan))
+
+
+def test_weights_start_no_job_and_read_the_loans_once(spark, hot_loans):
+    tracker = spark.sparkContext.statusTracker()
+    group = "building weights"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        weighed = loanbook.add_exposure_weight(loanbook.loan_exposure(hot_loans, ["bank"]), ["bank"])
+        assert list(tracker.getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert computed(executed(weighed), "FileScan") == 1
+
+
+def test_deviations_of_stored_tables_start_no_job(spark, stored):
+    results = spark.read.parquet(f"{stored}/results")
+    directions = spark.read.parquet(f"{stored}/directions")
+    group = "building deviations"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        calculate_company_tech_deviation(results, directions, validate=False)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_lookup_larger_than_its_estimate_fails_when_the_plan_runs(spark):
+    # An estimate does not count what explode adds.
+    wide = spark.range(1).selectExpr("explode(sequence(1, 50)) as k")
+    marked = relations.dimension(wide, 20)
+    assert "broadcast" in marked._jdf.queryExecution().logical().toString()
+    with pytest.raises(Exception, match="more than 20 rows"):
+        marked.collect()
+
+
+def test_positions_take_one_exchange_over_one_scan(spark, stored):
+    rows = spark.read.parquet(f"{stored}/results")
+    sums = rows.groupBy("name_abcd", "year").agg(F.sum("production").alias("p"))
+    numbered = with_position(sums, ["name_abcd", "year"], "n")
+    plan = executed(numbered)
+    assert computed(plan, "FileScan") == 1
+    assert computed(plan, r"(?<!, )Exchange rangepartitioning") == 1
+    assert "collect_list" not in plan and "NestedLoop" not in plan
+
+
 def test_a_hot_book_is_split(splitting, hot_loans, monkeypatch):
-    monkeypatch.setattr(loanbook, "dimension", lambda totals: totals)
+    monkeypatch.setattr(relations, "BROADCAST_ROWS", 0)
     loans = hot_loans.drop("name_abcd").withColumnRenamed("borrower", "name_abcd")
     weighed = loanbook.add_exposure_weight(loanbook.loan_exposure(loans, ["bank"]), ["bank"])
     assert "SortMergeJoin(skew=true)" in executed(weighed)

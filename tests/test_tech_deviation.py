@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loanlens import calculate_company_tech_deviation
 from loanlens.operators import tech_deviation
+from loanlens.operators.checks import ValueNotFound
 from loanlens.sources import schemas
 from tests.conftest import records
 
@@ -240,7 +241,7 @@ def test_technologies_without_unit_still_count_for_the_sector(deviate):
 def test_bridge_cap(table, over, under):
     rows = [("gascap", over), ("gascap", under), ("gascap", 0.0), ("coalcap", over), (None, over)]
     df = table(rows, "technology string, total_tech_deviation double")
-    result = tech_deviation.apply_bridge_technology_cap(df, "gascap")
+    result = tech_deviation.bridge_as_misaligned(df, "gascap")
     assert records(result) == [
         ("coalcap", 10.0),
         ("gascap", -10.0),
@@ -251,7 +252,7 @@ def test_bridge_cap(table, over, under):
 
 def test_direction_and_deviation_steps(table):
     df = table([(4.0, 7.0, -1.0), (4.0, 7.0, 1.0)], "projected double, target_scenario double, directional_dummy double")
-    result = tech_deviation.add_tech_direction(tech_deviation.add_total_tech_deviation(df, TARGET))
+    result = tech_deviation.with_direction_name(tech_deviation.with_signed_gap(df, TARGET))
     assert records(result, "total_tech_deviation", "direction") == [
         (-3.0, "buildout"),
         (3.0, "phaseout"),
@@ -268,6 +269,30 @@ def test_scenario_pattern_matching_two_scenarios_is_an_error(deviate):
         deviate(directions=[*DIRECTIONS, ("source", "scenario_x", *DIRECTIONS[0][2:5], -1.0)])
 
 
+def test_two_signs_fail_when_the_plan_runs(deviate):
+    twice = [*DIRECTIONS, ("source", "scenario_x", *DIRECTIONS[0][2:5], -1.0)]
+    missing = [*DIRECTIONS, ("source", "scenario_x", *DIRECTIONS[0][2:5], None)]
+    for directions in (twice, missing):
+        deviations = deviate(directions=directions, validate=False)
+        with pytest.raises(PySparkException, match="more than one direction"):
+            deviations.collect()
+
+
+def test_two_units_of_a_technology_fail_when_the_plan_runs(deviate):
+    units = [("power", "oilcap", "GW"), ("power", "oilcap", "MW")]
+    with pytest.raises(PySparkException, match="more than one unit"):
+        deviate(units=units).collect()
+    again = [("power", "oilcap", "GW")] * 2
+    assert records(deviate(units=again), *OUTCOME) == [("oilcap", -6.0, "phaseout", "GW")]
+
+
+def test_an_unmatched_scenario_lists_all_on_offer(deviate):
+    many = [long_row("oilcap", f"target_{i:02}", 1.0) for i in range(30)]
+    with pytest.raises(ValueNotFound, match=r"31 in all") as error:
+        deviate([*RESULTS, *many], scenario="bad")
+    assert error.value.available.count() == 31
+
+
 def test_a_repeated_sign_counts_once(deviate):
     again = [*DIRECTIONS, DIRECTIONS[0], ("source", "scenario_x", *DIRECTIONS[1][2:])]
     assert records(deviate(directions=again)) == records(deviate())
