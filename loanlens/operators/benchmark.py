@@ -6,6 +6,7 @@ exposure weights become production weights.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,30 @@ from loanlens.sources import schemas
 COMPANY_SECTOR = ["company_id", "sector", "code", "name_company", "lei"]
 
 
-def pick_sector_codes(sector_codes: DataFrame) -> DataFrame:
-    """The longest unambiguous code of each sector, the first listed of several.
+def listed_position(table: DataFrame) -> Column:
+    """Where a row stands in its table: `ordinal`, or else its place in the file it is read from.
 
-    Position is `ordinal`; without that column the smallest code is taken.
+    Only Parquet files tell places; for other tables it is the code, so that the smallest
+    comes first.
     """
-    position = "ordinal" if "ordinal" in sector_codes.columns else "code"
+    if "ordinal" in table.columns:
+        return F.col("ordinal")
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        table.select(place)
+    except AnalysisException:
+        return F.col("code")
+    return place
+
+
+def pick_sector_codes(sector_codes: DataFrame) -> DataFrame:
+    """The longest unambiguous code of each sector, the first listed of several."""
     shortness = -F.coalesce(F.length("code"), F.lit(-1))
+    first = F.struct(shortness, listed_position(sector_codes))
     return (
         sector_codes.where(~F.col("borderline"))
         .groupBy("sector")
-        .agg(F.min_by("code", F.struct(shortness, F.col(position))).alias("code"))
+        .agg(F.min_by("code", first).alias("code"))
     )
 
 

@@ -291,6 +291,99 @@ RELATIONS = {
         from (select group_id, loan_size_outstanding_currency, name_abcd, sector,
                 sum(loan_size_outstanding) as loan_size_outstanding
               from book group by 1, 2, 3, 4) e""",
+    # Inputs with gaps and further columns
+    "gap_tms": """
+        select sector, technology, year, region, scenario_source, name_abcd, metric, plant,
+          case when total % 7 = 3 then null else total end as production
+        from (
+          select sector, technology, yr as year,
+            case when s_suppkey % 5 = 0 then null else r_name end as region,
+            src as scenario_source, s_name as name_abcd, met as metric,
+            l_linenumber % 2 as plant,
+            sum(case when l_quantity <= 10 then cast(0 as double) else l_quantity end) as total
+          from px_line where sector in ('power', 'automotive', 'hdv', 'coal')
+          group by 1, 2, 3, 4, 5, 6, 7, 8) t""",
+    "gap_signed": """
+        select p.*, d.directional_dummy
+        from (
+          select sector, technology, year, region, scenario_source, name_abcd, plant,
+            max(case when metric = 'projected' then production end) as projected,
+            max(case when metric = 'target_1.5c' then production end) as target
+          from gap_tms
+          where scenario_source = 'geco_2021' and metric in ('projected', 'target_1.5c')
+            and year between (select min(year) from gap_tms)
+              and (select min(year) + 5 from gap_tms)
+          group by 1, 2, 3, 4, 5, 6, 7) p
+          join (select distinct sector, technology, directional_dummy, region from px_dir
+                union select distinct sector, technology, directional_dummy, null from px_dir) d
+            on p.sector = d.sector and p.technology = d.technology
+              and p.region is not distinct from d.region""",
+    "gap_active": """
+        select * exclude (planned, aimed) from (
+          select s.*, coalesce(sum(projected) over w, 0) as planned,
+            coalesce(sum(target) over w, 0) as aimed
+          from gap_signed s
+          window w as (partition by name_abcd, region, scenario_source, sector, technology, year)
+        ) t where planned <> 0 or aimed <> 0""",
+    "gap_deviated": """
+        select k.* exclude (directional_dummy, aimed), u.activity_unit,
+          (projected - target) * directional_dummy as total_tech_deviation,
+          case when directional_dummy = 1 then 'buildout' else 'phaseout' end as direction
+        from (
+          select s.*, coalesce(sum(target) over (
+            partition by name_abcd, region, scenario_source, sector, year), 0) as aimed
+          from gap_active s) k
+          join units u on k.sector = u.sector and k.technology = u.technology
+        where aimed <> 0""",
+    "gap_directed": f"""
+        select name_abcd, sector, activity_unit, region, scenario_source, '1.5c' as scenario,
+          year, direction, deviation as total_deviation,
+          {ratio("deviation", "total")} as alignment_metric
+        from (
+          select name_abcd, sector, activity_unit, region, scenario_source, year, direction,
+            coalesce(sum(total_tech_deviation), 0) as deviation, any_value(aimed) as total
+          from (
+            select d.*, coalesce(sum(target) over (partition by name_abcd, scenario_source,
+              region, sector, activity_unit, year), 0) as aimed
+            from gap_deviated d) t
+          group by all) s""",
+    "gap_completed": """
+        select * exclude (alignment_metric), coalesce(alignment_metric, 0) as alignment_metric
+        from gap_directed
+        union all by name
+        select * exclude (direction, total_deviation, alignment_metric, n),
+          case direction when 'buildout' then 'phaseout' else 'buildout' end as direction,
+          0 as total_deviation, 0 as alignment_metric
+        from (
+          select d.*, count(*) over (partition by name_abcd, sector, activity_unit, region,
+            scenario_source, year) as n from gap_directed d) t
+        where n = 1""",
+    "gap_weighed": f"""
+        select * exclude (total),
+          {ratio("loan_size_outstanding", "total")} as exposure_weight
+        from (
+          select e.*, sum(loan_size_outstanding)
+            over (partition by group_id, loan_size_outstanding_currency) as total
+          from (
+            select case when o_orderpriority like '1%' then null else o_orderpriority end
+                as group_id,
+              case o_orderstatus when 'F' then 'EUR' when 'O' then 'USD' end
+                as loan_size_outstanding_currency,
+              case when s_suppkey % 4 = 0 then null else s_name end as name_abcd, sector,
+              cast(sum(case when l_linenumber in (1, 2) then 0
+                else cast(round(l_extendedprice * 100) as bigint) end) as double)
+                as loan_size_outstanding
+            from px_line join orders on l_orderkey = o_orderkey
+            group by 1, 2, 3, 4) e) t""",
+    "gap_abcd": """
+        select case when company_id % 7 = 0 then null else company_id end as company_id,
+          name_company, is_ultimate_owner, sector, technology, plant_location, year,
+          case when company_id % 3 = 0 then null else 'LEI' || company_id end as lei,
+          case when production % 10 = 0 then null else production end as production,
+          case sector when 'power' then case when technology = 'gascap' then null else 'MW' end
+            when 'coal' then 't' else 'vehicles' end as production_unit,
+          'tCO2 per t of ' || sector as emission_factor_unit
+        from px_abcd""",
 }
 
 DEVIATION = """sector, technology, year, region, scenario_source, name_abcd, projected,
@@ -402,6 +495,19 @@ CONTRACTS = " union all ".join(
     ]
 )
 
+# The benchmark's book with missing ids, which are written NA and come first.
+GAP_BOOK = (
+    RELATIONS["book"]
+    .replace("'C' || company_id", "'C' || coalesce(cast(company_id as varchar), 'NA')")
+    .replace("'UP' || company_id", "'UP' || coalesce(cast(company_id as varchar), 'NA')")
+    .replace("'DL' || company_id", "'DL' || coalesce(cast(company_id as varchar), 'NA')")
+    .replace("px_abcd", "gap_abcd")
+    .replace(
+        "order by company_id, sector, code, name_company, lei",
+        "order by company_id nulls first, sector, code, name_company, lei nulls first",
+    )
+)
+
 QUERIES = {
     "tms_filter_years": "select * from long_rows",
     "tms_pivot": "select * from pivoted",
@@ -485,6 +591,29 @@ QUERIES = {
         from (select sector, count(distinct company_id) as n_companies
               from px_abcd group by 1) a
           join picked_codes using (sector)""",
+    "sector_code_listed": """
+        select sector, code from (
+          select x.sector, p_name as code, row_number() over (
+            partition by x.sector order by length(p_name) desc, p.p_partkey) as n
+          from part p join px_part x on p.p_partkey = x.p_partkey
+          where not p_size % 7 = 0) c
+        where n = 1""",
+    "tech_deviation_by_plant": f"select {DEVIATION}, plant from gap_deviated",
+    "company_alignment_by_plant": f"select {ALIGNMENT} from gap_completed",
+    "loan_exposure_weight_gaps": f"""
+        select * replace ({six("exposure_weight")} as exposure_weight) from gap_weighed""",
+    "portfolio_gaps": aggregate(
+        """select e.* exclude (name_abcd, sector), a.*
+        from gap_completed a join gap_weighed e
+          on a.name_abcd is not distinct from e.name_abcd and a.sector = e.sector""",
+        COUNTS, WEIGHTED, by="group_id,",
+    ),
+    "activity_units_mixed": """
+        select distinct sector, technology,
+          case when sector in ('aviation', 'cement', 'steel') then emission_factor_unit
+            else production_unit end as activity_unit
+        from gap_abcd""",
+    "benchmark_loanbook_gaps": GAP_BOOK,
     "benchmark_loanbook": "select * from book",
     "benchmark_portfolio": aggregate(
         company("net", "book_weighed"), COUNTS, WEIGHTED, EXPOSURES, by="group_id,"

@@ -220,6 +220,91 @@ class Proxies:
             )
         )
 
+    # The same relations with what real ones also have: further identifying columns, missing
+    # keys, numbers that are not numbers, nothing lent, units of both kinds.
+
+    @cached_property
+    def tms_results_by_plant(self) -> DataFrame:
+        return (
+            self.lines(PATHWAY_SECTORS)
+            .selectExpr(
+                "sector",
+                "technology",
+                "year",
+                "if(s_suppkey % 5 = 0, null, region) as region",
+                "scenario_source",
+                "name_abcd",
+                "metric",
+                "l_linenumber % 2 as plant",
+                "l_quantity",
+            )
+            .groupBy(
+                "sector",
+                "technology",
+                "year",
+                "region",
+                "scenario_source",
+                "name_abcd",
+                "metric",
+                "plant",
+            )
+            .agg(F.expr("sum(if(l_quantity <= 10, 0D, l_quantity)) as total"))
+            .selectExpr(
+                "* except(total)",
+                "if(total % 7 = 3, double('nan'), total) as production",
+                "0D as technology_share",
+                "'sector' as scope",
+                "0D as percentage_of_initial_production_by_scope",
+            )
+        )
+
+    @cached_property
+    def technology_direction_by_plant(self) -> DataFrame:
+        """Directions for a missing region too, each of them listed twice."""
+        known = self.technology_direction
+        nowhere = known.withColumn("region", F.lit(None).cast("string")).distinct()
+        return known.unionByName(nowhere).unionByName(nowhere)
+
+    @cached_property
+    def matched_with_gaps(self) -> DataFrame:
+        lent = f"cast({CENTS} as double)"
+        return (
+            self.lines(PATHWAY_SECTORS + INTENSITY_SECTORS)
+            .join(self.table("orders"), F.expr("l_orderkey = o_orderkey"))
+            .selectExpr(
+                "if(o_orderpriority like '1%', null, o_orderpriority) as group_id",
+                "concat(l_orderkey, '-', l_linenumber) as id_loan",
+                f"case l_linenumber when 1 then double('nan') when 2 then 0D else {lent} end"
+                " as loan_size_outstanding",
+                "case o_orderstatus when 'F' then 'EUR' when 'O' then 'USD' end"
+                " as loan_size_outstanding_currency",
+                "if(s_suppkey % 4 = 0, null, name_abcd) as name_abcd",
+                "sector",
+            )
+        )
+
+    @cached_property
+    def abcd_with_gaps(self) -> DataFrame:
+        return self.abcd.withColumns(
+            {
+                "company_id": F.expr("if(company_id % 7 = 0, null, company_id)"),
+                "lei": F.expr("if(company_id % 3 = 0, null, concat('LEI', company_id))"),
+                "production": F.expr("if(production % 10 = 0, double('nan'), production)"),
+                "production_unit": F.expr(
+                    "case sector when 'power' then if(technology = 'gascap', null, 'MW')"
+                    " when 'coal' then 't' else 'vehicles' end"
+                ),
+                "emission_factor_unit": F.expr("concat('tCO2 per t of ', sector)"),
+            }
+        )
+
+    @cached_property
+    def listed_codes(self) -> DataFrame:
+        """Part names as codes of the sectors, many of equal length, in the order of the file."""
+        return self.table("part").selectExpr(
+            "p_type", "p_name as code", "p_size % 7 = 0 as borderline", SECTOR
+        )
+
     @cached_property
     def region_isos(self) -> DataFrame:
         return (

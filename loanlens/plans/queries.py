@@ -276,6 +276,11 @@ def sector_code_pick(px: Proxies) -> DataFrame:
     return sectors.join(benchmark.pick_sector_codes(px.sector_codes), "sector")
 
 
+def sector_code_listed(px: Proxies) -> DataFrame:
+    """Codes of a stored table, of which the file's order decides between equally long ones."""
+    return benchmark.pick_sector_codes(px.listed_codes)
+
+
 def benchmark_book(px: Proxies) -> DataFrame:
     return benchmark.create_benchmark_loanbook(
         px.abcd,
@@ -300,6 +305,65 @@ def benchmark_portfolio(px: Proxies) -> DataFrame:
     )
 
 
+# Inputs with gaps and further columns
+
+
+def deviations_by_plant(px: Proxies) -> DataFrame:
+    return deviation.calculate_company_tech_deviation(
+        px.tms_results_by_plant,
+        px.technology_direction_by_plant,
+        SOURCE,
+        SCENARIO,
+        time_frame=TIME_FRAME,
+        validate=False,
+    )
+
+
+def tech_deviation_by_plant(px: Proxies) -> DataFrame:
+    """Rows told apart by plant; missing regions; production that is not a number."""
+    return comparable(deviations_by_plant(px))
+
+
+def alignment_by_plant(px: Proxies) -> DataFrame:
+    return company_alignment.calculate_company_aggregate_alignment_tms(
+        deviations_by_plant(px), SOURCE, SCENARIO, "bo_po", validate=False
+    )
+
+
+def company_alignment_by_plant(px: Proxies) -> DataFrame:
+    return comparable(alignment_by_plant(px))
+
+
+def loan_exposure_weight_gaps(px: Proxies) -> DataFrame:
+    weighed = loanbook.add_exposure_weight(loanbook.loan_exposure(px.matched_with_gaps, BY), BY)
+    return comparable(weighed)
+
+
+def portfolio_gaps(px: Proxies) -> DataFrame:
+    """Loans to nobody, in no currency or book, of no size, beside plants in no region."""
+    return comparable(
+        loanbook.aggregate_alignment_loanbook_exposure(
+            alignment_by_plant(px), px.matched_with_gaps, "bo_po", BY
+        ).aggregate
+    )
+
+
+def activity_units_mixed(px: Proxies) -> DataFrame:
+    return build_activity_units(px.abcd_with_gaps)
+
+
+def benchmark_loanbook_gaps(px: Proxies) -> DataFrame:
+    return benchmark.create_benchmark_loanbook(
+        px.abcd_with_gaps,
+        SOURCE,
+        START_YEAR,
+        px.region_isos,
+        REGION,
+        sector_codes=px.sector_codes,
+        validate=False,
+    )
+
+
 def contract_report(px: Proxies) -> DataFrame:
     """All value checks, two of them failing on purpose."""
     return report.contract_report(
@@ -349,6 +413,13 @@ ALL = [
     arranged_portfolio,
     activity_units,
     sector_code_pick,
+    sector_code_listed,
+    tech_deviation_by_plant,
+    company_alignment_by_plant,
+    loan_exposure_weight_gaps,
+    portfolio_gaps,
+    activity_units_mixed,
+    benchmark_loanbook_gaps,
     benchmark_loanbook,
     benchmark_portfolio,
     contract_report,

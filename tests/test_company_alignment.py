@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-
 from loanlens import (
     calculate_company_aggregate_alignment_sda,
     calculate_company_aggregate_alignment_tms,
