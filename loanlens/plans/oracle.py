@@ -495,6 +495,67 @@ CONTRACTS = " union all ".join(
     ]
 )
 
+def offered(view: str, name: str, key: str, argument: str, wanted, value: str, met: str) -> str:
+    """A row for each value on offer, beside whether any row meets the check."""
+    return f"""select '{name}' as input, '{key}' as "check", '{argument}' as argument,
+        '{wanted}' as requested, v.available, c.ok
+        from (select coalesce(bool_or({met}), false) as ok from {view}) c
+        left join (select distinct cast({value} as varchar) as available from {view}
+          where {value} is not null) v on true"""
+
+
+def columns_asked(name: str, key: str, present: str, absent: str = "") -> str:
+    rows = [f"('{c}', '{c}', true)" for c in present.split()]
+    rows += [f"('{c}', null, false)" for c in absent.split()]
+    return f"""select '{name}' as input, '{key}' as "check", 'columns' as argument, *
+        from (values {", ".join(rows)}) t(requested, available, ok)"""
+
+
+VALUES = " union all ".join(
+    [
+        columns_asked("tms_results", "V2", """sector technology year region scenario_source
+            name_abcd metric production technology_share scope
+            percentage_of_initial_production_by_scope"""),
+        columns_asked("technology_direction", "V2", """scenario_source scenario sector
+            technology region directional_dummy"""),
+        columns_asked("deviations", "V7", """sector technology year region scenario_source
+            name_abcd projected direction total_tech_deviation activity_unit target_1.5c"""),
+        columns_asked("sda_results", "V9", """sector year region scenario_source name_abcd
+            emission_factor_metric emission_factor_value"""),
+        columns_asked("alignment", "V12", """scenario region sector year direction name_abcd
+            activity_unit scenario_source alignment_metric"""),
+        columns_asked("matched", "V12", """id_loan loan_size_outstanding
+            loan_size_outstanding_currency name_abcd sector group_id""", "bank"),
+        """select 'matched', 'V13', 'by', c, c, ok
+           from (values ('group_id', true), ('sector', false), ('bank', true)) t(c, ok)""",
+        columns_asked("abcd", "V14", """company_id name_company lei is_ultimate_owner sector
+            technology plant_location year production production_unit emission_factor
+            emission_factor_unit ald_timestamp"""),
+        columns_asked("region_isos", "V14", "region isos source"),
+        offered("px_tms", "tms_results", "V3", "scenario_source", "weo_2021",
+                "scenario_source", "scenario_source = 'weo_2021'"),
+        offered("px_tms", "tms_results", "V4", "scenario", "1.5c", scenario_of("metric"),
+                "regexp_matches(metric, '1.5c')"),
+        offered("px_dir", "technology_direction", "V5", "scenario_source", "weo_2021",
+                "scenario_source", "scenario_source = 'weo_2021'"),
+        offered("px_dir", "technology_direction", "V6", "scenario", "1.5c", "scenario",
+                "scenario = '1.5c'"),
+        offered("deviated", "deviations", "V8", "scenario_source", "weo_2021",
+                "scenario_source", "scenario_source = 'weo_2021'"),
+        offered("px_sda", "sda_results", "V10", "scenario_source", "weo_2021",
+                "scenario_source", "scenario_source = 'weo_2021'"),
+        offered("px_sda", "sda_results", "V11", "scenario", "1.5c",
+                scenario_of("emission_factor_metric"),
+                "emission_factor_metric = 'target_1.5c'"),
+        offered("px_isos", "region_isos", "V15", "scenario_source", "weo_2021", "source",
+                "source = 'weo_2021'"),
+        offered("px_isos", "region_isos", "V16", "benchmark_region", "ASIA",
+                "case when source = 'weo_2021' then region end",
+                "source = 'weo_2021' and region = 'ASIA'"),
+        offered("px_abcd", "abcd", "V17", "start_year", 1900, "year", "year = 1900"),
+    ]
+)
+
 # The benchmark's book with missing ids, which are written NA and come first.
 GAP_BOOK = (
     RELATIONS["book"]
@@ -619,6 +680,7 @@ QUERIES = {
         company("net", "book_weighed"), COUNTS, WEIGHTED, EXPOSURES, by="group_id,"
     ),
     "contract_report": CONTRACTS,
+    "contract_values": VALUES,
 }
 
 

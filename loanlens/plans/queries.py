@@ -379,6 +379,25 @@ def contract_report(px: Proxies) -> DataFrame:
     )
 
 
+def contract_values(px: Proxies) -> DataFrame:
+    """Every value on offer to every check; some checks fail on purpose."""
+    return report.contract_values(
+        tms_results=px.tms_results,
+        technology_direction=px.technology_direction,
+        deviations=deviations(px),
+        sda_results=px.sda_results,
+        alignment=alignment(px, "net"),
+        matched=px.matched,
+        abcd=px.abcd,
+        region_isos=px.region_isos,
+        scenario_source="weo_2021",
+        scenario=SCENARIO,
+        start_year=1900,
+        benchmark_region=REGION,
+        by=["group_id", "sector", "bank"],
+    )
+
+
 ALL = [
     tms_filter_years,
     tms_pivot,
@@ -423,6 +442,7 @@ ALL = [
     benchmark_loanbook,
     benchmark_portfolio,
     contract_report,
+    contract_values,
 ]
 
 
