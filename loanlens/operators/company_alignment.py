@@ -29,6 +29,7 @@ from loanlens.operators.checks import (
 from loanlens.operators.tech_deviation import (
     check_metrics_in_window,
     first_year_with_metrics,
+    known_first_year,
     metric_years,
     restrict_to_scenario,
     spread_metrics,
@@ -312,8 +313,12 @@ def calculate_company_aggregate_alignment_sda(
     validate: bool = True,
     arranged: bool = False,
     position: str | None = None,
+    first_year: int | None = None,
 ) -> DataFrame:
-    """Alignment of companies in sectors measured by emission intensity."""
+    """Alignment of companies in sectors measured by emission intensity.
+
+    `first_year`, if known, spares looking for it where `validate` is off.
+    """
     one_text("scenario_source", scenario_source)
     one_text("scenario", scenario)
     one_integer("time_frame", time_frame)
@@ -323,12 +328,11 @@ def calculate_company_aggregate_alignment_sda(
     if validate:
         start_year = F.lit(check_sda_input(data, scenario_source, scenario, time_frame))
     else:
-        start_year = first_year_with_metrics(
-            data,
-            companies_of(scenario_source),
-            F.col("emission_factor_metric"),
-            target,
-            time_frame,
+        rows, metric = companies_of(scenario_source), F.col("emission_factor_metric")
+        start_year = (
+            first_year_with_metrics(data, rows, metric, target, time_frame)
+            if first_year is None
+            else known_first_year(data, rows, metric, target, time_frame, first_year)
         )
 
     wide = intensity_beside_target(

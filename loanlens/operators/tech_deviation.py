@@ -76,6 +76,24 @@ def first_year_with_metrics(
     return data.agg(*[c.alias(name) for name, c in years.items()]).select(start).scalar()
 
 
+def known_first_year(
+    data: DataFrame,
+    rows: Column,
+    metric: Column,
+    target: str,
+    time_frame: int,
+    year: int,
+) -> Column:
+    """The same where the first year is known: metrics are sought up to their first row."""
+    start = F.lit(year)
+    for name, value in (("target", target), ("projected", "projected")):
+        in_window = F.col("year").between(year, year + time_frame)
+        row = data.where(rows & (metric == value) & in_window).select(F.lit(1)).limit(1)
+        message = F.raise_error(F.lit(NO_METRIC.format(name)))
+        start = F.when(row.scalar().isNull(), message).otherwise(start)
+    return start
+
+
 def restrict_to_scenario(
     data: DataFrame,
     scenario_source: str,
@@ -232,6 +250,7 @@ def output_beside_target(
     scenario: str,
     time_frame: int,
     start_year: Column | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Projected and target output side by side, with the technology's sign.
 
@@ -255,7 +274,9 @@ def output_beside_target(
         "metric",
         "production",
         ["projected", target],
-        cluster_by=COMPANY_SECTOR_YEAR if is_one_row_per_technology(data) else None,
+        cluster_by=None
+        if clustered or not is_one_row_per_technology(data)
+        else COMPANY_SECTOR_YEAR,
     )
     ids = [c for c in long.columns if c not in ("metric", "production")]
     return wide.select(*[field(c) for c in [*ids, "projected", target]], "directional_dummy")
@@ -332,6 +353,8 @@ def calculate_company_tech_deviation(
     *,
     activity_units: DataFrame | None = None,
     validate: bool = True,
+    clustered: bool = False,
+    first_year: int | None = None,
 ) -> DataFrame:
     """Technology deviations of companies against one scenario.
 
@@ -339,6 +362,8 @@ def calculate_company_tech_deviation(
     technology.  `activity_units` gives the unit of each sector and technology; rows
     without one are dropped.  `validate=False` skips the value checks, which read
     four columns of `data` once; a metric that is absent then fails when the plan runs.
+    `clustered` says that `data` is stored by `sources.storage.store_clustered`, so that
+    it need not be shuffled; `first_year`, if known, spares looking for it.
     """
     one_of("bridge_tech", bridge_tech, BRIDGE_TECHNOLOGIES)
     one_text("scenario_source", scenario_source)
@@ -356,8 +381,13 @@ def calculate_company_tech_deviation(
             )
         )
     target = target_column(scenario)
+    if start_year is None and first_year is not None:
+        in_source = F.col("scenario_source") == scenario_source
+        start_year = known_first_year(
+            data, in_source, F.col("metric"), target, time_frame, first_year
+        )
     wide = output_beside_target(
-        data, technology_direction, scenario_source, scenario, time_frame, start_year
+        data, technology_direction, scenario_source, scenario, time_frame, start_year, clustered
     )
     unique = is_one_row_per_technology(data)
     active = without_idle_technologies(wide, target, unique)
