@@ -426,3 +426,36 @@ def test_language_stage_without_labels_and_with_some(spark):
     by_id = {r["doc_id"]: r["lang"] for r in found}
     assert len(found) == len(learned) + 3
     assert (by_id[0], by_id[1], by_id[2000]) == ("en", "de", "de")
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    docs = documents(spark, [(i, f"the text number {i} of them") for i in range(8)])
+    docs = docs.withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit(7))
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert {(r["score"], r["lang_pred"]) for r in kept.collect()} == {("mine", 7)}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, c), (None, a), (None, a), (4, None)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), SF)
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert found == sorted([(0, a), (0, a), (1, a), (1, b), (3, c), (4, "")])
+    # Without texts that share an id, repeated rows are one document.
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows[3:]), SF)
+    found = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    assert found == sorted([(0, a), (0, a), (2, a), (3, c), (4, "")])
+
+
+def test_one_pass_checks_what_decoding_gives(spark):
+    texts = [t for _, t in odd_texts()] + ["a ▁ b", "▁", "  two", "é" * 40, "tail ", "\ufffd x"]
+    docs = documents(spark, list(enumerate(texts))).withColumn("round_trip", F.lit("clash"))
+    plain = pieces.decoded(pieces.encoded(docs), text_column="decoded").select(
+        "doc_id", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    )
+    checked = pieces.encoded_and_checked(docs)
+    assert checked.columns == ["doc_id", "lang", "source", "n_chars", "ids", "round_trip"]
+    assert sorted(checked.select("doc_id", "ids", "round_trip").collect()) == sorted(plain.collect())
+    assert checked.filter("NOT round_trip").count() == 2
