@@ -47,15 +47,21 @@ def default_activity_units(spark: SparkSession) -> DataFrame:
     return constant(spark, UNITS, schemas.column_names(schemas.ACTIVITY_UNITS))
 
 
-def units_of_technologies(spark: SparkSession, activity_units: DataFrame | None) -> DataFrame:
+def units_of_technologies(
+    spark: SparkSession, activity_units: DataFrame | None, unique: bool = False
+) -> DataFrame:
     """The caller's units, or the built-in ones, to be joined by sector and technology.
 
-    Two units of a technology would repeat its companies: the plan then fails.
+    A technology with two units has two rows, which repeat its companies; with `unique`
+    the plan fails instead.
     """
     if activity_units is None:
         return F.broadcast(default_activity_units(spark))
+    units = activity_units.select("sector", "technology", "activity_unit")
+    if not unique:
+        return dimension(units)
     return lookup_of(
-        activity_units.select("sector", "technology", "activity_unit"),
+        units,
         ["sector", "technology"],
         "activity_unit",
         "more than one unit for the same sector and technology in `activity_units`",
@@ -74,8 +80,9 @@ def build_activity_units(abcd: DataFrame) -> DataFrame:
     """Unit of every sector and technology in asset data.
 
     The emission unit for sectors measured by intensity, the production unit for all
-    others.  A technology reported in two units has two rows, and an analysis that is
-    passed the table then fails; `technologies_with_several_units` lists them.
+    others.  A technology reported in two units has two rows, and a join with the table
+    then repeats its companies, or fails if told to; `technologies_with_several_units`
+    lists them.
     """
     unit = F.when(
         F.col("sector").isin(INTENSITY_SECTORS), F.col("emission_factor_unit")

@@ -353,6 +353,7 @@ def calculate_company_tech_deviation(
     *,
     activity_units: DataFrame | None = None,
     validate: bool = True,
+    unique_units: bool = False,
     clustered: bool = False,
     first_year: int | None = None,
 ) -> DataFrame:
@@ -362,6 +363,7 @@ def calculate_company_tech_deviation(
     technology.  `activity_units` gives the unit of each sector and technology; rows
     without one are dropped.  `validate=False` skips the value checks, which read
     four columns of `data` once; a metric that is absent then fails when the plan runs.
+    A technology with two units has its rows twice; with `unique_units` the plan fails.
     `clustered` says that `data` is stored by `sources.storage.store_clustered`, so that
     it need not be shuffled; `first_year`, if known, spares looking for it.
     """
@@ -394,7 +396,7 @@ def calculate_company_tech_deviation(
     kept = without_untargeted_sectors(active, target, unique)
     deviations = match(
         with_direction_name(with_signed_gap(kept, target)),
-        units_of_technologies(data.sparkSession, activity_units),
+        units_of_technologies(data.sparkSession, activity_units, unique_units),
         ["sector", "technology"],
     )
     if bridge_tech != "none":

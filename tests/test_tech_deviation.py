@@ -278,12 +278,14 @@ def test_two_signs_fail_when_the_plan_runs(deviate):
             deviations.collect()
 
 
-def test_two_units_of_a_technology_fail_when_the_plan_runs(deviate):
+def test_two_units_of_a_technology_fail_when_the_plan_runs_if_told_to(deviate):
     units = [("power", "oilcap", "GW"), ("power", "oilcap", "MW")]
     with pytest.raises(PySparkException, match="more than one unit"):
-        deviate(units=units).collect()
+        deviate(units=units, unique_units=True).collect()
+    assert deviate(units=units).count() == 2
     again = [("power", "oilcap", "GW")] * 2
-    assert records(deviate(units=again), *OUTCOME) == [("oilcap", -6.0, "phaseout", "GW")]
+    once = deviate(units=again, unique_units=True)
+    assert records(once, *OUTCOME) == [("oilcap", -6.0, "phaseout", "GW")]
 
 
 def test_an_unmatched_scenario_lists_all_on_offer(deviate):
