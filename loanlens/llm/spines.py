@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.functions.relations import dimension
+from loanlens.functions.relations import BROADCAST_ROWS
 from loanlens.llm.common import stored
 
 #: Turns of a shard, on average. A shard is held by one task, 40 bytes a turn.
@@ -472,6 +472,12 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _counted(table: DataFrame) -> DataFrame:
+    """Marked for broadcast if a bounded count finds few rows, else joined by shuffle."""
+    few = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(table) if few else table
+
+
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """One row per distinct beginning of the rebuilt conversations, the empty one included.
 
@@ -521,8 +527,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         F.col("key").alias("parent_key"), F.col("conv_id").alias("_mother")
     )
     return (
-        finished.join(dimension(mothers), "parent_key", "left")
-        .join(dimension(stored(shas)), "key", "left")
+        finished.join(_counted(mothers), "parent_key", "left")
+        .join(_counted(stored(shas)), "key", "left")
         .withColumn("parent_conv_id", F.coalesce("parent_conv_id", "_mother"))
         .withColumn("ends_sha256", F.coalesce("ends_sha256", "sha", F.lit(ENDS_NOWHERE)))
         .select(*RESULT)
