@@ -21,8 +21,9 @@ from loanlens.functions.missing import field
 # Rows up to which a dimension is broadcast; a few megabytes of short columns.
 BROADCAST_ROWS = 100_000
 
-# Bytes that a row of a lookup table takes at least in an estimate of its size.
-LOOKUP_ROW_BYTES = 100
+# Bytes that a row of a lookup table takes at least in an estimate of its size: few, as files
+# are compressed.
+LOOKUP_ROW_BYTES = 4
 
 
 def match(
