@@ -48,7 +48,7 @@ def _drawn(term: Column, weight: Column) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
-    """keys and samples (an array of a long per bin, NULL if empty) of each text that has words.
+    """keys and samples (an array of an int per bin, NULL if empty) of each text that has words.
 
     texts has a column text besides keys, which must tell its rows apart. If texts is partitioned
     by some of the keys, nothing is shuffled.
@@ -82,14 +82,15 @@ def fingerprints(texts: DataFrame, keys: list[str], bins: int = BINS) -> DataFra
     return by_bin.select(
         *keys,
         F.expr(
-            f"transform(sequence(0L, {bins - 1}L), b -> by_bin[b] & {2**32 - 1}L)"
+            f"transform(sequence(0L, {bins - 1}L),"
+            f" b -> CAST((by_bin[b] & {2**32 - 1}L) - {2**31}L AS INT))"
         ).alias("samples"),
     )
 
 
 def written(samples: str) -> Column:
     """A fingerprint as text, 8 hexadecimal digits a bin; '' without words."""
-    digits = f"coalesce(lower(lpad(hex(s), 8, '0')), '{EMPTY}')"
+    digits = f"coalesce(lower(lpad(hex(s + {2**31}L), 8, '0')), '{EMPTY}')"
     return F.coalesce(
         F.expr(f"array_join(transform({samples}, s -> {digits}), '')"), F.lit("")
     )
@@ -146,39 +147,33 @@ def _in_order(docs: DataFrame) -> DataFrame:
     )
 
 
-def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys, n_chars, text and edited of each row; and the order of documents that it follows.
+def edited_pairs(docs: DataFrame, order: DataFrame) -> DataFrame:
+    """Keys, n_chars, the next document's keys, text and edited of each distinct document.
 
     Of the text of n code points the last floor(n / 2) give way to the first as many, or all, of
-    the next document by ascending id; the first document follows the last. docs has columns
-    text, key1 and key2 from keyed().
+    the next document in the order; the first document follows the last. docs has columns text,
+    key1 and key2 from keyed(). Texts are shuffled once; what moves on is the first part of each.
     """
-    order = _in_order(docs)
-    texts = docs.select("text", *KEYS)
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = (
-        texts.join(
-            order.select(
-                *(F.col(f"next_{k}").alias(k) for k in KEYS),
-                *(F.col(k).alias(f"of_{k}") for k in KEYS),
-                half.alias("half"),
-            ),
-            KEYS,
-        )
-        .select(
-            *(F.col(f"of_{k}").alias(k) for k in KEYS),
-            F.expr("substring(text, 1, half)").alias("head"),
-        )
-        .groupBy(*KEYS)
-        .agg(F.first("head").alias("head"))
-    )
-    own = texts.join(order.select(*KEYS, "n_chars", half.alias("half")), KEYS)
+    # Repeated rows have equal keys, and meet in their own tasks first.
+    texts = docs.groupBy(*KEYS).agg(F.first("text").alias("text"))
+    half = F.floor(F.col("n_chars") / 2).cast("int").alias("half")
+    following = [F.col(f"next_{k}") for k in KEYS]
+    wanted = order.select(
+        *(f.alias(k) for f, k in zip(following, KEYS)),
+        *(F.col(k).alias(f"of_{k}") for k in KEYS),
+        half,
+    )
+    heads = texts.join(wanted, KEYS).select(
+        *(F.col(f"of_{k}").alias(k) for k in KEYS), F.expr("substring(text, 1, half)").alias("head")
+    )
+    own = texts.join(order.select(*KEYS, "n_chars", *following, half), KEYS)
     return own.join(heads, KEYS).select(
         *KEYS,
         "n_chars",
+        *following,
         "text",
         F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - half), head)").alias("edited"),
-    ), order
+    )
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -204,9 +199,8 @@ def fingerprinted(
     followed by itself. An empty table gives an empty result.
     """
     rows = keyed(docs, id_column, text_column)
-    pairs, order = edited_pairs(rows)
-    # Repeated rows have equal keys: their words count once.
-    sides = pairs.dropDuplicates(KEYS).select(
+    pairs = edited_pairs(rows, _in_order(rows))
+    sides = pairs.select(
         *KEYS,
         F.explode(
             F.array(
@@ -220,14 +214,17 @@ def fingerprinted(
         F.first(F.expr("CASE WHEN side = 0 THEN samples END"), ignorenulls=True).alias("own"),
         F.first(F.expr("CASE WHEN side = 1 THEN samples END"), ignorenulls=True).alias("changed"),
     )
-    plain = pairs.select(*KEYS, "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    following = [f"next_{k}" for k in KEYS]
+    plain = pairs.select(*KEYS, "n_chars", *following, F.sha2("edited", 256).alias("edited_sha256"))
     made = stored(plain.join(by_side, KEYS, "left"))
-    prints = made.dropDuplicates(KEYS).select(
-        *(F.col(k).alias(f"next_{k}") for k in KEYS), F.col("own").alias("next")
+    prints = made.select(
+        *(F.col(k).alias(f) for k, f in zip(KEYS, following)), F.col("own").alias("next")
     )
+    # Each join has shuffles of its own, so that a key of many repeated rows may be split.
     return (
-        made.join(order.drop("n_chars"), KEYS)
-        .join(prints, [f"next_{k}" for k in KEYS])
+        rows.select("id", *KEYS)
+        .join(made, KEYS)
+        .join(prints, following)
         .select(
             F.col("id").alias(id_column),
             "n_chars",
