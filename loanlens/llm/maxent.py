@@ -260,13 +260,29 @@ def _inner_rows(contexts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     return ((mix >> U64(32)) % U64(INNER_ROWS)).astype(np.uint16)
 
 
-def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
+def _powers(
+    weights: np.ndarray, prior: np.ndarray, rows: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of some decisions' children, their exponentials, and the sums of these."""
+    logits = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
+        logits += np.take(weights, rows[:, k], axis=0)
     logits += prior
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        powers = np.exp(logits)
+    sums = np.einsum("ij->i", powers)
+    if len(sums) and not (sums.min() > 1e-30 and sums.max() < 1e30):
+        # A shift of all children changes no chance, but costs more than all the rest.
+        logits -= logits.max(axis=1, keepdims=True)
+        powers = np.exp(logits)
+        sums = np.einsum("ij->i", powers)
+    return logits, powers, sums
+
+
+def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    logits, _, sums = _powers(weights, prior, rows)
+    logits -= np.log(sums)[:, None]
+    return logits
 
 
 def _learn(
@@ -275,16 +291,25 @@ def _learn(
     """A gradient step (Adagrad) over some decisions."""
     if not len(chosen):
         return
-    slope = np.exp(_log_softmax(weights, prior, rows))
+    _, slope, sums = _powers(weights, prior, rows)
+    slope /= sums[:, None]
     slope[np.arange(len(chosen)), chosen] -= 1
-    flat = rows.ravel(order="F")
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    begins = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-    sums = np.add.reduceat(slope[order % len(slope)], begins)
-    touched = flat[begins]
-    squares[touched] += sums * sums
-    weights[touched] -= RATE * sums / np.sqrt(squares[touched])
+    # Sums over the rows of the table, child by child: no sorting, and rows untouched get zero.
+    places = [np.ascontiguousarray(rows[:, k], np.intp) for k in range(rows.shape[1])]
+    sums = np.empty(weights.shape[::-1], np.float32)
+    for child in range(len(sums)):
+        own = slope[:, child].astype(np.float64)
+        total = np.bincount(places[0], own, len(weights))
+        for place in places[1:]:
+            total += np.bincount(place, own, len(weights))
+        sums[child] = total
+    sums = np.ascontiguousarray(sums.T)
+    step = sums * sums
+    squares += step
+    np.sqrt(squares, out=step)
+    np.divide(sums, step, out=step)
+    step *= np.float32(RATE)
+    weights -= step
 
 
 def _round(docs: DataFrame, model: Counts, weights: list[np.ndarray]) -> list[np.ndarray]:
@@ -300,7 +325,8 @@ def _round(docs: DataFrame, model: Counts, weights: list[np.ndarray]) -> list[np
                 _learn(own[0], squares[0], model.log_prior, _class_rows(contexts), kinds)
                 token, nodes, chosen = model.decisions(model.find(ids), kinds)
                 rows = _inner_rows(contexts[token], nodes)
-                _learn(own[1], squares[1], model.node_prior[nodes], rows, chosen)
+                prior = np.take(model.node_prior, nodes, axis=0)
+                _learn(own[1], squares[1], prior, rows, chosen)
                 tokens += len(kinds)
         for which in range(len(own) if tokens else 0):
             change = (own[which] - begin[which]) * np.float32(tokens)
@@ -399,7 +425,8 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
                 token, nodes, chosen = model.decisions(found, kinds)
                 if len(token):
                     rows = _inner_rows(contexts[token], nodes)
-                    of_child = _log_softmax(inner, model.node_prior[nodes], rows)
+                    prior = np.take(model.node_prior, nodes, axis=0)
+                    of_child = _log_softmax(inner, prior, rows)
                     own = of_child[np.arange(len(chosen)), chosen] / math.log(10)
                     score += np.bincount(text[token], own, n)
                 tokens += np.bincount(text, minlength=n)
