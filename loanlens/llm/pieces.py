@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Longest words, and how many at once, that are walked level by level; others are merged.
 LEVELS, TOGETHER = 32, 20_000
-#: Pairs of pieces that a task remembers; beyond that they are worked out anew.
-REMEMBERED = 2_000_000
+#: Bits of the places for pairs of pieces that a task remembers; others are worked out anew.
+REMEMBERED = 21
+#: Words that a task remembers the ids of; with more, it forgets them before the next slice.
+WORDS = 300_000
 #: Of the hash that finds pieces.
 FACTOR = U64(0x9E3779B97F4A7C15)
 NEVER = float("-inf")
@@ -66,6 +69,7 @@ class Pieces:
         else:
             self.words = re.compile(f"(?s){SPACE}+|.")
         self.plain: set[str] | None = None
+        self._forget()
 
     @classmethod
     def load(cls, path: str = MODEL_FILE) -> Pieces:
@@ -108,6 +112,27 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
+    def encode_lists(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of some lists, end to end, and where each word's begin.
+
+        Words that were met before are not walked again, until there are too many to remember.
+        """
+        if len(self.number_of) > WORDS:
+            self._forget()
+        number = self.number_of
+        new = sorted(set().union(*lists).difference(number))
+        if new:
+            ids, begins = self.encode_words(new)
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            self.word_begins = np.concatenate([self.word_begins, begins[1:] + len(self.word_ids)])
+            self.word_ids = np.concatenate([self.word_ids, ids])
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64)
+        return _gathered(self.word_ids, self.word_begins, code)
+
+    def _forget(self) -> None:
+        self.number_of: dict[str, int] = {}
+        self.word_ids, self.word_begins = np.empty(0, np.int32), np.zeros(1, np.int64)
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some distinct words, end to end, and where each word's begin.
 
@@ -176,8 +201,9 @@ class Pieces:
                 raise ValueError("two pieces have one hash")
             self.maybe = np.zeros(1 << 20, bool)
             self.maybe[_slot(self.hashes)] = True
-            # Pairs of pieces tried so far, sorted, and whether the second may follow the first.
-            self.pairs, self.fits = np.empty(0, np.int64), np.empty(0, bool)
+            # A pair of pieces tried per place, and whether its second may follow its first.
+            self.pairs = np.full(1 << REMEMBERED, -1, np.int64)
+            self.fits = np.zeros(1 << REMEMBERED, bool)
         return self.plain
 
     def _levels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,24 +260,21 @@ class Pieces:
     def _follow(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether each piece may follow the one before it (-1: it is the first)."""
         keys = (before + 1) * len(self.name) + ids
-        at = np.searchsorted(self.pairs, keys).clip(max=max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
-        if not known.all():
-            new = np.unique(keys[~known])
+        slot = (keys.view(U64) * FACTOR) >> U64(64 - REMEMBERED)
+        out = self.fits[slot]
+        missing = np.flatnonzero(self.pairs[slot] != keys)
+        if len(missing):
+            new, which = np.unique(keys[missing], return_inverse=True)
             answers = []
             for key in new.tolist():
                 first, second = divmod(key, len(self.name))
                 a, b = self.name[first - 1] if first else "", self.name[second]
                 answers.append(self.merged(a + b) == ([a, b] if a else [b]))
-            if len(self.pairs) > REMEMBERED:
-                keep = np.isin(self.pairs, keys)
-                self.pairs, self.fits = self.pairs[keep], self.fits[keep]
-            pairs = np.concatenate([self.pairs, new])
-            order = np.argsort(pairs, kind="stable")
-            self.pairs = pairs[order]
-            self.fits = np.concatenate([self.fits, np.array(answers, bool)])[order]
-            at = np.searchsorted(self.pairs, keys)
-        return self.fits[at] if len(keys) else np.zeros(0, bool)
+            out[missing] = np.array(answers)[which]
+            # Of pairs that share a place the last stays, the same one in both tables.
+            self.pairs[slot[missing]] = keys[missing]
+            self.fits[slot[missing]] = out[missing]
+        return out
 
     def merged(self, word: str) -> list[str]:
         """Pieces of a word by merging the best pair first, the leftmost of equals."""
@@ -389,15 +412,7 @@ def _encode(own: Pieces, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndar
     """Ids per text as a list column; all of them end to end, and where each text's begin."""
     lists = [own.split(t) for t in pc.fill_null(texts, "").to_pylist()]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    number: dict[str, int] = {}
-    code = np.fromiter(
-        (number.setdefault(w, len(number)) for x in lists for w in x), np.int64, starts[-1]
-    )
-    words = sorted(number)
-    found = own.encode_words(words)
-    place = np.empty(len(number), np.int64)
-    place[[number[w] for w in words]] = np.arange(len(words))
-    ids, begins = _gathered(*found, place[code])
+    ids, begins = own.encode_lists(lists)
     rows = begins[starts]
     column = pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids))
     if texts.null_count:
