@@ -118,13 +118,27 @@ class SegmentTree:
         if stop < size:
             right += self.chars[last + self.width]
         region = text[left:start] + put + text[stop:right]
-        tokens = sum(counter.leaves(region)[1])
-        self.put(first, len(region), tokens)
-        for leaf in range(first + 1, last + 1):
-            if self.chars[leaf + self.width]:
-                self.put(leaf, 0, 0)
+        chars, tokens = counter.leaves(region)
+        room = last + 1 - first
+        if len(chars) > room:
+            self._rebuild(first, last, chars, tokens)
+        else:
+            chars, tokens = (own + [0] * (room - len(own)) for own in (chars, tokens))
+            for leaf, *sums in zip(range(first, last + 1), chars, tokens):
+                self.put(leaf, *sums)
         return text[:start] + put + text[stop:], len(region)
 
+    def _rebuild(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """The tree with other leaves instead of first to last; sums are added up anew, from
+        leaves without characters left out. Nothing is encoded."""
+        old = self.chars[self.width :]
+        kept = [[i for i in own if old[i]] for own in (range(first), range(last + 1, self.width))]
+        made = []
+        for sums, new in ((self.chars, chars), (self.tokens, tokens)):
+            own = sums[self.width :]
+            made.append([own[i] for i in kept[0]] + new + [own[i] for i in kept[1]])
+        self.__init__(*made)
+
 
 def _types() -> list[T.StructField]:
     return [
@@ -198,9 +212,10 @@ def recounted(
                 text = text if text is not None or not edits else ""
                 # From the last to the first, so that places need no shifting.
                 order = sorted(range(len(edits)), key=lambda i: (edits[i]["start"], i))
+                size = len(text or "")
                 for i in reversed(order):
-                    start = min(max(edits[i]["start"], 0), len(text))
-                    stop = min(max(edits[i]["stop"], start), len(text))
+                    start = min(max(edits[i]["start"], 0), size)
+                    stop = min(max(edits[i]["stop"], start), size)
                     text, n = tree.edit(text, start, stop, edits[i]["text"] or "", own)
                     encoded += n
                 made.append((text, tree.tokens[1], tree.chars, tree.tokens, encoded))

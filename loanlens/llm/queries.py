@@ -44,14 +44,16 @@ def _held_out(parts: int, held_out: int) -> Column:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text, and after two edits: its middle gets a remark, its end loses a word.
 
-    The edits are made of the text's own words, so that they differ from text to text.
+    The edits are made of the text's own words, so that they differ from text to text. Every text
+    is edited: one too short for both stretches loses less. A NULL text is not.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = "least(length(text) DIV 2 + 3, length(text))"
     edits = F.expr(
-        f"""CASE WHEN length(text) >= 40 THEN CAST(array(
-              struct(length(text) DIV 2, length(text) DIV 2 + 3,
+        f"""CASE WHEN text IS NOT NULL THEN CAST(array(
+              struct(length(text) DIV 2, {middle},
                      concat('; see ', substring(text, 1, 20), ' ')),
-              struct(length(text) - 8, length(text), '.')) AS {EDITS}) END"""
+              struct(greatest(length(text) - 8, {middle}), length(text), '.')) AS {EDITS}) END"""
     )
     before = counted(docs).withColumn("edits", edits).withColumn("n_before", F.col("n_tokens"))
     return recounted(before).select(
