@@ -5,7 +5,9 @@ text is parsed greedily into the longest phrases that the automaton knows; the l
 needs the fewest phrases, each weighed by the bits of a pointer into its sample, wins.
 
 Automata are dense tables, so a task parses thousands of pieces of text abreast, one symbol of
-each a step, with one array lookup per language.
+each a step, with one array lookup per language. Where a piece begins inside a text, the parse
+of the piece before goes on until both begin a phrase at one place: from there on they are the
+same, so the count is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ from pyspark.sql import types as T
 
 from loanlens.llm.common import remainder, sent, slices
 
-#: Labelled rows per language that the automata are built from, and characters taken from each.
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 200
-#: Bytes of all tables at most; with many languages each gets a shorter sample.
+#: Labelled rows per language that the automata are built from, and characters of all of them.
+#: Texts are taken whole; one with more characters is not learned from.
+SAMPLE_ROWS, SAMPLE_CHARS = 200, 80_000
+#: Bytes of all tables at most; with many languages each gets a sample of fewer texts.
 MODEL_BYTES = 256_000_000
-#: Letters, by frequency in the samples, that get a symbol of their own.
+#: Letters of a language, by frequency in its sample, that get a symbol of their own.
 LETTERS = 200
-#: Symbols after which a parse begins anew.
+#: Symbols that are parsed abreast with others.
 PIECE = 256
 
-NOTHING, GAP, OTHER = 0, 1, 2
+#: Symbols: a letter that the language's sample lacks, no letter, one of its rare letters.
+UNSEEN, GAP, RARE = 0, 1, 2
 STARTED = 1 << 30
 
 UNDETERMINED = "und"
@@ -46,43 +50,50 @@ class Automata:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        often = Counter(
-            c for texts in samples.values() for t in texts for c in map(_folded, t) if c
-        )
-        ranked = sorted(often, key=lambda c: (-often[c], c))[:LETTERS]
-        number = {c: i + 3 for i, c in enumerate(ranked)}
-        self.width = len(number) + 3
-        self.symbols = np.full(0x110000, GAP, np.uint8)
+        often = {
+            k: Counter(c for t in texts for c in map(_folded, t) if c) for k, texts in samples.items()
+        }
+        # Codes of texts: letters of any sample by number, from 2 on.
+        number = {c: i + 2 for i, c in enumerate(sorted(set().union(*often.values())))}
+        self.codes = np.full(0x110000, GAP, np.int32)
         for point in range(0x110000):
             if folded := _folded(chr(point)):
-                self.symbols[point] = number.get(folded, OTHER)
-        self.letters = self.symbols != GAP
-        most = MODEL_BYTES // max(1, len(samples) * self.width * 8)
-        self.tables, self.bits = [], []
+                self.codes[point] = number.get(folded, UNSEEN)
+        self.symbols, self.tables, self.bits = [], [], []
         for language in self.languages:
-            parts = [self.coded(pa.array([t]))[0] for t in samples[language]]
-            kept, left = [], most
-            for part in parts:
-                kept.append(part[:left])
-                left -= len(kept[-1])
-            self.tables.append(_dense(_automaton(kept), self.width))
+            count = often[language]
+            ranked = sorted(count, key=lambda c: (-count[c], c))
+            own = np.full(len(number) + 2, UNSEEN, np.uint8)
+            own[GAP] = GAP
+            for i, c in enumerate(ranked):
+                own[number[c]] = i + 3 if i < LETTERS else RARE
+            width = min(len(ranked), LETTERS) + 3
+            left = MODEL_BYTES // (len(samples) * width * 8)
+            kept = []
+            for text in samples[language]:
+                part = own[self.coded(pa.array([text]))[0]]
+                if len(part) <= left:
+                    kept.append(part)
+                    left -= len(part)
+            self.symbols.append(own)
+            self.tables.append(_dense(_automaton(kept), width))
             self.bits.append(np.log2(2 + sum(map(len, kept))))
 
     def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of all texts with runs of gaps as one, where each begins, which have letters."""
+        """Codes of all texts with runs of gaps as one, where each begins, which have letters."""
         texts = pc.fill_null(texts, "")
         sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
         points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "replace"), np.uint32)
         starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        symbols = self.symbols[points]
-        seen = np.concatenate([[0], np.cumsum(symbols != GAP, dtype=np.int64)])
-        keep = np.ones(len(symbols), bool)
-        keep[1:] = (symbols[1:] != GAP) | (symbols[:-1] != GAP)
+        codes = self.codes[points]
+        seen = np.concatenate([[0], np.cumsum(codes != GAP, dtype=np.int64)])
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
         keep[starts[:-1][sizes > 0]] = True
         kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
-        return symbols[keep], kept[starts], seen[starts[1:]] > seen[starts[:-1]]
+        return codes[keep], kept[starts], seen[starts[1:]] > seen[starts[:-1]]
 
-    def phrases(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def phrases(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each text."""
         sizes = np.diff(starts)
         pieces = -(-sizes // PIECE)
@@ -91,23 +102,61 @@ class Automata:
         begins = starts[:-1][text] + nth * PIECE
         lengths = np.minimum(starts[1:][text] - begins, PIECE)
         order = np.argsort(-lengths, kind="stable")
-        text, begins, lengths = text[order], begins[order], lengths[order]
+        place = np.empty(len(text), np.int64)
+        place[order] = np.arange(len(text))
+        # Where the text goes on after each piece, -1 at its end.
+        after = np.full(len(text), -1, np.int64)
+        after[:-1] = np.where(text[1:] == text[:-1], place[1:], -1)
+        text, begins, lengths, after = (x[order] for x in (text, begins, lengths, after))
         out = np.zeros((len(sizes), len(self.languages)), np.int64)
-        going = np.searchsorted(-lengths, -np.arange(PIECE), "left")
         for k, flat in enumerate(self.tables):
-            state = np.zeros(len(text), np.int32)
-            count = np.zeros(len(text), np.int32)
-            for step in range(PIECE):
-                n = going[step]
-                if not n:
-                    break
-                found = flat[state[:n] + symbols[begins[:n] + step]]
-                count[:n] += found >> 30
-                state[:n] = found & (STARTED - 1)
+            count = _parsed(flat, self.symbols[k][codes], begins, lengths, after)
             out[:, k] = np.bincount(text, count, len(sizes)).astype(np.int64)
         return out
 
 
+def _parsed(flat, symbols, begins, lengths, after) -> np.ndarray:
+    """Phrases that begin in each piece, the longest pieces first."""
+    n = len(begins)
+    going = np.searchsorted(-lengths, -np.arange(PIECE), "left")
+    state = np.zeros(n, np.int32)
+    count = np.zeros(n, np.int64)
+    began = np.zeros((PIECE, n), bool)
+    for step in range(PIECE):
+        m = going[step]
+        if not m:
+            break
+        found = flat[state[:m] + symbols[begins[:m] + step]]
+        began[step, :m] = found >> 30
+        count[:m] += began[step, :m]
+        state[:m] = found & (STARTED - 1)
+    # Each piece was begun anew; now the one before goes on in it. Where its own parse turns out
+    # not to be the right one at its end, what follows it is done again.
+    end, more = state.copy(), np.zeros(n, np.int64)
+    todo = np.flatnonzero(after >= 0)
+    while len(todo):
+        to = after[todo]
+        own, active = end[todo], np.arange(len(todo))
+        last, gain = state[to], np.zeros(len(todo), np.int64)
+        for step in range(PIECE):
+            over = step >= lengths[to[active]]
+            last[active[over]] = own[over]
+            active, own = active[~over], own[~over]
+            if not len(active):
+                break
+            found = flat[own + symbols[begins[to[active]] + step]]
+            first, again = found >> 30 > 0, began[step, to[active]]
+            gain[active] += first.astype(np.int64) - again
+            apart = ~(first & again)
+            active, own = active[apart], found[apart] & (STARTED - 1)
+        last[active] = own
+        more[to] = gain
+        changed = to[last != end[to]]
+        end[to] = last
+        todo = changed[after[changed] >= 0]
+    return count + more
+
+
 def _folded(char: str) -> str:
     """A letter in lower case, '' for all else."""
     return char.lower()[0] if char.isalpha() else ""
@@ -165,33 +214,29 @@ def _dense(steps: list[dict[int, int]], width: int) -> np.ndarray:
     for state, own in enumerate(steps[1:], 1):
         for symbol, to in own.items():
             out[state, symbol] = to * width
-    out[:, NOTHING] = np.arange(len(steps)) * width
     return out.ravel()
 
 
 def fit(labelled: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Automata:
     """Automata from a sample of id, text and lang.
 
-    Per language at most so many rows, by a hash of the id, and of each a stretch of so many
-    characters from a place given by that hash. This sample is all that the driver gets.
+    Per language at most so many rows, the first by a hash of id and text, and so many characters
+    of whole texts. This sample is all that the driver gets. Texts with more characters, or none,
+    are not learned from, and a language that has no others is not known.
     """
     place = F.xxhash64("id", "text")
-    known = labelled.filter("lang is not null and length(text) > 0")
+    known = labelled.filter(f"lang is not null and length(text) between 1 and {chars}")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    ordered = Window.partitionBy("lang").orderBy("place")
     drawn = (
         known.join(F.broadcast(counts), "lang")
         .withColumn("place", place)
         # Three times the rows wanted on average, so that the window below stays small.
         .filter(F.pmod("place", F.lit(1_000_000)) * F.col("n") < 3_000_000 * (rows + 3))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
-        .filter(F.col("nth") <= rows)
-        .select(
-            "lang",
-            "place",
-            F.expr(
-                f"substring(text, 1 + pmod(place, greatest(length(text) - {chars}, 0) + 1), {chars})"
-            ).alias("text"),
-        )
+        .withColumn("nth", F.row_number().over(ordered))
+        .withColumn("so_far", F.sum(F.length("text")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("nth") <= rows) & (F.col("so_far") <= chars))
+        .select("lang", "place", "text")
     )
     samples: dict[str, list[str]] = {}
     for language, _, text in sorted(tuple(r) for r in drawn.collect()):
@@ -222,12 +267,12 @@ def predictions(
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = shared.value
         for batch in slices(batches, "text"):
-            symbols, starts, lettered = automata.coded(batch.column("text"))
+            codes, starts, lettered = automata.coded(batch.column("text"))
             lang = np.full(batch.num_rows, UNDETERMINED, object)
             lang[lettered] = unlearned
             score = np.zeros(batch.num_rows)
             if automata.languages:
-                cost = automata.phrases(symbols, starts) * np.array(automata.bits)
+                cost = automata.phrases(codes, starts) * np.array(automata.bits)
                 best = cost.argmin(axis=1)
                 ranked = np.sort(cost, axis=1)
                 score[lettered] = 1.0
