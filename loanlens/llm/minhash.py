@@ -290,12 +290,12 @@ def _divided(members: DataFrame) -> DataFrame:
 def _rest(
     divided: DataFrame, nodes: DataFrame, sets: DataFrame, n: int, least: float, share: int
 ) -> DataFrame:
-    """Likely links across components of a bucket that hold several.
+    """Links across components of a bucket that hold several.
 
     A bucket's largest component is never compared with itself. Members are dealt to blocks, and
     a task compares two blocks at a time: first signatures, each pair in the first band that it
-    shares, then sets, of which half of each hash is sent. No pair is listed but those that
-    would be linked, and of these only as many as join what is apart within the two blocks.
+    shares, then full sets. No pair is listed but those that are linked, and of these only as
+    many as join what is apart within the two blocks.
     """
     dealt = divided.withColumn("inside", F.expr("component = heavy"))
     among = F.when(F.col("inside"), F.col("heavy_blocks")).otherwise(F.col("blocks"))
@@ -309,26 +309,14 @@ def _rest(
            END"""
     )
 
-    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            halves = [
-                (np.frombuffer(s.as_buffer(), U64) >> U64(32)).astype(np.uint32).tobytes()
-                for s in batch.column("shingles")
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(halves, pa.binary())], ["id", "halves"]
-            )
-
-    about = nodes.select("id", "signature", "bands").join(
-        sets.mapInArrow(halved, "id long, halves binary"), "id"
-    )
+    about = nodes.select("id", "signature", "bands").join(sets, "id")
     met = (
         dealt.withColumn("met", F.explode(meetings))
         .select(
             F.xxhash64("key", "met.i", "met.j").alias("meeting"), "key", "id", "component"
         )
         .join(about, "id")
-        .select("meeting", "key", "id", "component", "signature", "bands", "halves")
+        .select("meeting", "key", "id", "component", "signature", "bands", "shingles")
     )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +361,7 @@ def _meeting(table: pa.Table, n: int, least: float, share: int) -> list[tuple[in
         b"".join(table.column("signature").to_pylist()), np.uint8
     ).reshape(len(ids), -1)
     bands = np.array(table.column("bands").to_pylist(), np.int64)
-    halves = [np.sort(np.frombuffer(h, np.uint32)) for h in table.column("halves").to_pylist()]
+    sets = [np.sort(np.frombuffer(s, U64)) for s in table.column("shingles").to_pylist()]
     part = table.column("component").to_numpy().copy()
     found = []
     for x in range(len(ids) - 1):
@@ -383,15 +371,15 @@ def _meeting(table: pa.Table, n: int, least: float, share: int) -> list[tuple[in
             continue
         first = (bands[other] == bands[x]).argmax(axis=1)
         other = other[bands[x][first] == key]
-        if not len(other) or not len(halves[x]):
+        if not len(other) or not len(sets[x]):
             continue
-        sizes = np.array([len(halves[y]) for y in other])
-        theirs = np.concatenate([halves[y] for y in other])
-        at = np.searchsorted(halves[x], theirs).clip(max=len(halves[x]) - 1)
-        total = np.concatenate([[0], np.cumsum(halves[x][at] == theirs)])
+        sizes = np.array([len(sets[y]) for y in other])
+        theirs = np.concatenate([sets[y] for y in other])
+        at = np.searchsorted(sets[x], theirs).clip(max=len(sets[x]) - 1)
+        total = np.concatenate([[0], np.cumsum(sets[x][at] == theirs)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         both = total[ends[1:]] - total[ends[:-1]]
-        for y in other[100 * both >= share * (len(halves[x]) + sizes - both)]:
+        for y in other[100 * both >= share * (len(sets[x]) + sizes - both)]:
             if part[y] != part[x]:
                 found.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
                 part[part == part[y]] = part[x]
@@ -451,9 +439,7 @@ def near_duplicates(
     sets = stored(_sets(docs, divided.select("id").distinct(), words))
     rest = stored(_rest(divided, nodes, sets, n, least, share))
     if rest.take(1):
-        # Halves of hashes may agree by chance: once more on whole ones.
-        more = stored(_confirmed(rest, sets, share))
-        parts = components(parts.toDF("a", "b").unionByName(more))
+        parts = components(parts.toDF("a", "b").unionByName(rest))
     classes = (
         nodes.select("id", "key_low", "key_high")
         .join(parts.toDF("id", "component"), "id", "left")
