@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,8 +90,6 @@ def test_components_of_chains_and_stars(spark):
 
 def test_estimates_follow_similarity():
     import numpy as np
-    import pyarrow as pa
-
     rng = random.Random(2)
     words = [f"w{i}" for i in range(1000)]
     texts = [" ".join(words), " ".join(words[:900] + [f"x{rng.random()}" for _ in range(100)])]
@@ -160,3 +160,23 @@ def test_contamination_query_equals_its_sql(spark):
     assert [c[0] for c in cursor.description] == result.columns
     assert sorted(map(tuple, result.collect())) == sorted(cursor.fetchall())
     assert hashlib.sha256(b"").hexdigest() in {r["items_sha256"] for r in result.collect()}
+
+
+def test_hashes_that_agree_by_half_make_no_link():
+    rng = np.random.default_rng(3)
+    one = np.unique(rng.integers(0, 2**63, 50).astype(np.uint64))
+    # The same upper halves as the first set, then the first set itself but for one hash.
+    two = one ^ np.uint64(1)
+    three = np.append(one[:-1], np.uint64(5))
+    sets = [s.tobytes() for s in (one, two, three)]
+    table = pa.table(
+        {
+            "id": [7, 8, 9],
+            "key": [1, 1, 1],
+            "component": [7, 8, 9],
+            "signature": [bytes(90)] * 3,
+            "bands": [[1, 2]] * 3,
+            "shingles": pa.array(sets, pa.binary()),
+        }
+    )
+    assert minhash._meeting(table, 180, 0.5, 80) == [(7, 9)]

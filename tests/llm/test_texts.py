@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,6 +49,38 @@ def test_counts_follow_edits(spark, encoding):
             assert tree.chars[1] == len(text)
 
 
+def test_leaves_stay_small_under_edits():
+    counter, rng = Counter(), random.Random(6)
+    text = " ".join(rng.choice(["one", "two", "three"]) for _ in range(2000))
+    tree = SegmentTree(*counter.leaves(text))
+    for _ in range(60):
+        start = rng.randrange(len(text) // 2, len(text) // 2 + 40)
+        put = " ".join(["four", "five"] * rng.choice([1, 40, 300]))
+        text, encoded = tree.edit(text, start, start + 5, put, counter)
+        assert encoded <= len(put) + 2 * 34 * 6
+    assert max(tree.chars[tree.width :]) <= 33 * 12 and tree.chars[1] == len(text)
+    assert tree.tokens[1] == sum(counter.leaves(text)[1])
+
+
+def test_every_text_is_edited(spark, encoding, tmp_path):
+    rows = [(i, "abc defgh ij, klm no pqrs tuv wx yz 0123456789"[:i]) for i in range(46)]
+    rows += [(100, None), (101, "é中" * 9), (101, "é中" * 9)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_token_counts(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    for r in found:
+        text = texts[r["doc_id"]]
+        edited = ""
+        if text is not None:
+            half = len(text) // 2
+            stop = min(half + 3, len(text))
+            edited = text[:half] + "; see " + text[:20] + " " + text[stop : max(len(text) - 8, stop)] + "."
+        assert r["n_tokens"] == len(encoding.encode_ordinary(text or ""))
+        assert r["n_tokens_edited"] == len(encoding.encode_ordinary(edited)), edited
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_token_counts_of_tables(spark, encoding):
     rows = corpus()
     docs = counted(documents(spark, rows), Counter())
@@ -87,24 +120,48 @@ def test_language_of_held_out_texts(spark):
     assert language.predictions(docs, nothing).filter("lang_pred != 'und'").count() == 0
 
 
-def test_phrases_are_longest_matches():
-    samples = ["the cat sat", "the mat"]
+@pytest.mark.parametrize("piece", [2, 3, 256])  # the parse of a text does not depend on it
+def test_phrases_are_longest_matches(monkeypatch, piece):
+    monkeypatch.setattr(language, "PIECE", piece)
+    samples = ["the cat sat", "the mat", "ababababab"]
     model = language.Automata({"en": samples})
     rng = random.Random(4)
-    import pyarrow as pa
-
-    for _ in range(200):
-        text = "".join(rng.choice("theca smq") for _ in range(rng.randrange(1, 40)))
-        symbols, starts, _ = model.coded(pa.array([text]))
-        parts = [model.coded(pa.array([s]))[0].tolist() for s in samples]
-        known = {tuple(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
-        count, at, word = 0, 0, symbols.tolist()
+    parts = [model.coded(pa.array([s]))[0].tolist() for s in samples]
+    known = {tuple(p[i:j]) for p in parts for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+    texts = ["".join(rng.choice("theca smqb") for _ in range(rng.randrange(1, 90))) for _ in range(150)]
+    texts += ["", "a", "ab" * 300, "babab" * 70, "t" * 600, "the mat " * 90]
+    codes, starts, _ = model.coded(pa.array(texts))
+    found = model.phrases(codes, starts)[:, 0].tolist()
+    for text, i, j, wanted in zip(texts, starts, starts[1:], found):
+        count, at, word = 0, 0, codes[i:j].tolist()
         while at < len(word):
             size = 1
             while at + size < len(word) and tuple(word[at : at + size + 1]) in known:
                 size += 1
             count, at = count + 1, at + size
-        assert model.phrases(symbols, starts)[0, 0] == count
+        assert wanted == count, text
+
+
+def test_scripts_with_many_letters_are_told_apart(spark):
+    rng = random.Random(5)
+    letters = {"aa": range(0x4E00, 0x4E00 + 600), "bb": range(0x5E00, 0x5E00 + 600)}
+    rows = [
+        (i, "".join(map(chr, rng.choices(letters[lang], k=rng.randrange(5, 200)))), lang)
+        for i, lang in enumerate(rng.choices(list(letters), k=120))
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(language.learning_rows(docs))
+    assert max(len(set(s.tolist())) for s in model.symbols) > language.LETTERS
+    assert language.predictions(docs, model).filter("lang != lang_pred").count() == 0
+
+
+def test_texts_are_learned_whole_or_not_at_all(spark):
+    rows = [(1, "abcd" * 20, "aa"), (2, "wxyz" * 50, "bb"), (3, "klmn" * 5, "bb"), (3, "klmn" * 5, "bb")]
+    labelled = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = language.fit(labelled, chars=100)
+    assert model.languages == ["aa", "bb"]
+    cost = model.phrases(*model.coded(pa.array(["abcd" * 20, "klmn" * 5, "wxyz"]))[:2]).tolist()
+    assert cost == [[1, 80], [20, 1], [4, 4]]
 
 
 def test_quality_rules(spark):
@@ -358,6 +415,23 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encoded(docs.limit(0)).count() == 0
 
 
+def test_what_is_remembered_does_not_change_pieces(monkeypatch):
+    rng = random.Random(8)
+    lists = [
+        [sentence(rng, rng.randrange(1, 30)) for _ in range(20)] + ["", "a" * 50, "  x\u2603"]
+        for _ in range(4)
+    ]
+    whole = pieces.Pieces.load()
+    wanted = [whole.encode_lists([whole.split(t) for t in texts]) for texts in lists]
+    monkeypatch.setattr(pieces, "WORDS", 1)
+    monkeypatch.setattr(pieces, "REMEMBERED", 2)  # four places for all pairs
+    small = pieces.Pieces.load()
+    for texts, (ids, begins) in zip(lists, wanted):
+        found = small.encode_lists([small.split(t) for t in texts])
+        assert found[0].tolist() == ids.tolist() and found[1].tolist() == begins.tolist()
+    assert small.encode_lists([[], []])[0].tolist() == []
+
+
 def test_unigram_pieces_have_the_best_score():
     rng = random.Random(3)
     names = {"".join(rng.choice("ab▁") for _ in range(rng.randrange(1, 4))) for _ in range(25)}
