@@ -35,7 +35,7 @@ LEVELS, TOGETHER = 32, 20_000
 #: Bits of the places for pairs of pieces that a task remembers; others are worked out anew.
 REMEMBERED = 21
 #: Words that a task remembers the ids of; with more, it forgets them before the next slice.
-WORDS = 300_000
+WORDS = 150_000
 #: Of the hash that finds pieces.
 FACTOR = U64(0x9E3779B97F4A7C15)
 NEVER = float("-inf")
