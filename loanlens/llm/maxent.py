@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import U64, hashed, mixed, sent, slices, spaced_words, stored
+from loanlens.llm.common import U64, hashed_each, mixed, runs, sent, slices, spaced_words, stored
 
-#: Rows of the weight table that features are hashed to, and a block of them in a shuffle.
+#: Rows of the weight table that features are hashed to, and a block of them in a shuffle. The rows
+#: of both tables are powers of two.
 ROWS, BLOCK = 8192, 512  # rows fit 16 bits, which sort fastest
 #: The commonest words are classes of their own; the others fall into classes by how they end.
 OWN, ENDINGS = 7, 16
@@ -38,6 +39,10 @@ FAN, INNER_ROWS = 16, 65_536
 FREQUENT = 120_000
 #: Tokens of a gradient step or of a batch of scores.
 STEP = 16_384
+#: Decisions whose logits are worked out at a time.
+PIECE = 4_096
+#: So few rows are not worth an operation on all of them at once.
+FEW = 64
 #: Rounds of training; each goes over its share of the documents, together over all.
 ROUNDS = 2
 RATE = 0.2
@@ -82,7 +87,7 @@ class Counts:
         begins, sizes = self.starts[which], self.starts[which + 1] - self.starts[which]
         token = np.repeat(np.arange(len(which)), sizes)
         before = np.cumsum(sizes) - sizes
-        at = np.arange(len(token)) + np.repeat(begins - before, sizes)
+        at = np.arange(len(token)) + (begins - before)[token]
         return token, self.nodes[at], self.choices[at]
 
 
@@ -125,21 +130,24 @@ def _endings(words: pa.Array) -> np.ndarray:
     return (mixed(last * U64(256) + before) % U64(ENDINGS)).astype(np.int64)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and ending classes of all tokens, an end after each text, and each text's start."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and ending classes of the distinct tokens, place of each token among them, an end
+    after each text, and each text's start.
+    """
     words, starts = spaced_words(texts)
     n = len(starts) - 1
-    ids, kinds = np.empty(len(words) + n, np.int64), np.empty(len(words) + n, np.int64)
+    ids, kinds = np.empty(0, np.int64), np.empty(0, np.int64)
     ends = starts[1:] + np.arange(n)
-    is_word = np.ones(len(ids), bool)
+    is_word = np.ones(len(words) + n, bool)
     is_word[ends] = False
+    which = np.empty(len(is_word), np.int64)
     if len(words):
         coded = words.dictionary_encode()
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        ids[is_word] = hashed(coded.dictionary).view(np.int64)[which]
-        kinds[is_word] = _endings(coded.dictionary)[which]
-    ids[ends], kinds[ends] = END, ENDINGS + OWN
-    return ids, kinds, np.concatenate([[0], ends + 1])
+        which[is_word] = coded.indices.to_numpy(zero_copy_only=False)
+        ids, kinds = hashed_each(coded.dictionary).view(np.int64), _endings(coded.dictionary)
+    which[ends] = len(ids)
+    ids, kinds = np.append(ids, END), np.append(kinds, ENDINGS + OWN)
+    return ids, kinds, which, np.concatenate([[0], ends + 1])
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -157,9 +165,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return ids[begins], kinds[order][begins], np.add.reduceat(n[order], begins)
 
         for batch in slices(batches, "text"):
-            ids, kinds, _ = _tokens(batch.column("text"))
-            ids, first, n = np.unique(ids, return_index=True, return_counts=True)
-            held.append((ids, kinds[first], n))
+            ids, kinds, which, _ = _tokens(batch.column("text"))
+            held.append((ids, kinds, np.bincount(which, minlength=len(ids))))
             size += len(ids)
             if size > 1_500_000:
                 held = [merged()]
@@ -233,31 +240,37 @@ def _grow(model: Counts, kinds: np.ndarray, size: np.ndarray) -> None:
 
 
 def _batches(texts: pa.Array, model: Counts) -> Iterator[tuple[np.ndarray, ...]]:
-    """Words, classes, hashes of contexts and text of tokens, some thousands at a time."""
-    ids, kinds, starts = _tokens(texts)
+    """Words, places among the frequent, classes, hashes of contexts and text of tokens.
+
+    Some thousands at a time. What depends on a word alone is worked out once for each distinct one.
+    """
+    ids, kinds, which, starts = _tokens(texts)
     for i, word in enumerate(model.own.tolist()):
         kinds[ids == word] = ENDINGS + i
+    found = model.find(ids)
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    place = np.arange(len(ids)) - starts[text]
-    seen = ids.view(U64)
-    one = np.where(place > 0, np.roll(seen, 1), U64(1))
-    two = np.where(place > 1, np.roll(seen, 2), U64(2))
-    contexts = np.stack(
-        [mixed(one * U64(3)), mixed(two * U64(5)), mixed(mixed(two) * U64(7) + one)], axis=1
-    )
-    for i in range(0, len(ids), STEP):
+    place = np.arange(len(which)) - starts[text]
+    # Two more for what is before a text: of its first token, and of its first two.
+    seen = np.append(ids.view(U64), [U64(1), U64(2)])
+    one = np.where(place > 0, np.roll(which, 1), len(ids))
+    two = np.where(place > 1, np.roll(which, 2), len(ids) + 1)
+    last, skip, both = mixed(seen * U64(3)), mixed(seen * U64(5)), mixed(seen) * U64(7)
+    for i in range(0, len(which), STEP):
         part = slice(i, i + STEP)
-        yield ids[part], kinds[part], contexts[part], text[part]
+        contexts = np.stack(
+            [last[one[part]], skip[two[part]], mixed(both[two[part]] + seen[one[part]])], axis=1
+        )
+        yield ids[which[part]], found[which[part]], kinds[which[part]], contexts, text[part]
 
 
 def _class_rows(contexts: np.ndarray) -> np.ndarray:
-    return (contexts % U64(ROWS)).astype(np.int16)
+    return (contexts & U64(ROWS - 1)).astype(np.int16)
 
 
 def _inner_rows(contexts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Rows of the weights of decisions, by context and node."""
     mix = (contexts ^ (nodes.astype(U64) * U64(0x9E3779B97F4A7C15))[:, None]) * U64(0xD6E8FEB86659FD93)
-    return ((mix >> U64(32)) % U64(INNER_ROWS)).astype(np.uint16)
+    return ((mix >> U64(32)) & U64(INNER_ROWS - 1)).astype(np.uint16)
 
 
 def _powers(
@@ -285,6 +298,46 @@ def _log_softmax(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np
     return logits
 
 
+def _log_chosen(
+    weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray
+) -> np.ndarray:
+    """The chosen children's part of _log_softmax, in pieces that stay in a core's cache."""
+    out = np.empty(len(chosen), np.float32)
+    for i in range(0, len(chosen), PIECE):
+        part = slice(i, i + PIECE)
+        logits, _, sums = _powers(weights, prior[part] if prior.ndim == 2 else prior, rows[part])
+        out[part] = logits[np.arange(len(sums)), chosen[part]] - np.log(sums)
+    return out
+
+
+def _row_sums(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a table that decisions look up, and the sums of these decisions' values.
+
+    All rows take their first value at once, then all that have one their second, and so on.
+    """
+    rows, width = rows.ravel(), rows.shape[1]
+    order = np.argsort(rows, kind="stable")  # counts its way, as rows have 16 bits
+    rows = rows[order]
+    begins = runs(rows)
+    sizes = np.diff(begins, append=len(rows))
+    often = np.argsort(~np.minimum(sizes, 65_535).astype(np.uint16), kind="stable")
+    begins, sizes = begins[often], sizes[often]
+    order //= width
+    sums = np.take(values, order[begins], axis=0).astype(np.float64)
+    more = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1))
+    # The few rows with the most values take all that are left, row by row.
+    taken = int(np.argmax(more < FEW)) + 1
+    for nth, n in enumerate(more[: taken - 1].tolist(), 1):
+        sums[:n] += np.take(values, order[begins[:n] + nth], axis=0)
+    if n := int(more[taken - 1]):
+        left = sizes[:n] - taken
+        starts = np.cumsum(left) - left
+        at = np.arange(left.sum()) + np.repeat(begins[:n] + taken - starts, left)
+        rest = np.take(values, order[at], axis=0).astype(np.float64)
+        sums[:n] += np.add.reduceat(rest, starts, axis=0)
+    return rows[begins], sums
+
+
 def _learn(
     weights: np.ndarray, squares: np.ndarray, prior: np.ndarray, rows: np.ndarray, chosen: np.ndarray
 ) -> None:
@@ -293,21 +346,15 @@ def _learn(
         return
     _, slope, sums = _powers(weights, prior, rows)
     slope /= sums[:, None]
-    slope[np.arange(len(chosen)), chosen] -= 1
-    # Sums over the rows of the table, child by child: no sorting, and rows untouched get zero.
-    places = [np.ascontiguousarray(rows[:, k], np.intp) for k in range(rows.shape[1])]
-    sums = np.empty(weights.shape[::-1], np.float32)
-    for child in range(len(sums)):
-        own = slope[:, child].astype(np.float64)
-        total = np.bincount(places[0], own, len(weights))
-        for place in places[1:]:
-            total += np.bincount(place, own, len(weights))
-        sums[child] = total
-    sums = np.ascontiguousarray(sums.T)
-    step = sums * sums
+    slope.reshape(-1)[np.arange(0, slope.size, slope.shape[1]) + chosen] -= 1
+    touched, sums = _row_sums(slope, rows)
+    # Most rows of the table are touched: a step over all of it costs less than picking them.
+    total = np.zeros_like(weights)
+    total[touched] = sums
+    step = total * total
     squares += step
     np.sqrt(squares, out=step)
-    np.divide(sums, step, out=step)
+    np.divide(total, step, out=step)
     step *= np.float32(RATE)
     weights -= step
 
@@ -321,10 +368,10 @@ def _round(docs: DataFrame, model: Counts, weights: list[np.ndarray]) -> list[np
         own, tokens = [w.copy() for w in begin], 0
         squares = [np.full_like(w, 1e-4) for w in own]
         for batch in slices(batches, "text"):
-            for ids, kinds, contexts, _ in _batches(batch.column("text"), model):
+            for _, found, kinds, contexts, _ in _batches(batch.column("text"), model):
                 _learn(own[0], squares[0], model.log_prior, _class_rows(contexts), kinds)
-                token, nodes, chosen = model.decisions(model.find(ids), kinds)
-                rows = _inner_rows(contexts[token], nodes)
+                token, nodes, chosen = model.decisions(found, kinds)
+                rows = _inner_rows(np.take(contexts, token, axis=0), nodes)
                 prior = np.take(model.node_prior, nodes, axis=0)
                 _learn(own[1], squares[1], prior, rows, chosen)
                 tokens += len(kinds)
@@ -418,17 +465,15 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
             tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             logs, score = np.zeros(n), np.zeros(n)
             rare_text, rare_word = [], []
-            for ids, kinds, contexts, text in _batches(batch.column("text"), model):
-                of_class = _log_softmax(weights, model.log_prior, _class_rows(contexts))
-                score += np.bincount(text, of_class[np.arange(len(kinds)), kinds] / math.log(10), n)
-                found = model.find(ids)
+            for ids, found, kinds, contexts, text in _batches(batch.column("text"), model):
+                own = _log_chosen(weights, model.log_prior, _class_rows(contexts), kinds)
+                score += np.bincount(text, own / math.log(10), n)
                 token, nodes, chosen = model.decisions(found, kinds)
                 if len(token):
-                    rows = _inner_rows(contexts[token], nodes)
+                    rows = _inner_rows(np.take(contexts, token, axis=0), nodes)
                     prior = np.take(model.node_prior, nodes, axis=0)
-                    of_child = _log_softmax(inner, prior, rows)
-                    own = of_child[np.arange(len(chosen)), chosen] / math.log(10)
-                    score += np.bincount(text[token], own, n)
+                    own = _log_chosen(inner, prior, rows, chosen)
+                    score += np.bincount(text[token], own / math.log(10), n)
                 tokens += np.bincount(text, minlength=n)
                 frequent = found >= 0
                 known += np.bincount(text[frequent], minlength=n)
