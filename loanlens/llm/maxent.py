@@ -367,6 +367,9 @@ def _round(docs: DataFrame, model: Counts, weights: list[np.ndarray]) -> list[np
         model, begin = shared.value
         own, tokens = [w.copy() for w in begin], 0
         squares = [np.full_like(w, 1e-4) for w in own]
+        # Freed at once; after that the C library keeps what a step frees for the next one, where it
+        # would give it back and ask for it again page by page. A hint: nothing depends on it.
+        np.empty(31 << 20, np.uint8)
         for batch in slices(batches, "text"):
             for _, found, kinds, contexts, _ in _batches(batch.column("text"), model):
                 _learn(own[0], squares[0], model.log_prior, _class_rows(contexts), kinds)
@@ -443,6 +446,14 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     return Model(counts, *weights, words)
 
 
+def _counted_pairs(text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct pairs of a text and a word, sorted, and how often each occurs."""
+    order = np.lexsort((word, text))
+    text, word = text[order], word[order]
+    first = np.union1d(runs(text), runs(word))
+    return text[first], word[first], np.diff(first, append=len(text))
+
+
 def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -487,12 +498,14 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
                 rare_word.append(ids[~frequent])
             text = np.concatenate(rare_text or [np.empty(0, np.int64)])
             word = np.concatenate(rare_word or [np.empty(0, np.int64)])
+            text, word, times = _counted_pairs(text, word)
             ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
+            rare = pa.StructArray.from_arrays([pa.array(word), pa.array(times)], ["word", "times"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
                     *(pa.array(x) for x in (tokens, known, logs, score)),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(word)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rare),
                 ],
                 ["row", "tokens", "known", "logs", "score", "rare"],
             )
@@ -507,13 +520,12 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
     part = stored(
         rows.mapInArrow(
             each,
-            f"row {row_type}, tokens long, known long, logs double, score double, rare array<long>",
+            f"row {row_type}, tokens long, known long, logs double, score double, "
+            "rare array<struct<word: long, times: long>>",
         )
     )
     rare = (
-        part.select(F.col("row._row").alias("_row"), F.explode("rare").alias("word"))
-        .groupBy("_row", "word")
-        .agg(F.count("*").alias("times"))
+        part.select(F.col("row._row").alias("_row"), F.inline("rare"))
         .join(model.words.select("word", "n"), "word", "left")
         .groupBy("_row")
         .agg(

@@ -345,6 +345,23 @@ def test_language_model(spark):
     assert maxent.scored(docs.limit(0), model).count() == 0
 
 
+def test_words_outside_the_frequent_count_as_often_as_they_occur(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FREQUENT", 2)
+    rows = [(1, "a a a b b c d d"), (2, "d d c new new new"), (2, "d d c new new new"), (3, None)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    model = maxent.fit(docs.filter("doc_id = 1").select(F.col("doc_id").alias("id"), "text"))
+    assert len(model.counts.hashes) <= 2
+    counts = collections.Counter([*spaced(rows[0][1]), None])
+    n = sum(counts.values())
+    size = math.log10(n + 0.5 * (len(counts) + 1))
+    found = sorted(maxent.scored(docs, model).collect(), key=lambda r: r["doc_id"])
+    for r, (_, text) in zip(found, rows, strict=True):
+        own = [*spaced(text), None]
+        assert (r["n_tokens"], r["n_known"]) == (len(own), sum(counts[w] > 0 for w in own))
+        base = sum(math.log10(counts[w] + 0.5) - size for w in own)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+
+
 def test_class_probabilities_sum_to_one(spark):
     model = maxent.fit(documents(spark, corpus()).select(F.col("doc_id").alias("id"), "text"))
     rows = np.random.default_rng(1).integers(0, maxent.ROWS, (50, 3))
